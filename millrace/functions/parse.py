@@ -7,6 +7,8 @@ and ``datetime.fromisoformat`` (3.11), which differ from Spark's casts: ``1_000`
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,13 @@ _NAN = r"(?i)\A[+-]?nan\z"
 
 _HOUR = r"(?:[01][0-9]|2[0-3])"
 _SIXTY = r"[0-5][0-9]"
-_DATE = r"(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}|(?!0000)[0-9]{8}"
+_LONG_DATE = r"(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_LONG_TIME = rf"{_HOUR}(?::{_SIXTY}(?::{_SIXTY}(?:[.,][0-9]+)?)?)?"
+# Date with dashes and time with colons, no offset: nearly all real input.
+_COMMON = rf"(?s)\A{_LONG_DATE}(?:[^Z]{_LONG_TIME})?\z"
+_DATE = rf"{_LONG_DATE}|(?!0000)[0-9]{{8}}"
 _WEEK = r"(?!0000)[0-9]{4}-W[0-9]{2}(?:-[1-7])?|(?!0000)[0-9]{4}W[0-9]{2}[1-7]?"
-_TIME = (
-    rf"{_HOUR}(?::{_SIXTY}(?::{_SIXTY}(?:[.,][0-9]+)?)?)?"
-    rf"|{_HOUR}{_SIXTY}(?:{_SIXTY}(?:[.,][0-9]+)?)?"
-)
+_TIME = rf"{_LONG_TIME}|{_HOUR}{_SIXTY}(?:{_SIXTY}(?:[.,][0-9]+)?)?"
 _OFFSET = rf"[+-]{_HOUR}(?::?{_SIXTY}(?::?{_SIXTY})?)?"
 _ISO = rf"(?s)\A({_WEEK}|{_DATE})(?:.({_TIME})({_OFFSET})?)?\z"
 _MARK = "\x1f"
@@ -105,11 +108,12 @@ def _offset_seconds(o: Column) -> Column:
     return F.when(o.startswith("-"), -size).otherwise(size)
 
 
-def parse_ts(c: Column) -> Column:
-    """ISO-8601 text to timestamp (an instant); text without an offset is taken as UTC."""
-    zoned = F.replace(c, F.lit("Z"), F.lit("+00:00"))
-    marked = F.regexp_replace(zoned, _ISO, f"$1{_MARK}$2{_MARK}$3")
-    fields = F.when(~c.contains(_MARK), F.split(marked, _MARK, 3))
+def bind(value: Column, build: Callable[[Column], Column]) -> Column:
+    """``build(value)`` with the value computed once, however often the result refers to it."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
+def _ts_of_fields(fields: Column) -> Column:
     date, time, offset = (F.get(fields, F.lit(i)) for i in range(3))
     utc = F.concat(_canonical_date(date), F.lit("T"), _canonical_time(time), F.lit("Z"))
     ts = utc.try_cast("timestamp")
@@ -119,6 +123,24 @@ def parse_ts(c: Column) -> Column:
     )
 
 
+def _common_ts(c: Column) -> Column:
+    time_chars = F.greatest(F.length(c) - 11, F.lit(0))
+    padding = F.substr(F.lit("00:00:00"), time_chars + 1)
+    text = F.concat(c.substr(1, 10), F.lit("T"), F.substring(c, 12, 1000), padding, F.lit("Z"))
+    return F.translate(text, ",", ".").try_cast("timestamp")
+
+
+def parse_ts(c: Column) -> Column:
+    """ISO-8601 text to timestamp (an instant); text without an offset is taken as UTC."""
+    bare = F.when(c.endswith("Z"), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    zoned = F.replace(c, F.lit("Z"), F.lit("+00:00"))
+    marked = F.regexp_replace(zoned, _ISO, f"$1{_MARK}$2{_MARK}$3")
+    return F.when(bare.rlike(_COMMON), _common_ts(bare)).when(
+        c.rlike(r"\A[0-9]{4}") & ~c.contains(_MARK),
+        bind(F.split(marked, _MARK, 3), _ts_of_fields),
+    )
+
+
 def parse_rss_date(c: Column) -> Column:
     """RFC 822 date (``Mon, 15 Jan 2024 10:00:00 +0000``) or ISO text to timestamp."""
     bare = F.regexp_replace(strip(c), r"\A[A-Za-z]{3,9},\s*", "")

@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.parse import parse_float, parse_ts, split_tags, strip
-
-_EMPTY_TAGS = "array<string>"
+from millrace.functions.parse import parse_float, split_tags, strip
 
 
 def as_record(json_text: Column) -> Column:
@@ -57,28 +55,22 @@ def first_truthy(*values: Column) -> Column:
 
 def text_of(v: Column) -> Column:
     """Any scalar as text; booleans as ``True``/``False``, JSON null as SQL NULL."""
-    text = v.cast("string")
-    return F.when(
-        text.isin("true", "false") & (kind_of(v) == "BOOLEAN"), F.initcap(text)
-    ).otherwise(text)
+    return text_from(v.cast("string"), kind_of(v))
 
 
-def text_if_text(v: Column) -> Column:
-    """Value of a JSON string; any other kind gives NULL."""
-    return F.when(is_text(v), v.cast("string"))
+def text_from(text: Column, kind: Column) -> Column:
+    """:func:`text_of` from a value's text and kind."""
+    return F.when((kind == "BOOLEAN"), F.initcap(text)).otherwise(text)
 
 
-def float_of(v: Column) -> Column:
-    """Number, numeric text or boolean to double; anything else gives NULL."""
-    text = v.cast("string")
-    return F.when(
-        text.isin("true", "false"),
-        F.when(kind_of(v) == "BOOLEAN", (text == "true").cast("double")),
-    ).otherwise(parse_float(text))
+def text_if_text(text: Column, kind: Column) -> Column:
+    """The text of a JSON string; any other kind gives NULL."""
+    return F.when(kind == "STRING", text)
 
 
-def ts_of(v: Column) -> Column:
-    return parse_ts(v.cast("string"))
+def float_from(text: Column, kind: Column) -> Column:
+    """Number, numeric text or boolean to double; anything else gives NULL."""
+    return F.when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(parse_float(text))
 
 
 def clean_tags(v: Column) -> Column:
@@ -91,7 +83,7 @@ def clean_tags(v: Column) -> Column:
     return (
         F.when(elements.isNotNull(), F.filter(texts, lambda t: t != ""))
         .when(is_text(v), split_tags(v.cast("string")))
-        .otherwise(F.array().cast(_EMPTY_TAGS))
+        .otherwise(F.array().cast("array<string>"))
     )
 
 

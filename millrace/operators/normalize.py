@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.parse import split_tags, strip, truncate_to_long
+from millrace.functions.parse import parse_ts, split_tags, strip, truncate_to_long
 from millrace.functions.payload import (
     as_record,
     clean_tags,
     first_present,
     first_truthy,
-    float_of,
-    is_text,
+    float_from,
+    kind_of,
     residual,
+    text_from,
     text_if_text,
-    text_of,
-    ts_of,
 )
 from millrace.sources.spec import KIND_MAPPINGS, FieldMapping
 
@@ -39,7 +39,7 @@ def _choose(routes: list[tuple[Column, FieldMapping]], build) -> Column:
 def _tags(record: Column, mapping: FieldMapping) -> Column:
     if mapping.tags_rule == "keywords":
         chosen = first_truthy(*[record[k] for k in mapping.tags])
-        return split_tags(text_if_text(chosen))
+        return split_tags(text_if_text(chosen.cast("string"), kind_of(chosen)))
     found = first_present(record, *mapping.tags)
     if mapping.tags_rule == "list":
         found = F.when(found.try_cast("array<variant>").isNotNull(), found)
@@ -79,17 +79,23 @@ def normalize(
         )
 
     numbers = ("amount", "quantity", "rating")
+    targets = ("external_id", *_TEXT_TARGETS, *numbers, "published_at")
     carried = ["raw_id", "source_type", "source_name", "ingested_at", "etl_run_id", "ordinal"]
+    # Each step's columns are used several times by the next, so each is worked out only once.
     found = raw.select(
         *carried, as_record(F.col("raw_payload")).alias("_record")
+    ).select(
+        *carried, "_record", *[picked(t).alias(f"_{t}") for t in targets]
     ).select(
         *carried,
         "_record",
-        *[
-            picked(t).alias(f"_{t}")
-            for t in ("external_id", *_TEXT_TARGETS, *numbers, "published_at")
-        ],
+        *[F.col(f"_{t}").cast("string").alias(f"_{t}") for t in targets],
+        *[kind_of(F.col(f"_{t}")).alias(f"_{t}_kind") for t in targets if t != "published_at"],
     )
+
+    def pair(target: str) -> tuple[Column, Column]:
+        return F.col(f"_{target}"), F.col(f"_{target}_kind")
+
     typed = found.select(
         F.col("raw_id").alias("raw_data_id"),
         "source_type",
@@ -97,23 +103,20 @@ def normalize(
         "ingested_at",
         "etl_run_id",
         "ordinal",
-        text_of(F.col("_external_id")).alias("external_id"),
-        *[text_if_text(F.col(f"_{t}")).alias(t) for t in _TEXT_TARGETS],
-        float_of(F.col("_amount")).alias("amount"),
-        float_of(F.col("_quantity")).alias("quantity_number"),
-        float_of(F.col("_rating")).alias("rating"),
+        text_from(*pair("external_id")).alias("external_id"),
+        *[text_if_text(*pair(t)).alias(t) for t in _TEXT_TARGETS],
+        float_from(*pair("amount")).alias("amount"),
+        float_from(*pair("quantity")).alias("quantity_number"),
+        float_from(*pair("rating")).alias("rating"),
         _choose(routes, lambda m: _tags(F.col("_record"), m)).alias("tags"),
         _choose(routes, lambda m: _metadata(F.col("_record"), m)).alias("metadata"),
-        ts_of(F.col("_published_at")).alias("published_at"),
+        parse_ts(F.col("_published_at")).alias("published_at"),
         F.array_compact(
             F.array(
-                F.when(~kind.isin(*mappings), "unknown_source_type"),
+                F.when(~reduce(Column.__or__, [c for c, _ in routes]), "unknown_source_type"),
                 F.when(F.col("_record").isNull(), "payload_not_object"),
                 *[
-                    F.when(
-                        ~is_text(F.col(f"_{t}")) & ~F.is_variant_null(F.col(f"_{t}")),
-                        f"{t}_not_text",
-                    )
+                    F.when(~F.col(f"_{t}_kind").isin("STRING", "VOID"), f"{t}_not_text")
                     for t in _TEXT_TARGETS
                 ],
             )

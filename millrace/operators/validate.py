@@ -62,6 +62,16 @@ def validate(items: DataFrame) -> DataFrame:
     )
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """``df.filter(condition)``, evaluated after the columns it reads and not instead of them.
+
+    A plain filter on a computed column is rewritten to compute that column a second time below
+    the projection. The row number, which cannot be moved that way, keeps the two in order.
+    """
+    numbered = df.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.filter(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def accepted(validated: DataFrame) -> DataFrame:
     """Accepted rows in the item schema, with their ``ingested_at`` and ``ordinal``."""
     key = [F.col(k) for k in ITEM_KEYS]
@@ -77,7 +87,7 @@ def accepted(validated: DataFrame) -> DataFrame:
         "updated_at": F.col("ingested_at"),
         "deleted_at": F.lit(None),
     }
-    return validated.filter(F.size("errors") == 0).select(
+    return keep_where(validated, F.size("errors") == 0).select(
         *[
             derived.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in ITEMS.fields
@@ -101,7 +111,7 @@ def rejected(validated: DataFrame, as_of: dt.datetime) -> DataFrame:
         "at": F.lit(as_of),
         "cause": F.lit(None),
     }
-    return validated.filter(F.size("errors") > 0).select(
+    return keep_where(validated, F.size("errors") > 0).select(
         *[
             values.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
             for f in REJECTS.fields

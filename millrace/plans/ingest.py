@@ -14,7 +14,7 @@ from millrace.operators.landing import land, unprocessed
 from millrace.operators.ledger import FINISHED, LANDED, SOURCE, STARTED, ledger_events
 from millrace.operators.normalize import normalize
 from millrace.operators.upsert import upsert
-from millrace.operators.validate import accepted, rejected, run_outcome, validate
+from millrace.operators.validate import accepted, keep_where, rejected, run_outcome, validate
 from millrace.plans.store import Store, only_named
 from millrace.sources.spec import SourceSpec
 
@@ -33,8 +33,8 @@ def new_rows(landed: DataFrame, spec: SourceSpec, mark: str | None) -> DataFrame
     value = F.col("event_time") if spec.mark_kind == "timestamp" else F.col("source_id")
     if not mark:
         return landed
-    return landed.filter(
-        after_mark(value, F.lit(mark), spec.mark_kind, spec.id_order, spec.keep_undated)
+    return keep_where(
+        landed, after_mark(value, F.lit(mark), spec.mark_kind, spec.id_order, spec.keep_undated)
     )
 
 

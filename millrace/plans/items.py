@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.parse import bind
 from millrace.schemas import ITEM_STATUSES, PUBLIC_ITEM, SOURCE_TYPES
 
 # Bounds and sort columns of the item query.
@@ -27,17 +28,48 @@ def _check_page(page: int, size: int) -> None:
         raise ValueError(f"page size must be 1 to {MAX_PAGE_SIZE}")
 
 
+def _pattern_parts(term: str) -> tuple[list[str], bool]:
+    """Literal stretches of a search term between ``%``, and whether it has another wildcard.
+
+    A backslash takes the character after it literally.
+    """
+    parts, has_single = [""], False
+    chars = iter(term)
+    for char in chars:
+        if char == "\\":
+            parts[-1] += next(chars, "\\")
+        elif char == "%":
+            parts.append("")
+        else:
+            has_single |= char == "_"
+            parts[-1] += char
+    return [p for p in parts if p], has_single
+
+
+def _holds_in_order(text: Column, parts: list[str]) -> Column:
+    """True if the lower-case parts occur in the text one after the other; linear in the text."""
+    position: Column = F.lit(1)
+    for part in parts:
+        position = bind(
+            F.position(F.lit(part), text, position),
+            lambda found, size=len(part): F.when(found > 0, found + size),
+        )
+    return position.isNotNull()
+
+
 def search_condition(term: str, literal: bool = False) -> Column:
     """Case-insensitive substring of title or description.
 
     ``%`` and ``_`` in the term are wildcards unless ``literal`` is set.
     """
-    if literal:
-        needle = F.lower(F.lit(term))
-        return F.coalesce(F.lower("title").contains(needle), F.lit(False)) | F.coalesce(
-            F.lower("description").contains(needle), F.lit(False)
-        )
-    return F.col("title").ilike(f"%{term}%") | F.col("description").ilike(f"%{term}%")
+    parts, has_single = ([term], False) if literal else _pattern_parts(term)
+
+    def matches(name: str) -> Column:
+        if has_single:
+            return F.col(name).ilike(f"%{term}%")
+        return _holds_in_order(F.lower(name), [p.lower() for p in parts])
+
+    return matches("title") | matches("description")
 
 
 def item_query(

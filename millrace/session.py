@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods beyond 8000 bytes; wide mappings run faster as smaller ones.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
