@@ -272,8 +272,8 @@ RUNS_SQL = """
                AS duration_seconds,
            records AS records_extracted,
            records - CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS records_loaded,
-           CASE WHEN records IS NULL THEN NULL WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END
-               AS records_failed,
+           CAST(CASE WHEN records IS NULL THEN NULL WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END
+               AS BIGINT) AS records_failed,
            CASE WHEN records IS NOT NULL AND o_orderstatus <> 'F'
                 THEN CAST(o_orderkey AS VARCHAR) END AS checkpoint_after,
            CASE WHEN records IS NOT NULL AND o_orderstatus = 'F' THEN o_orderpriority END

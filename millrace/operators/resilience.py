@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from millrace.operators.slots import slot_of
@@ -147,56 +149,56 @@ def circuit_step(
     return failures, (at + reset if failures >= threshold else None), True
 
 
-def _summarise_slot(times: np.ndarray, failed: np.ndarray, threshold: int, reset: int) -> tuple:
-    """End state of a slot for every state it can be entered in.
-
-    Returns the end states for entering closed with 0 to ``threshold - 1`` failures, and for
-    entering open: the list of (time, end state) such that the first time at or after
-    ``open_until`` gives the end state. States are (failures, open_until).
-    """
-    n = len(times)
-    run = np.zeros(n + 1, dtype=np.int64)  # consecutive failures ending before position i
-    for i in range(n):
-        run[i + 1] = run[i] + 1 if failed[i] else 0
-    resumes = np.searchsorted(times, times + reset, side="left")
-    end: list = [None] * (n + 1)  # end state when position i is met closed without failures
-    end[n] = (0, None)
-    opening = n  # first position at or after i + threshold - 1 closing a run of failures
-    for i in range(n - 1, -1, -1):
-        last = i + threshold - 1
-        if last < n and run[last + 1] >= threshold:
-            opening = last
-        if opening >= n:
-            end[i] = (int(min(run[n], n - i)), None)
-        elif resumes[opening] >= n:
-            end[i] = (threshold, int(times[opening] + reset))
-        else:
-            end[i] = end[resumes[opening]]
-    leading = int(np.argmin(failed)) if not failed.all() else n
-    closed = [end[0]]
-    for count in range(1, threshold):
-        if count + leading >= threshold:
-            opened = threshold - count - 1
-            k = resumes[opened]
-            closed.append((threshold, int(times[opened] + reset)) if k >= n else end[k])
-        elif leading == n:
-            closed.append((count + n, None))
-        else:
-            closed.append(end[leading])
-    entered_open: list = []
-    for i in range(n):
-        if entered_open and entered_open[-1][1] == end[i]:
-            entered_open[-1] = (int(times[i]), end[i])
-        else:
-            entered_open.append((int(times[i]), end[i]))
-    return closed, entered_open
-
-
+# Passed on between time slots; ``until`` is in microseconds and null while the circuit is closed.
 _STATE = T.StructType(
     [T.StructField("failures", T.LongType()), T.StructField("until", T.LongType())]
 )
 
 
+class _SlotReport:
+    """Follows one slot's attempts from every state the slot may be entered in.
+
+    Entered closed, the count is below the threshold. Entered open, nothing happens up to the
+    first attempt at or after the end of the open period, which meets a cleared circuit; so every
+    attempt that may be that first one starts a track of its own. Tracks that reach the same state
+    merge, so few are ever followed.
+    """
+
+    def __init__(self, threshold: int, reset: int, starts_at: int) -> None:
+        self.threshold, self.reset, self.starts_at = threshold, reset, starts_at
+        self.tracks = {(count, None): [count] for count in range(threshold)}
+        self.open_times: list[int] = []
+        self.previous: int | None = None
+
+    def add(self, at: int, failed: bool) -> None:
+        if self.previous is None or self.previous < self.starts_at + self.reset:
+            self.tracks.setdefault((0, None), []).append(self.threshold + len(self.open_times))
+            self.open_times.append(at)
+        self.previous = at
+        moved: dict = {}
+        for (failures, until), origins in self.tracks.items():
+            failures, until, _ = circuit_step(
+                failures, until, at, failed, self.threshold, self.reset
+            )
+            moved.setdefault((failures, until), []).extend(origins)
+        self.tracks = moved
+
+    def result(self) -> dict:
+        ends: list = [None] * (self.threshold + len(self.open_times))
+        for (failures, until), origins in self.tracks.items():
+            for origin in origins:
+                ends[origin] = {"failures": failures, "until": until}
+        times: list[int] = []
+        open_ends: list[dict] = []
+        for at, end in zip(self.open_times, ends[self.threshold :], strict=True):
+            if open_ends and open_ends[-1] == end:
+                times[-1] = at
+            else:
+                times.append(at)
+                open_ends.append(end)
+        return {"closed": ends[: self.threshold], "open_times": times, "open_ends": open_ends}
+
+
 def circuit_state(
     attempts: DataFrame,
     keys: Sequence[str],
@@ -214,18 +216,22 @@ def circuit_state(
     ``open_until`` and ``circuit`` (``open`` or ``closed``).
 
     Each (key, slot) first reports its end state for every state it may be entered in. Chaining
-    those reports in order gives every slot its entry state, and the slots then run independently,
-    so only the reports of a source ever meet in one task.
+    those reports in order gives every slot its entry state, and the slots then run independently.
+    All three steps stream over sorted rows and hold one state, so neither a source with most of
+    the attempts nor a crowded slot has to fit in memory; only reports of a source meet in a task.
     """
     keys = list(keys)
+    columns = attempts.columns
     reset = reset_s * 1_000_000
     slot_seconds = slot_seconds or max(3600, 60 * reset_s)
-    columns = attempts.columns
+    slot_us = slot_seconds * 1_000_000
+    group = [*keys, "_slot"]
+    key_fields = [attempts.schema[k] for k in keys]
+    slot_field = T.StructField("_slot", T.LongType())
     slotted = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
         "_slot", slot_of(F.col(ts), slot_seconds)
     )
-    key_fields = [attempts.schema[k] for k in keys]
-    slot_field = T.StructField("_slot", T.LongType())
+
     report_schema = T.StructType(
         [
             *key_fields,
@@ -236,57 +242,55 @@ def circuit_state(
         ]
     )
 
-    def report(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_us", "_tie"], kind="stable")
-        closed, entered = _summarise_slot(
-            group["_us"].to_numpy(), group["_failed"].to_numpy(dtype=bool), threshold, reset
-        )
-        as_state = [{"failures": f, "until": u} for f, u in closed]
-        row = {k: [group[k].iloc[0]] for k in [*keys, "_slot"]}
-        row["closed"] = [as_state]
-        row["open_times"] = [[t for t, _ in entered]]
-        row["open_ends"] = [[{"failures": f, "until": u} for _, (f, u) in entered]]
-        return pd.DataFrame(row)
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(report_schema)
+        current, slot_report = None, None
+        for batch in batches:
+            done = []
+            wanted = [batch.column(c).to_pylist() for c in [*group, "_us", failed]]
+            for *owner, at, bad in zip(*wanted, strict=True):
+                if owner != current:
+                    if slot_report is not None:
+                        done.append(dict(zip(group, current, strict=True)) | slot_report.result())
+                    current = owner
+                    slot_report = _SlotReport(threshold, reset, owner[-1] * slot_us)
+                slot_report.add(at, bad)
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+        if slot_report is not None:
+            last = dict(zip(group, current, strict=True)) | slot_report.result()
+            yield pa.RecordBatch.from_pylist([last], schema=arrow)
 
     reports = (
-        slotted.select(
-            *keys, "_slot", "_us", F.col(tie).alias("_tie"), F.col(failed).alias("_failed")
-        )
-        .groupBy(*keys, "_slot")
-        .applyInPandas(report, report_schema)
+        slotted.select(*group, "_us", tie, failed)
+        .repartition(*group)
+        .sortWithinPartitions(*group, "_us", tie)
+        .mapInArrow(report, report_schema)
     )
 
-    entry_schema = T.StructType(
-        [
-            *key_fields,
-            slot_field,
-            T.StructField("_entry_failures", T.LongType()),
-            T.StructField("_entry_until", T.LongType()),
-        ]
+    entry_schema = T.StructType([*key_fields, slot_field, T.StructField("_entry", _STATE)])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(entry_schema)
+        current, state = None, None
+        for batch in batches:
+            entries = []
+            for row in batch.to_pylist():
+                owner = [row[k] for k in keys]
+                if owner != current:
+                    current, state = owner, {"failures": 0, "until": None}
+                entries.append({c: row[c] for c in group} | {"_entry": state})
+                if state["until"] is None:
+                    state = row["closed"][state["failures"]]
+                else:
+                    first = bisect_left(row["open_times"], state["until"])
+                    if first < len(row["open_times"]):
+                        state = row["open_ends"][first]
+            yield pa.RecordBatch.from_pylist(entries, schema=arrow)
+
+    entries = (
+        reports.repartition(*keys).sortWithinPartitions(*group).mapInArrow(chain, entry_schema)
     )
 
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_slot")
-        failures, until = 0, None
-        entries = []
-        for row in group.itertuples(index=False):
-            entries.append((failures, until))
-            if until is None:
-                end = row.closed[int(failures)]
-            else:
-                at = int(np.searchsorted(np.asarray(row.open_times), until, side="left"))
-                if at >= len(row.open_times):
-                    continue
-                end = row.open_ends[at]
-            failures = int(end["failures"])
-            until = None if pd.isna(end["until"]) else int(end["until"])
-        out = group[[*keys, "_slot"]].copy()
-        out["_entry_failures"] = [f for f, _ in entries]
-        out["_entry_until"] = pd.array([u for _, u in entries], dtype="Int64")
-        return out
-
-    entries = reports.groupBy(*keys).applyInPandas(chain, entry_schema)
-
     out_schema = T.StructType(
         [
             *attempts.schema.fields,
@@ -296,26 +300,36 @@ def circuit_state(
         ]
     )
 
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_us", tie], kind="stable")
-        first = group.iloc[0]
-        state = int(first["_entry_failures"])
-        until = None if pd.isna(first["_entry_until"]) else int(first["_entry_until"])
-        allowed, counts, untils = [], [], []
-        for at, bad in zip(group["_us"], group[failed], strict=True):
-            state, until, let = circuit_step(state, until, at, bad, threshold, reset)
-            allowed.append(let)
-            counts.append(state)
-            untils.append(until)
-        out = group[columns].copy()
-        out["allowed"], out["failures"] = allowed, counts
-        out["_until"] = pd.array(untils, dtype="Int64")
-        return out
-
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failures, until = 0, None
+        for batch in batches:
+            allowed, counts, untils = [], [], []
+            wanted = [batch.column(c).to_pylist() for c in ("_entry", "_us", failed)]
+            for entry, at, bad in zip(*wanted, strict=True):
+                if entry is not None:
+                    failures, until = entry["failures"], entry["until"]
+                    continue
+                failures, until, let = circuit_step(failures, until, at, bad, threshold, reset)
+                allowed.append(let)
+                counts.append(failures)
+                untils.append(until)
+            rows = batch.filter(pc.is_null(batch.column("_entry"))).select(columns)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *rows.columns,
+                    pa.array(allowed, pa.bool_()),
+                    pa.array(counts, pa.int64()),
+                    pa.array(untils, pa.int64()),
+                ],
+                names=[*columns, "allowed", "failures", "_until"],
+            )
+
+    # A slot's entry state travels as a row of its own that sorts before the slot's attempts.
     played = (
-        slotted.join(entries, [*keys, "_slot"])
-        .groupBy(*keys, "_slot")
-        .applyInPandas(replay, out_schema)
+        slotted.unionByName(entries, allowMissingColumns=True)
+        .repartition(*group)
+        .sortWithinPartitions(*group, "_us", tie)
+        .mapInArrow(replay, out_schema)
     )
     return played.select(
         *columns,

@@ -149,7 +149,8 @@ def run_outcome(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reject_reasons(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """How often each rule was broken, per ``keys``."""
     return (
-        validated.select(*keys, F.explode("errors").alias("error"))
+        keep_where(validated, F.size("errors") > 0)
+        .select(*keys, F.explode("errors").alias("error"))
         .groupBy(*keys, "error")
         .agg(F.count("*").alias("records"))
     )

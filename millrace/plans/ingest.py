@@ -76,7 +76,7 @@ def load_backlog(
 
     The validated rows are written once; items, rejects and the processed log read that copy.
     """
-    open_rows = unprocessed(store.open_raw(spark), store.processed(spark))
+    open_rows = unprocessed(store.open_raw(spark), store.processed(spark, without_run=run_id))
     checked = validate(normalize(open_rows, overrides=overrides))
     staged = spark.read.schema(checked.schema).parquet(
         _staged(checked, store, run_id)
@@ -90,7 +90,7 @@ def load_backlog(
     updates = accepted(staged).withColumn("etl_run_id", F.lit(run_id)).withColumn(
         "updated_at", F.lit(as_of).cast("timestamp")
     )
-    current = only_named(store.items(spark), touched, SOURCE)
+    current = only_named(store.items(spark, without_run=run_id), touched, SOURCE)
     store.write_run(upsert(current, updates), "items", run_id, partition_by=SOURCE)
     done = staged.filter(F.size("errors") == 0).select(
         F.col("raw_data_id").alias("raw_id"), F.lit(as_of).cast("timestamp").alias("processed_at")
@@ -118,11 +118,16 @@ def run_ingest(
     A source that cannot be read fails alone. A failure while landing or loading fails the run for
     the remaining sources and is raised; what had landed by then is retried by the next run.
     ``use_marks=False`` takes all records of the sources as new.
+
+    Repeating a run that did not complete starts over from the same marks; repeating a completed
+    one changes nothing.
     """
+    if store.is_complete(spark, run_id):
+        return store.runs(spark).filter(F.col("run_id") == run_id)
     marks = {
         (row.source_type, row.source_name): row.checkpoint_value
         for row in only_named(
-            store.checkpoints(spark),
+            store.checkpoints(spark, without_run=run_id),
             _source_rows(spark, [(s.kind, s.name) for s in specs]),
             SOURCE,
         ).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,14 +47,16 @@ def _pattern_parts(term: str) -> tuple[list[str], bool]:
     return [p for p in parts if p], has_single
 
 
+def _end_of(part: str) -> Callable[[Column], Column]:
+    """Place after a part found at a 1-based position; null where it was not found."""
+    return lambda found: F.when(found > 0, found + len(part))
+
+
 def _holds_in_order(text: Column, parts: list[str]) -> Column:
     """True if the lower-case parts occur in the text one after the other; linear in the text."""
     position: Column = F.lit(1)
     for part in parts:
-        position = bind(
-            F.position(F.lit(part), text, position),
-            lambda found, size=len(part): F.when(found > 0, found + size),
-        )
+        position = bind(F.position(F.lit(part), text, position), _end_of(part))
     return position.isNotNull()
 
 

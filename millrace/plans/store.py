@@ -37,8 +37,8 @@ class Store:
     def raw(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "raw", RAW)
 
-    def processed(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "processed", PROCESSED)
+    def processed(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
+        return without(self._read(spark, "processed", PROCESSED), without_run)
 
     def rejects(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "rejects", REJECTS)
@@ -49,17 +49,22 @@ class Store:
     def runs(self, spark: SparkSession) -> DataFrame:
         return current_runs(self.ledger(spark))
 
-    def checkpoints(self, spark: SparkSession) -> DataFrame:
-        return fold_checkpoints(self.ledger(spark))
+    def checkpoints(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
+        return fold_checkpoints(without(self.ledger(spark), without_run))
 
-    def items(self, spark: SparkSession) -> DataFrame:
+    def is_complete(self, spark: SparkSession, run_id: str) -> bool:
+        """Whether the run has published: it finished, and not for lack of a load."""
+        mine = (F.col("run_id") == run_id) & (F.col("event_seq") == FINISHED)
+        return not self.ledger(spark).filter(mine & (F.col("status") != "failed")).isEmpty()
+
+    def items(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
         """The current items: of every source, the version its last loading run published."""
         stored = self._read(
             spark, "items", T.StructType([*ITEMS.fields, T.StructField("version", T.StringType())])
         )
         loaded = (F.col("event_seq") == FINISHED) & (F.col("records_loaded") > 0)
         current = (
-            self.runs(spark)
+            without(self.runs(spark), without_run)
             .filter(loaded)
             .groupBy(*SOURCE)
             .agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("version"))
@@ -95,6 +100,10 @@ class Store:
         rows.drop("run_id", "event_seq").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def without(rows: DataFrame, run_id: str | None) -> DataFrame:
+    return rows if run_id is None else rows.filter(F.col("run_id") != run_id)
+
+
 def only_named(rows: DataFrame, named: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose ``columns`` appear in ``named``; as a folder filter when there are few names."""
     few = named.select(*columns).limit(MAX_NAMED + 1).collect()
