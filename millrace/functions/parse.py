@@ -30,7 +30,9 @@ _HOUR = r"(?:[01][0-9]|2[0-3])"
 _SIXTY = r"[0-5][0-9]"
 _LONG_DATE = r"(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _LONG_TIME = rf"{_HOUR}(?::{_SIXTY}(?::{_SIXTY}(?:[.,][0-9]+)?)?)?"
-# Date with dashes and time with colons, no offset: nearly all real input.
+# Full date and time with or without Z, which a cast reads as it is: nearly all real input.
+_PLAIN = r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z?\z"
+# Date with dashes and time with colons, in part and with any separator, no offset.
 _COMMON = rf"(?s)\A{_LONG_DATE}(?:[^Z]{_LONG_TIME})?\z"
 _DATE = rf"{_LONG_DATE}|(?!0000)[0-9]{{8}}"
 _WEEK = r"(?!0000)[0-9]{4}-W[0-9]{2}(?:-[1-7])?|(?!0000)[0-9]{4}W[0-9]{2}[1-7]?"
@@ -132,10 +134,12 @@ def _common_ts(c: Column) -> Column:
 
 def parse_ts(c: Column) -> Column:
     """ISO-8601 text to timestamp (an instant); text without an offset is taken as UTC."""
-    bare = F.when(c.endswith("Z"), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
+    ends_in_z = c.endswith("Z")
+    bare = F.when(ends_in_z, F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
     zoned = F.replace(c, F.lit("Z"), F.lit("+00:00"))
     marked = F.regexp_replace(zoned, _ISO, f"$1{_MARK}$2{_MARK}$3")
-    return F.when(bare.rlike(_COMMON), _common_ts(bare)).when(
+    plain = F.when(ends_in_z, c).otherwise(F.concat(c, F.lit("Z"))).try_cast("timestamp")
+    return F.when(c.rlike(_PLAIN), plain).when(bare.rlike(_COMMON), _common_ts(bare)).when(
         c.rlike(r"\A[0-9]{4}") & ~c.contains(_MARK),
         bind(F.split(marked, _MARK, 3), _ts_of_fields),
     )

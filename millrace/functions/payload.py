@@ -55,12 +55,17 @@ def first_truthy(*values: Column) -> Column:
 
 def text_of(v: Column) -> Column:
     """Any scalar as text; booleans as ``True``/``False``, JSON null as SQL NULL."""
-    return text_from(v.cast("string"), kind_of(v))
+    return text_from(v.cast("string"), v)
 
 
-def text_from(text: Column, kind: Column) -> Column:
-    """:func:`text_of` from a value's text and kind."""
-    return F.when((kind == "BOOLEAN"), F.initcap(text)).otherwise(text)
+def _is_boolean(text: Column, v: Column) -> Column:
+    """Looks at the kind only of values that read like a boolean."""
+    return F.when(text.isin("true", "false"), kind_of(v) == "BOOLEAN").otherwise(False)
+
+
+def text_from(text: Column, v: Column) -> Column:
+    """:func:`text_of` where the value's text is at hand."""
+    return F.when(_is_boolean(text, v), F.initcap(text)).otherwise(text)
 
 
 def text_if_text(text: Column, kind: Column) -> Column:
@@ -68,9 +73,9 @@ def text_if_text(text: Column, kind: Column) -> Column:
     return F.when(kind == "STRING", text)
 
 
-def float_from(text: Column, kind: Column) -> Column:
-    """Number, numeric text or boolean to double; anything else gives NULL."""
-    return F.when(kind == "BOOLEAN", (text == "true").cast("double")).otherwise(parse_float(text))
+def float_from(text: Column, v: Column) -> Column:
+    """A value, its text at hand, to double: number, numeric text or boolean; else NULL."""
+    return F.when(_is_boolean(text, v), (text == "true").cast("double")).otherwise(parse_float(text))
 
 
 def clean_tags(v: Column) -> Column:

@@ -89,12 +89,13 @@ def normalize(
     ).select(
         *carried,
         "_record",
-        *[F.col(f"_{t}").cast("string").alias(f"_{t}") for t in targets],
-        *[kind_of(F.col(f"_{t}")).alias(f"_{t}_kind") for t in targets if t != "published_at"],
+        *[F.col(f"_{t}") for t in targets if t in ("external_id", *numbers)],
+        *[F.col(f"_{t}").cast("string").alias(f"_{t}_text") for t in targets],
+        *[kind_of(F.col(f"_{t}")).alias(f"_{t}_kind") for t in _TEXT_TARGETS],
     )
 
-    def pair(target: str) -> tuple[Column, Column]:
-        return F.col(f"_{target}"), F.col(f"_{target}_kind")
+    def text_and(part: str, target: str) -> tuple[Column, Column]:
+        return F.col(f"_{target}_text"), F.col(f"_{target}{part}")
 
     typed = found.select(
         F.col("raw_id").alias("raw_data_id"),
@@ -103,14 +104,14 @@ def normalize(
         "ingested_at",
         "etl_run_id",
         "ordinal",
-        text_from(*pair("external_id")).alias("external_id"),
-        *[text_if_text(*pair(t)).alias(t) for t in _TEXT_TARGETS],
-        float_from(*pair("amount")).alias("amount"),
-        float_from(*pair("quantity")).alias("quantity_number"),
-        float_from(*pair("rating")).alias("rating"),
+        text_from(*text_and("", "external_id")).alias("external_id"),
+        *[text_if_text(*text_and("_kind", t)).alias(t) for t in _TEXT_TARGETS],
+        float_from(*text_and("", "amount")).alias("amount"),
+        float_from(*text_and("", "quantity")).alias("quantity_number"),
+        float_from(*text_and("", "rating")).alias("rating"),
         _choose(routes, lambda m: _tags(F.col("_record"), m)).alias("tags"),
         _choose(routes, lambda m: _metadata(F.col("_record"), m)).alias("metadata"),
-        parse_ts(F.col("_published_at")).alias("published_at"),
+        parse_ts(F.col("_published_at_text")).alias("published_at"),
         F.array_compact(
             F.array(
                 F.when(~reduce(Column.__or__, [c for c, _ in routes]), "unknown_source_type"),
