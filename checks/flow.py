@@ -81,7 +81,7 @@ def _user_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = failure_streaks(
-        _user_attempts(spark, sf_dir), ["user_id"], "ts", "event_id", "failed", slot_seconds=DAY
+        _user_attempts(spark, sf_dir), ["user_id"], "ts", "event_id", "failed"
     )
     return found.select("event_id", "user_id", "streak")
 
@@ -89,7 +89,7 @@ def streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuits(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = circuit_state(
         _user_attempts(spark, sf_dir), ["user_id"], "ts", "event_id", "failed",
-        threshold=2, reset_s=DAY, slot_seconds=2 * DAY,
+        threshold=2, reset_s=DAY,
     )
     return states.select("event_id", "user_id", "allowed", "failures", "circuit")
 

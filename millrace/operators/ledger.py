@@ -124,8 +124,8 @@ def run_anomalies(
     k: int,
     z: float,
     metric: str = "records_extracted",
-    slot_seconds: int = 30 * 86_400,
     block_rows: int = 100_000,
+    slots: int | None = None,
 ) -> DataFrame:
     """Each run against its source's ``k`` runs before it.
 
@@ -133,7 +133,7 @@ def run_anomalies(
     ``is_anomaly`` (absolute score above ``z``). A source's runs are cut into blocks of
     ``block_rows``, so a source with very many runs spreads over tasks.
     """
-    numbered = number_rows(runs, SOURCE, ["started_at", "run_id"], slot_seconds, "run_no")
+    numbered = number_rows(runs, SOURCE, ["started_at", "run_id"], "run_no", slots)
     blocks = with_halo(numbered, "run_no", k, max(block_rows, k))
     by_block = W.partitionBy(*SOURCE, "_block").orderBy("run_no")
     before = by_block.rowsBetween(-k, -1)

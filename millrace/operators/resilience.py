@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
-from millrace.operators.slots import slot_of
+from millrace.operators.slots import in_slots
 
 # Error classes that a retry may cure, and the length an error body is cut to.
 RETRYABLE = ("rate_limit", "server", "timeout", "network", "unexpected")
@@ -88,15 +88,16 @@ def failure_streaks(
     ts: str,
     tie: str,
     failed: str,
-    slot_seconds: int = 86_400,
+    slots: int | None = None,
 ) -> DataFrame:
     """Attempts with ``streak``, the number of consecutive failures ending at each (0 on success).
 
-    Streaks are counted inside (key, time slot); a summary with one row per slot carries them over
-    slot borders, so a source with most of the attempts spreads over its slots.
+    Streaks are counted inside (key, slot); a summary with one row per slot carries them over slot
+    borders, so a source with most of the attempts spreads over its slots. ``tie`` tells attempts
+    of one time apart.
     """
     keys = list(keys)
-    slotted = attempts.withColumn("_slot", slot_of(F.col(ts), slot_seconds))
+    slotted = in_slots(attempts, keys, [ts, tie], slots)
     in_slot = W.partitionBy(*keys, "_slot").orderBy(ts, tie)
     numbered = slotted.withColumn("_n", F.row_number().over(in_slot)).withColumn(
         "_last_ok",
@@ -164,14 +165,18 @@ class _SlotReport:
     merge, so few are ever followed.
     """
 
-    def __init__(self, threshold: int, reset: int, starts_at: int) -> None:
-        self.threshold, self.reset, self.starts_at = threshold, reset, starts_at
+    def __init__(self, threshold: int, reset: int) -> None:
+        self.threshold, self.reset = threshold, reset
         self.tracks = {(count, None): [count] for count in range(threshold)}
         self.open_times: list[int] = []
-        self.previous: int | None = None
+        self.first: int | None = None
+        self.previous = 0
 
     def add(self, at: int, failed: bool) -> None:
-        if self.previous is None or self.previous < self.starts_at + self.reset:
+        if self.first is None:
+            self.first = self.previous = at
+        # An open period from before this slot ends within ``reset`` of its first attempt.
+        if self.previous < self.first + self.reset:
             self.tracks.setdefault((0, None), []).append(self.threshold + len(self.open_times))
             self.open_times.append(at)
         self.previous = at
@@ -207,7 +212,7 @@ def circuit_state(
     failed: str,
     threshold: int = THRESHOLD,
     reset_s: int = RESET_SECONDS,
-    slot_seconds: int | None = None,
+    slots: int | None = None,
 ) -> DataFrame:
     """Exact circuit state after every attempt of a source.
 
@@ -223,13 +228,11 @@ def circuit_state(
     keys = list(keys)
     columns = attempts.columns
     reset = reset_s * 1_000_000
-    slot_seconds = slot_seconds or max(3600, 60 * reset_s)
-    slot_us = slot_seconds * 1_000_000
     group = [*keys, "_slot"]
     key_fields = [attempts.schema[k] for k in keys]
     slot_field = T.StructField("_slot", T.LongType())
-    slotted = attempts.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn(
-        "_slot", slot_of(F.col(ts), slot_seconds)
+    slotted = in_slots(attempts, keys, [ts, tie], slots).withColumn(
+        "_us", F.unix_micros(F.col(ts).cast("timestamp"))
     )
 
     report_schema = T.StructType(
@@ -253,7 +256,7 @@ def circuit_state(
                     if slot_report is not None:
                         done.append(dict(zip(group, current, strict=True)) | slot_report.result())
                     current = owner
-                    slot_report = _SlotReport(threshold, reset, owner[-1] * slot_us)
+                    slot_report = _SlotReport(threshold, reset)
                 slot_report.add(at, bad)
             yield pa.RecordBatch.from_pylist(done, schema=arrow)
         if slot_report is not None:

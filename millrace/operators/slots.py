@@ -1,32 +1,42 @@
 """Ordered per-key computations that never put one key's whole history into one task.
 
-A key's rows are cut into time slots. Windows run inside (key, slot); what a slot needs to know
-about earlier ones comes from a summary with one row per slot, which is all that is ever ordered
-per key as a whole. Slot length trades rows per task against summary rows per key.
+Rows are range-partitioned by key and order, which cuts a key with most of the rows into as many
+slots as it needs, whatever its distribution in time. Windows run inside (key, slot); what a slot
+has to know about earlier ones comes from a summary with one row per slot, which is all that is
+ever ordered per key as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.session import durable
 
-def slot_of(ts: Column, slot_seconds: int) -> Column:
-    """Number of the fixed time slot an instant falls into."""
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(slot_seconds * 1_000_000)).cast(
-        "bigint"
-    )
+
+def in_slots(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slots: int | None = None
+) -> DataFrame:
+    """Rows with ``_slot``: slots hold similar numbers of rows and follow one another in order.
+
+    ``order`` must end in a column that tells all rows of a key apart. Slot borders come from a
+    sample, so the assignment is written to the shared folder once: summaries and rows, and a
+    task that has to be repeated, all see the same one.
+    """
+    by = [*keys, *order]
+    ranged = df.repartitionByRange(slots, *by) if slots else df.repartitionByRange(*by)
+    return durable(ranged.withColumn("_slot", F.spark_partition_id().cast("bigint")))
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], slot_seconds: int, to: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], to: str, slots: int | None = None
 ) -> DataFrame:
-    """``row_number`` over ``keys`` by ``order`` (the first of which is the time), as ``to``."""
+    """``row_number`` over ``keys`` by ``order``, as ``to``."""
     keys, order = list(keys), list(order)
-    slotted = df.withColumn("_slot", slot_of(F.col(order[0]), slot_seconds))
+    slotted = in_slots(df, keys, order, slots)
     before = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         slotted.groupBy(*keys, "_slot")

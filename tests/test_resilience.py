@@ -12,6 +12,7 @@ from millrace.operators.resilience import (
     error_records,
     failure_streaks,
 )
+from millrace.operators.slots import in_slots
 
 UTC = dt.timezone.utc
 START = dt.datetime(2024, 1, 1, tzinfo=UTC)
@@ -55,16 +56,16 @@ def fold(rows, threshold, reset_s):
 
 
 @pytest.mark.parametrize(
-    ("seed", "threshold", "reset_s", "slot", "failing"),
+    ("seed", "threshold", "reset_s", "slots", "failing"),
     [
-        (1, 5, 60, None, 0.7), (2, 3, 60, 61, 0.5), (3, 2, 100, 30, 0.6), (4, 1, 10, 5, 0.5),
-        (5, 5, 60, 120, 1.0), (6, 4, 700, 100, 0.9), (7, 5, 60, 60, 0.0),
+        (1, 5, 60, None, 0.7), (2, 3, 60, 9, 0.5), (3, 2, 100, 50, 0.6), (4, 1, 10, 150, 0.5),
+        (5, 5, 60, 20, 1.0), (6, 4, 700, 60, 0.9), (7, 5, 60, 1, 0.0),
     ],
 )
-def test_circuit_equals_the_sequential_definition(spark, seed, threshold, reset_s, slot, failing):
+def test_circuit_equals_the_sequential_definition(spark, seed, threshold, reset_s, slots, failing):
     rows = random_attempts(seed, failing=failing)
     got = circuit_state(
-        attempts_of(spark, rows), ["source"], "at", "id", "failed", threshold, reset_s, slot
+        attempts_of(spark, rows), ["source"], "at", "id", "failed", threshold, reset_s, slots
     ).collect()
     want = fold(rows, threshold, reset_s)
     assert len(got) == len(rows)
@@ -74,6 +75,13 @@ def test_circuit_equals_the_sequential_definition(spark, seed, threshold, reset_
         assert r.circuit == ("open" if until is not None else "closed")
 
 
+def test_a_source_with_most_attempts_spreads_over_slots(spark):
+    rows = [("hot", t, t, t % 4 > 0) for t in range(900)] + [("a", t, 1000 + t, True) for t in range(90)]
+    slotted = in_slots(attempts_of(spark, rows), ["source"], ["at", "id"], 12)
+    sizes = [r["count"] for r in slotted.groupBy("_slot").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 250
+
+
 def test_five_failures_open_for_a_minute(spark):
     rows = [("s", t, t, True) for t in range(5)] + [("s", 30, 30, False), ("s", 64, 64, True)]
     got = circuit_state(attempts_of(spark, rows), ["source"], "at", "id", "failed").orderBy("id").collect()
@@ -90,11 +98,11 @@ def test_success_clears_the_count():
     assert tuple(state) == (1, None)
 
 
-@pytest.mark.parametrize("slot", [1, 37, 100_000])
-def test_streaks_equal_the_sequential_count(spark, slot):
+@pytest.mark.parametrize("slots", [1, 7, 90])
+def test_streaks_equal_the_sequential_count(spark, slots):
     rows = random_attempts(11, failing=0.8)
     got = failure_streaks(
-        attempts_of(spark, rows), ["source"], "at", "id", "failed", slot_seconds=slot
+        attempts_of(spark, rows), ["source"], "at", "id", "failed", slots
     )
     counts, want = {}, {}
     for source, _, i, failed in sorted(rows, key=lambda r: (r[0], r[1], r[2])):

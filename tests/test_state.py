@@ -209,7 +209,7 @@ def test_numbering_by_slots_equals_a_window_per_key(spark):
         for i in range(400)
     ]
     df = spark.createDataFrame(rows, "k string, at timestamp, i int")
-    got = {r.i: r.n for r in number_rows(df, ["k"], ["at", "i"], 7, "n").collect()}
+    got = {r.i: r.n for r in number_rows(df, ["k"], ["at", "i"], "n", 7).collect()}
     seen = {}
     for k, _, i in sorted(rows):
         seen[k] = seen.get(k, 0) + 1
@@ -232,7 +232,7 @@ def test_anomalies_do_not_depend_on_block_size(spark):
         got = run_anomalies(runs, 4, 2.0, **size)
         return {r.run_id: (r.run_no, r.previous, r.window_mean, r.window_stddev) for r in got.collect()}
 
-    small, large = found(block_rows=4, slot_seconds=3600), found()
+    small, large = found(block_rows=4, slots=9), found()
     assert len(small) == 120 and small == large
     history = {}
     for _, name, run, _, value in sorted(rows, key=lambda r: (r[1], r[3], r[2])):
