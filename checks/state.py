@@ -11,8 +11,9 @@ from checks.common import AS_OF, ledger_from_orders, naive, table
 from millrace.operators.incremental import incremental, next_marks
 from millrace.operators.landing import backlog, dedup_content, unprocessed
 from millrace.operators.ledger import current_runs, fold_checkpoints, phase_means, run_anomalies
-from millrace.operators.lineage import lineage
+from millrace.operators.lineage import item_to_run, lineage
 from millrace.operators.upsert import duplicate_keys, mark_deleted, upsert
+from millrace.operators.validate import reject_attempts
 
 CUT = dt.datetime(2024, 1, 16)
 KEYS, MUTABLE, IMMUTABLE = (
@@ -221,6 +222,28 @@ def lineage_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage(items, raw, runs)
 
 
+def item_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as items, customers as the runs that wrote them."""
+    items = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("etl_run_id"), "o_orderpriority"
+    )
+    runs = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("status")
+    )
+    return item_to_run(items, runs)
+
+
+def reject_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error events as rejects of a user's record, one run per event."""
+    events = table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
+    rejects = events.select(
+        F.lit("api").alias("source_type"), F.lit("events").alias("source_name"),
+        F.col("user_id").cast("string").alias("raw_data_id"), F.col("ts").alias("at"),
+        F.col("event_id").cast("string").alias("etl_run_id"), F.col("props").alias("message"),
+    )
+    return reject_attempts(rejects)
+
+
 def _raw_and_processed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     raw = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("raw_id"), F.lit("csv").alias("source_type"),
@@ -372,6 +395,15 @@ QUERIES = {
                o_orderstatus AS file_path, c_mktsegment AS run_status, c_name AS run_started_at
         FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey
              LEFT JOIN customer ON c_custkey = o_custkey"""),
+    "lineage_item_run": (item_runs, """
+        SELECT o_custkey AS etl_run_id, o_orderkey AS id, o_orderpriority, c_mktsegment AS status
+        FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""),
+    "reject_attempts": (reject_history, """
+        SELECT 'api' AS source_type, 'events' AS source_name,
+               CAST(user_id AS VARCHAR) AS raw_data_id, count(*) AS attempts,
+               arg_min(CAST(event_id AS VARCHAR), ts) AS first_run_id,
+               arg_max(CAST(event_id AS VARCHAR), ts) AS last_run_id, arg_max(props, ts) AS message
+        FROM events WHERE event_type = 'error' GROUP BY user_id"""),
     "unprocessed": (unprocessed_rows, """
         SELECT o_orderkey AS raw_id, o_orderpriority AS source_name, o_orderdate AS ingested_at
         FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""),

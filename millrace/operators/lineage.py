@@ -20,6 +20,13 @@ def raw_to_run(raw: DataFrame, runs: DataFrame, run_key: str = "etl_run_id") ->
     )
 
 
+def item_to_run(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Items with the run that last wrote them; one run may own most items."""
+    return join_lookup(
+        items, runs.withColumnRenamed("run_id", "etl_run_id"), ["etl_run_id"], salt_by=["id"]
+    )
+
+
 def lineage(items: DataFrame, raw: DataFrame, runs: DataFrame) -> DataFrame:
     """Item, raw row and landing run, one row per item.
 

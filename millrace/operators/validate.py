@@ -154,3 +154,14 @@ def reject_reasons(validated: DataFrame, keys: Sequence[str]) -> DataFrame:
         .groupBy(*keys, "error")
         .agg(F.count("*").alias("records"))
     )
+
+
+def reject_attempts(rejects: DataFrame) -> DataFrame:
+    """How often each raw row was rejected, by which runs first and last, and why the last time."""
+    when = F.struct("at", "etl_run_id")
+    return rejects.groupBy("source_type", "source_name", "raw_data_id").agg(
+        F.count("*").alias("attempts"),
+        F.min_by("etl_run_id", when).alias("first_run_id"),
+        F.max_by("etl_run_id", when).alias("last_run_id"),
+        F.max_by("message", when).alias("message"),
+    )

@@ -15,7 +15,7 @@ from millrace.operators.ledger import FINISHED, LANDED, SOURCE, STARTED, ledger_
 from millrace.operators.normalize import normalize
 from millrace.operators.upsert import upsert
 from millrace.operators.validate import accepted, keep_where, rejected, run_outcome, validate
-from millrace.plans.store import Store, only_named
+from millrace.plans.store import SLICE, Store, only_named
 from millrace.sources.spec import SourceSpec
 
 
@@ -86,12 +86,17 @@ def load_backlog(
     outcome = spark.read.parquet(outcome_path)
 
     store.write_run(rejected(staged, as_of), "rejects", run_id)
-    touched = outcome.filter(F.col("records_loaded") > 0)
-    updates = accepted(staged).withColumn("etl_run_id", F.lit(run_id)).withColumn(
-        "updated_at", F.lit(as_of).cast("timestamp")
+    updates = store.with_bucket(accepted(staged)).withColumns(
+        {"etl_run_id": F.lit(run_id), "updated_at": F.lit(as_of).cast("timestamp")}
+    )
+    store.write_run(
+        updates.select(*SLICE).distinct().withColumn("run_id", F.lit(run_id)), "published", run_id
+    )
+    touched = spark.read.parquet(f"{store.root}/published/run_id={run_id}")
+    current = store.items(spark, touched, without_run=run_id)
+    store.write_run(
+        store.with_bucket(upsert(current, updates)), "items", run_id, partition_by=SLICE
     )
-    current = only_named(store.items(spark, without_run=run_id), touched, SOURCE)
-    store.write_run(upsert(current, updates), "items", run_id, partition_by=SOURCE)
     done = staged.filter(F.size("errors") == 0).select(
         F.col("raw_data_id").alias("raw_id"), F.lit(as_of).cast("timestamp").alias("processed_at")
     )

@@ -22,9 +22,30 @@ from millrace.schemas import ITEMS, LEDGER, PROCESSED, RAW, REJECTS
 MAX_NAMED = 1000
 
 
+PUBLISHED = T.StructType(
+    [
+        T.StructField("source_type", T.StringType()),
+        T.StructField("source_name", T.StringType()),
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+SLICE = (*SOURCE, "bucket")
+
+
 @dataclass(frozen=True)
 class Store:
+    """``buckets`` cuts the items of a source by key; a run rewrites only the buckets it touches.
+
+    Choose it once, so that one bucket of the largest source is a comfortable amount to rewrite.
+    """
+
     root: str
+    buckets: int = 1
+
+    def with_bucket(self, items: DataFrame) -> DataFrame:
+        hashed = F.pmod(F.xxhash64("external_id"), F.lit(self.buckets))
+        return items.withColumn("bucket", hashed.cast("int"))
 
     def _read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
         try:
@@ -57,20 +78,26 @@ class Store:
         mine = (F.col("run_id") == run_id) & (F.col("event_seq") == FINISHED)
         return not self.ledger(spark).filter(mine & (F.col("status") != "failed")).isEmpty()
 
-    def items(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
-        """The current items: of every source, the version its last loading run published."""
-        stored = self._read(
-            spark, "items", T.StructType([*ITEMS.fields, T.StructField("version", T.StringType())])
-        )
+    def items(
+        self, spark: SparkSession, touched: DataFrame | None = None, without_run: str | None = None
+    ) -> DataFrame:
+        """The current items: of every source and bucket, what its last loading run published.
+
+        ``touched`` limits the scan to some slices (``source_type``, ``source_name``, ``bucket``).
+        """
         loaded = (F.col("event_seq") == FINISHED) & (F.col("records_loaded") > 0)
+        runs = without(self.runs(spark), without_run).filter(loaded)
+        published = self._read(spark, "published", PUBLISHED)
         current = (
-            without(self.runs(spark), without_run)
-            .filter(loaded)
-            .groupBy(*SOURCE)
+            published.join(runs.select("run_id", *SOURCE, "started_at"), ["run_id", *SOURCE])
+            .groupBy(*SLICE)
             .agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("version"))
         )
-        named = [*SOURCE, "version"]
-        return only_named(stored, current, named).select(*ITEMS.names)
+        if touched is not None:
+            current = current.join(touched.select(*SLICE), list(SLICE), "left_semi")
+        folders = [T.StructField("bucket", T.IntegerType()), T.StructField("version", T.StringType())]
+        stored = self._read(spark, "items", T.StructType([*ITEMS.fields, *folders]))
+        return only_named(stored, current, [*SLICE, "version"]).select(*ITEMS.names)
 
     def open_raw(self, spark: SparkSession) -> DataFrame:
         """Raw rows of the runs that may still have unprocessed ones; finished clean runs are pruned."""

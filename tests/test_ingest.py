@@ -4,6 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators.upsert import duplicate_keys
+from millrace.operators.validate import reject_attempts
 from millrace.plans import ingest
 from millrace.plans.ingest import run_ingest
 from millrace.plans.store import Store
@@ -76,11 +78,27 @@ def test_incremental_runs(spark, tmp_path, as_of):
     # Nothing new.
     runs = run_ingest(spark, store, sources(second), "run-3", as_of + 2 * HOUR)
     assert outcome(runs) == {"events": ("success", 0, 0, 0), "shop": ("partial", 0, 0, 1)}
+    (tried,) = reject_attempts(store.rejects(spark)).collect()
+    assert (tried.attempts, tried.first_run_id, tried.last_run_id) == (3, "run-1", "run-3")
     marks = {r.source_name: r for r in store.checkpoints(spark).collect()}
     assert marks["events"].checkpoint_value == "2024-01-01T03:00:00"
     assert (marks["shop"].checkpoint_value, marks["shop"].total_records_processed) == ("10", 3)
 
 
+def test_a_run_rewrites_only_the_buckets_it_touches(spark, tmp_path, as_of):
+    store = Store(str(tmp_path), buckets=8)
+    rows = [event(i, "a", 1) for i in range(40)]
+    run_ingest(spark, store, [SourceSpec("api", "s", records_of(rows))], "run-1", as_of)
+    run_ingest(
+        spark, store, [SourceSpec("api", "s", records_of([event(7, "b", 2)]))], "run-2", as_of + HOUR
+    )
+    written = spark.read.parquet(f"{tmp_path}/items/version=run-2")
+    assert written.select("bucket").distinct().count() == 1
+    items = store.items(spark)
+    assert items.count() == 40 and duplicate_keys(items).isEmpty()
+    assert items.filter("external_id = '7'").first().title == "b"
+
+
 def test_one_unreadable_source_does_not_stop_the_others(spark, tmp_path, as_of):
     def broken(spark):
         raise ConnectionError("source down")
