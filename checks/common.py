@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.landing import stable_id
 from millrace.schemas import LEDGER
-from millrace.session import configure
+from millrace.session import configure, spread
 
 AS_OF = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table as input of costly per-row work."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def json_of(*columns: Column) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
@@ -67,7 +72,8 @@ def customer_payload() -> Column:
 
 def part_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(
-        table(spark, sf_dir, "part"), "csv", F.lit("parts"), part_payload(), F.col("p_partkey")
+        spread_table(spark, sf_dir, "part", "p_partkey"), "csv", F.lit("parts"), part_payload(),
+        F.col("p_partkey"),
     )
 
 
@@ -92,7 +98,8 @@ def event_payload() -> Column:
 
 def event_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(
-        table(spark, sf_dir, "events"), "api", F.lit("events"), event_payload(), F.col("event_id")
+        spread_table(spark, sf_dir, "events", "event_id"), "api", F.lit("events"),
+        event_payload(), F.col("event_id"),
     )
 
 

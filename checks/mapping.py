@@ -17,6 +17,7 @@ from checks.common import (
     page_item,
     part_raw,
     raw_rows,
+    spread_table,
     table,
 )
 from millrace.functions.parse import parse_float, parse_int, parse_ts, split_tags
@@ -55,7 +56,9 @@ def api_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_entry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", page_item().alias("xml"))
+    pages = spread_table(spark, sf_dir, "pages", "page_id").select(
+        "page_id", page_item().alias("xml")
+    )
     record = F.to_json(entry_record(F.col("entry")), {"ignoreNullFields": "false"})
     return raw_rows(
         parse_entries(pages, "xml"), "rss", F.lit("pages"), record, F.col("page_id")
@@ -84,7 +87,7 @@ def custom_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source of kind feed, which has no mapping of its own, given one that routes categories."""
     from millrace.sources.spec import KIND_MAPPINGS, FieldMapping
 
-    conversations = table(spark, sf_dir, "conversations")
+    conversations = spread_table(spark, sf_dir, "conversations", "conv_id")
     payload = json_of(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
         F.col("text").alias("body"),
@@ -161,7 +164,7 @@ def page_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def presence_first_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events", "event_id")
     case = F.col("event_id") % 4
     value = F.col("value").cast("string")
     head = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"))
@@ -231,7 +234,7 @@ def safe_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metadata_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events", "event_id")
     payload = json_of(
         F.col("event_id").alias("id"), F.col("event_type").alias("name"), F.col("user_id"),
         F.from_json("props", "k bigint").alias("props"), F.lit(None).cast("string").alias("note"),
@@ -254,13 +257,14 @@ def document_raw(spark: SparkSession, sf_dir: str, by_source: bool = False) -> D
         F.col("lang").alias("category"), F.col("n_chars").cast("string").alias("cost"),
     )
     name = F.col("source") if by_source else F.lit("documents")
-    return raw_rows(table(spark, sf_dir, "documents"), "csv", name, payload, F.col("doc_id"))
+    documents = spread_table(spark, sf_dir, "documents", "doc_id")
+    return raw_rows(documents, "csv", name, payload, F.col("doc_id"))
 
 
 def customer_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(
-        table(spark, sf_dir, "customer"), "csv", F.lit("customers"), customer_payload(),
-        F.col("c_custkey"),
+        spread_table(spark, sf_dir, "customer", "c_custkey"), "csv", F.lit("customers"),
+        customer_payload(), F.col("c_custkey"),
     )
 
 
@@ -297,13 +301,14 @@ def load_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loaded rows include repeats of an item; distinct items are counted beside them."""
     payload = json_of(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("name"))
     raw = raw_rows(
-        table(spark, sf_dir, "events"), "csv", F.col("event_type"), payload, F.col("event_id")
+        spread_table(spark, sf_dir, "events", "event_id"), "csv", F.col("event_type"), payload,
+        F.col("event_id"),
     )
     return run_outcome(validate(normalize(raw)), ["source_type", "source_name"])
 
 
 def land_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = spread_table(spark, sf_dir, "events", "event_id")
     records = events.select(
         F.concat(
             F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"created_at":"'),

@@ -16,6 +16,7 @@ from millrace.operators.normalize import normalize
 from millrace.operators.upsert import upsert
 from millrace.operators.validate import accepted, keep_where, rejected, run_outcome, validate
 from millrace.plans.store import SLICE, Store, only_named
+from millrace.session import spread
 from millrace.sources.spec import SourceSpec
 
 
@@ -76,7 +77,11 @@ def load_backlog(
 
     The validated rows are written once; items, rejects and the processed log read that copy.
     """
-    open_rows = unprocessed(store.open_raw(spark), store.processed(spark, without_run=run_id))
+    # What this run landed cannot have been processed, so only older runs' rows are looked up.
+    left_over = unprocessed(
+        store.open_raw(spark, without_run=run_id), store.processed(spark, without_run=run_id)
+    )
+    open_rows = spread(store.raw_of_run(spark, run_id), "raw_id").unionByName(left_over)
     checked = validate(normalize(open_rows, overrides=overrides))
     staged = spark.read.schema(checked.schema).parquet(
         _staged(checked, store, run_id)
@@ -171,8 +176,7 @@ def run_ingest(
             store.write_run(
                 reduce(DataFrame.unionByName, landed), "raw", run_id, partition_by=["source_type"]
             )
-            mine = store.raw(spark).filter(F.col("etl_run_id") == run_id)
-            extracted = _marks_after(mine, readable, as_of)
+            extracted = _marks_after(store.raw_of_run(spark, run_id), readable, as_of)
         with_marks = (
             with_errors.join(extracted, list(SOURCE), "left")
             if extracted is not None

@@ -99,11 +99,14 @@ class Store:
         stored = self._read(spark, "items", T.StructType([*ITEMS.fields, *folders]))
         return only_named(stored, current, [*SLICE, "version"]).select(*ITEMS.names)
 
-    def open_raw(self, spark: SparkSession) -> DataFrame:
+    def raw_of_run(self, spark: SparkSession, run_id: str) -> DataFrame:
+        return self.raw(spark).filter(F.col("etl_run_id") == run_id)
+
+    def open_raw(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
         """Raw rows of the runs that may still have unprocessed ones; finished clean runs are pruned."""
         settled = (F.col("event_seq") == FINISHED) & (F.col("status") == "success")
         still_open = (
-            self.runs(spark)
+            without(self.runs(spark), without_run)
             .filter((F.col("event_seq") >= LANDED) & ~settled)
             .select(F.col("run_id").alias("etl_run_id"))
             .distinct()

@@ -24,6 +24,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(scan: DataFrame, *by: str) -> DataFrame:
+    """The rows of a file scan over all cores where few or unsplittable files give too few tasks.
+
+    A scan with enough tasks is left alone, so large inputs are not shuffled. Spark sizes the new
+    partitions, so a small input does not turn into many empty tasks.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(*by) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; on a local session without one, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
