@@ -172,14 +172,13 @@ def ledger_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
             ]
         )
 
-    events = F.array_compact(
-        F.array(
-            event(0, {}),
-            F.when(finished, event(1, landed)),
-            F.when(finished, event(2, {**landed, **ended})),
-        )
+    events = F.array(
+        event(0, {}),
+        F.when(finished, event(1, landed)),
+        F.when(finished, event(2, {**landed, **ended})),
     )
-    return orders.select(F.explode(events).alias("_e")).select("_e.*")
+    exploded = orders.select(F.explode(events).alias("_e"))
+    return exploded.filter(F.col("_e").isNotNull()).select("_e.*")
 
 
 def part_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,21 +54,29 @@ def _metadata(record: Column, mapping: FieldMapping) -> Column:
     return rest
 
 
-def normalize(
-    raw: DataFrame,
-    mappings: Mapping[str, FieldMapping] = KIND_MAPPINGS,
-    overrides: Mapping[tuple[str, str], FieldMapping] | None = None,
-) -> DataFrame:
-    """Raw rows to unified columns.
+_NUMBERS = ("amount", "quantity", "rating")
+_TARGETS = ("external_id", *_TEXT_TARGETS, *_NUMBERS, "published_at")
+_CARRIED = ("source_type", "source_name", "ingested_at", "etl_run_id", "ordinal")
+_UNCHANGED = (
+    "raw_data_id", *_CARRIED, "external_id", *_TEXT_TARGETS[1:], "amount", "quantity_number", "rating",
+    "published_at", "map_errors",
+)
 
-    ``overrides`` maps (source_type, source_name) to a mapping that replaces the kind's one.
-    ``map_errors`` lists the fields that cannot be mapped and ``quantity_number`` keeps the
-    quantity before truncation; :func:`millrace.operators.validate.validate` reads both.
+
+@lru_cache(maxsize=64)
+def _steps(
+    application: str,
+    mappings: tuple[tuple[str, FieldMapping], ...],
+    overrides: tuple[tuple[tuple[str, str], FieldMapping], ...],
+) -> list[list]:
+    """The select lists of the mapping, one after the other.
+
+    Each step's columns are used several times by the next, so each is worked out only once. The
+    lists are kept per application, as a stream maps every micro-batch in the same way.
     """
     kind, name = F.col("source_type"), F.col("source_name")
-    routes = [
-        ((kind == k) & (name == n), mapping) for (k, n), mapping in (overrides or {}).items()
-    ] + [(kind == k, mapping) for k, mapping in mappings.items()]
+    routes = [((kind == k) & (name == n), mapping) for (k, n), mapping in overrides]
+    routes += [(kind == k, mapping) for k, mapping in mappings]
 
     def picked(target: str) -> Column:
         return _choose(
@@ -78,32 +86,30 @@ def normalize(
             ),
         )
 
-    numbers = ("amount", "quantity", "rating")
-    targets = ("external_id", *_TEXT_TARGETS, *numbers, "published_at")
-    carried = ["raw_id", "source_type", "source_name", "ingested_at", "etl_run_id", "ordinal"]
-    # Each step's columns are used several times by the next, so each is worked out only once.
-    found = raw.select(
-        *carried, as_record(F.col("raw_payload")).alias("_record")
-    ).select(
-        *carried, "_record", *[picked(t).alias(f"_{t}") for t in targets]
-    ).select(
-        *carried,
-        "_record",
-        *[F.col(f"_{t}") for t in targets if t in ("external_id", *numbers)],
-        *[F.col(f"_{t}").cast("string").alias(f"_{t}_text") for t in targets],
-        *[kind_of(F.col(f"_{t}")).alias(f"_{t}_kind") for t in _TEXT_TARGETS],
-    )
-
     def text_and(part: str, target: str) -> tuple[Column, Column]:
         return F.col(f"_{target}_text"), F.col(f"_{target}{part}")
 
-    typed = found.select(
+    parsed = ["raw_id", *_CARRIED, as_record(F.col("raw_payload")).alias("_record")]
+    found = ["raw_id", *_CARRIED, "_record", *[picked(t).alias(f"_{t}") for t in _TARGETS]]
+    read = [
+        "raw_id",
+        *_CARRIED,
+        "_record",
+        *[f"_{t}" for t in ("external_id", *_NUMBERS)],
+        *[F.col(f"_{t}").cast("string").alias(f"_{t}_text") for t in _TARGETS],
+        *[kind_of(F.col(f"_{t}")).alias(f"_{t}_kind") for t in _TEXT_TARGETS],
+    ]
+    problems = F.array(
+        F.when(~reduce(Column.__or__, [c for c, _ in routes]), "unknown_source_type"),
+        F.when(F.col("_record").isNull(), "payload_not_object"),
+        *[
+            F.when(~F.col(f"_{t}_kind").isin("STRING", "VOID"), f"{t}_not_text")
+            for t in _TEXT_TARGETS
+        ],
+    )
+    typed = [
         F.col("raw_id").alias("raw_data_id"),
-        "source_type",
-        "source_name",
-        "ingested_at",
-        "etl_run_id",
-        "ordinal",
+        *_CARRIED,
         text_from(*text_and("", "external_id")).alias("external_id"),
         *[text_if_text(*text_and("_kind", t)).alias(t) for t in _TEXT_TARGETS],
         float_from(*text_and("", "amount")).alias("amount"),
@@ -112,24 +118,34 @@ def normalize(
         _choose(routes, lambda m: _tags(F.col("_record"), m)).alias("tags"),
         _choose(routes, lambda m: _metadata(F.col("_record"), m)).alias("metadata"),
         parse_ts(F.col("_published_at_text")).alias("published_at"),
-        F.array_compact(
-            F.array(
-                F.when(~reduce(Column.__or__, [c for c, _ in routes]), "unknown_source_type"),
-                F.when(F.col("_record").isNull(), "payload_not_object"),
-                *[
-                    F.when(~F.col(f"_{t}_kind").isin("STRING", "VOID"), f"{t}_not_text")
-                    for t in _TEXT_TARGETS
-                ],
-            )
-        ).alias("map_errors"),
-    )
-    return typed.select(
-        *[c for c in typed.columns if c not in ("title", "tags", "metadata", "map_errors")],
+        F.array_compact(problems).alias("map_errors"),
+    ]
+    cleaned = [
+        *_UNCHANGED,
         F.col("title").alias("title_as_given"),
         strip(F.col("title")).alias("title"),
         truncate_to_long(F.col("quantity_number")).alias("quantity"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
         F.coalesce("metadata", F.create_map().cast("map<string,variant>")).alias("metadata"),
         F.lit("active").alias("status"),
-        "map_errors",
+    ]
+    return [parsed, found, read, typed, cleaned]
+
+
+def normalize(
+    raw: DataFrame,
+    mappings: Mapping[str, FieldMapping] = KIND_MAPPINGS,
+    overrides: Mapping[tuple[str, str], FieldMapping] | None = None,
+) -> DataFrame:
+    """Raw rows to unified columns.
+
+    ``overrides`` maps (source_type, source_name) to a mapping that replaces the kind's one.
+    ``map_errors`` lists the fields that cannot be mapped and ``quantity_number`` keeps the
+    quantity before truncation; :func:`millrace.operators.validate.validate` reads both.
+    """
+    steps = _steps(
+        raw.sparkSession.sparkContext.applicationId,
+        tuple(mappings.items()),
+        tuple((overrides or {}).items()),
     )
+    return reduce(lambda df, columns: df.select(*columns), steps, raw)

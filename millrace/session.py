@@ -17,6 +17,9 @@ SETTINGS = {
 }
 
 
+MAX_SPREAD = 32
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; safe to call on a session that is already in use."""
     for key, value in SETTINGS.items():
@@ -25,13 +28,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def spread(scan: DataFrame, *by: str) -> DataFrame:
-    """The rows of a file scan over all cores where few or unsplittable files give too few tasks.
+    """The rows of a file scan over more tasks where few or unsplittable files leave cores idle.
 
-    A scan with enough tasks is left alone, so large inputs are not shuffled. Spark sizes the new
-    partitions, so a small input does not turn into many empty tasks.
+    A scan with a task per core is left alone, so large inputs are not shuffled. One task becomes
+    at most ``MAX_SPREAD``, so a small input on a large cluster does not turn into dust.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(*by) if scan.rdd.getNumPartitions() < cores else scan
+    tasks, cores = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
+    if tasks >= cores:
+        return scan
+    return scan.repartition(min(cores, max(tasks, 1) * MAX_SPREAD), *by)
 
 
 def shared_dir(spark: SparkSession) -> str:
