@@ -40,15 +40,18 @@ def spread(scan: DataFrame, *by: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; on a local session without one, a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that ``spark.checkpoint.dir`` or ``SparkContext.setCheckpointDir`` names.
+
+    Only a ``local`` session, whose executors are this process, may do without: it gets a temporary one.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+    return context.getCheckpointDir()
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
