@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality, url_filters
-from .common import table
+from . import exact_dedup, mixing, near_dedup, packing, quality, url_filters
+from .common import table, written
 
 #: The rules of the url query.
 URL_RULES = (
@@ -36,6 +36,50 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def by_thirds(sizes: DataFrame) -> DataFrame:
+    """Weights 3, 1, 2 by rank: the first class rises over the run, the second falls, the third is level."""
+
+    def knots(start: float, end: float):
+        return F.array(
+            F.struct(F.lit(0.0).alias("at"), F.lit(start).alias("weight")),
+            F.struct(F.lit(1.0).alias("at"), F.lit(end).alias("weight")),
+        )
+
+    kind = F.col("rank") % 3
+    return sizes.withColumn(
+        "knots", F.when(kind == 0, knots(1.5, 4.5)).when(kind == 1, knots(1.5, 0.5)).otherwise(knots(2.0, 2.0))
+    )
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sized = written(mixing.sized(docs).select(mixing.ID, mixing.SOURCE, mixing.SIZE, mixing.ORDER), "sized")
+    mixed = mixing.mix(sized, by_thirds)
+    taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda total, one: total + one["taken"])
+    return mixed.select(
+        F.col(mixing.ID).alias("doc_id"),
+        F.col(mixing.SIZE).alias("size"),
+        "source_size",
+        "target",
+        taken.alias("taken"),
+        F.get("passes", F.lit(0))["position"].alias("position"),
+    ).orderBy(F.col("position").asc_nulls_last())
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 SQL_URL = """
     WITH rules(rule_host, rule_path, verdict) AS (VALUES {rules}),
     urls AS (
@@ -102,8 +146,55 @@ SQL_EXACT = """
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+SQL_MIX = r"""
+    WITH sized AS (
+        SELECT doc_id, source, text,
+               len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+               CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 15)
+                    AS BIGINT) AS drawn
+        FROM documents),
+    sources AS (
+        SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+               row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank
+        FROM sized GROUP BY source),
+    weighted AS (
+        SELECT *, [3.0, 1.0, 2.0][rank % 3 + 1]::DOUBLE AS weight,
+               [1.5, 1.5, 2.0][rank % 3 + 1]::DOUBLE AS w0, [3.0, -1.0, 0.0][rank % 3 + 1]::DOUBLE AS slope,
+               2.0::DOUBLE * source_size AS cap
+        FROM sources),
+    filling AS (
+        SELECT *, cap / weight AS fills, 1.5::DOUBLE * (SELECT sum(source_size) FROM sources) AS total,
+               coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier,
+               sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS beyond
+        FROM weighted),
+    levels AS (
+        SELECT *, max(CASE WHEN (total - earlier) / beyond <= fills THEN (total - earlier) / beyond END) OVER () AS level
+        FROM filling),
+    mixture AS (SELECT *, least(cap, coalesce(level * weight, cap)) AS target FROM levels),
+    placed AS (
+        SELECT s.doc_id, s.size, m.source_size, m.target, m.weight, m.w0, m.slope,
+               CAST(floor(m.target + 0.5) AS BIGINT) AS want,
+               CAST(coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.drawn, s.doc_id, s.size
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead
+        FROM sized s JOIN mixture m ON s.source IS NOT DISTINCT FROM m.source),
+    taken AS (
+        SELECT *, least(size, greatest(want - ahead, 0)) AS pass1,
+               least(size, greatest(want - source_size - ahead, 0)) AS pass2,
+               ahead / target * weight AS demand
+        FROM placed)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(pass1 + pass2 AS BIGINT) AS taken,
+           CASE WHEN pass1 > 0 THEN CASE WHEN demand <= 0 THEN 0.0::DOUBLE ELSE
+               2 * demand / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * demand, 0))) END END AS position
+    FROM taken
+"""
+
 QUERIES = {
     "op2_url_filter": (op2_url_filter, SQL_URL),
     "op3_quality_rules": (op3_quality_rules, SQL_QUALITY),
     "op5_exact_dedup": (op5_exact_dedup, SQL_EXACT),
+    "op6_source_mix": (op6_source_mix, SQL_MIX),
+    "op8_packing": (op8_packing, None),
+    "op9_near_dedup": (op9_near_dedup, None),
 }
