@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, url_filters
+from millrace.session import fresh_path
+
+from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
 from .common import table, written
 
 #: The rules of the url query.
@@ -23,6 +25,21 @@ def url_rules(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archives(pages, path)
+    records = warc.read_archives(spark, path).filter(F.col("status") == "record")
+    header, kind = F.col("headers"), pages.schema["page_id"].dataType
+    return records.select(
+        F.try_element_at(header, F.lit(warc.PAGE_ID)).cast(kind).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.try_element_at(header, F.lit(warc.REFERS_TO)).cast(kind).alias("refers_to"),
+    )
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_rules(spark))
 
@@ -32,6 +49,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
+    scored = toxicity.score_toxicity(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        table(spark, sf_dir, "labels").select("doc_id", "toxic"),
+        learnable=remainder != 2,
+    )
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -66,6 +93,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.col("position").asc_nulls_last())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``/source/lang/doc_id``."""
+    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -80,6 +114,52 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda one: F.concat(one["start"].cast("string"), F.lit("-"), one["end"].cast("string")))
+    return turns.withColumn("mask", F.array_join(spans, ","))
+
+
+SQL_WARC = """
+    WITH hashed AS (
+        SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
+               max(page_id) OVER (PARTITION BY coalesce(html, '')) AS keeper
+        FROM pages),
+    digits AS (SELECT *, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' AS letters FROM hashed)
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda k: letters[
+               (CAST('0x' || substr(hex, 5 * (k // 4) + 1, 5) AS INTEGER) >> (15 - 5 * (k % 4))::INTEGER) % 32 + 1]), '')
+               AS payload_digest,
+           CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM digits
+"""
+
+SQL_CHAT = """
+    WITH turns AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
+               replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / 64) AS BIGINT) AS "window"
+        FROM conversations),
+    seen AS (
+        SELECT s.perspective, t.*, s.perspective = t.role AS own,
+               CASE WHEN s.perspective = t.role THEN '<|assistant|>' || chr(10)
+                    WHEN t.role = 'system' THEN '<|system|>' || chr(10)
+                    ELSE '<|user name=' || replace(t.role, '<|', '< |') || '|>' || chr(10) END AS header,
+               t.text || '<|end|>' || chr(10) AS body
+        FROM turns t JOIN (SELECT DISTINCT conv_id, "window", role AS perspective FROM turns WHERE role <> 'system') s
+          ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s."window" IS NOT DISTINCT FROM t."window"),
+    placed AS (
+        SELECT *, coalesce(sum(length(header || body)) OVER (
+            PARTITION BY conv_id, "window", perspective ORDER BY turn, role, text
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+        FROM seen)
+    SELECT conv_id, "window", CAST(0 AS BIGINT) AS part, perspective, count(*) AS n_turns,
+           string_agg(header || body, '' ORDER BY turn, role, text) AS text,
+           coalesce(string_agg(CAST(pos + length(header) AS BIGINT) || '-' || CAST(pos + length(header || body) AS BIGINT), ','
+                    ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
+    FROM placed GROUP BY conv_id, "window", perspective
+"""
+
 SQL_URL = """
     WITH rules(rule_host, rule_path, verdict) AS (VALUES {rules}),
     urls AS (
@@ -191,10 +271,14 @@ SQL_MIX = r"""
 """
 
 QUERIES = {
+    "op1_warc": (op1_warc, SQL_WARC),
     "op2_url_filter": (op2_url_filter, SQL_URL),
     "op3_quality_rules": (op3_quality_rules, SQL_QUALITY),
+    "op4_toxicity": (op4_toxicity, None),
     "op5_exact_dedup": (op5_exact_dedup, SQL_EXACT),
     "op6_source_mix": (op6_source_mix, SQL_MIX),
+    "op7_license_scan": (op7_license_scan, None),
     "op8_packing": (op8_packing, None),
     "op9_near_dedup": (op9_near_dedup, None),
+    "op10_chat": (op10_chat, SQL_CHAT),
 }
