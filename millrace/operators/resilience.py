@@ -162,37 +162,52 @@ class _SlotReport:
     Entered closed, the count is below the threshold. Entered open, nothing happens up to the
     first attempt at or after the end of the open period, which meets a cleared circuit; so every
     attempt that may be that first one starts a track of its own. Tracks that reach the same state
-    merge, so few are ever followed.
+    merge, so few are ever followed; every origin points on to the one it merged into, so the
+    report takes time linear in the attempts.
     """
 
     def __init__(self, threshold: int, reset: int) -> None:
         self.threshold, self.reset = threshold, reset
-        self.tracks = {(count, None): [count] for count in range(threshold)}
+        self.merged = list(range(threshold))
+        self.tracks = {(count, None): count for count in range(threshold)}
         self.open_times: list[int] = []
         self.first: int | None = None
         self.previous = 0
 
+    def _follow(self, tracks: dict, state: tuple, origin: int) -> None:
+        self.merged[origin] = tracks.setdefault(state, origin)
+
+    def _leader(self, origin: int) -> int:
+        leader = origin
+        while self.merged[leader] != leader:
+            leader = self.merged[leader]
+        while self.merged[origin] != leader:
+            self.merged[origin], origin = leader, self.merged[origin]
+        return leader
+
     def add(self, at: int, failed: bool) -> None:
         if self.first is None:
             self.first = self.previous = at
         # An open period from before this slot ends within ``reset`` of its first attempt.
         if self.previous < self.first + self.reset:
-            self.tracks.setdefault((0, None), []).append(self.threshold + len(self.open_times))
+            self.merged.append(len(self.merged))
+            self._follow(self.tracks, (0, None), len(self.merged) - 1)
             self.open_times.append(at)
         self.previous = at
         moved: dict = {}
-        for (failures, until), origins in self.tracks.items():
+        for (failures, until), origin in self.tracks.items():
             failures, until, _ = circuit_step(
                 failures, until, at, failed, self.threshold, self.reset
             )
-            moved.setdefault((failures, until), []).extend(origins)
+            self._follow(moved, (failures, until), origin)
         self.tracks = moved
 
     def result(self) -> dict:
-        ends: list = [None] * (self.threshold + len(self.open_times))
-        for (failures, until), origins in self.tracks.items():
-            for origin in origins:
-                ends[origin] = {"failures": failures, "until": until}
+        reached = {
+            origin: {"failures": failures, "until": until}
+            for (failures, until), origin in self.tracks.items()
+        }
+        ends = [reached[self._leader(origin)] for origin in range(len(self.merged))]
         times: list[int] = []
         open_ends: list[dict] = []
         for at, end in zip(self.open_times, ends[self.threshold :], strict=True):

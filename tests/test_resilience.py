@@ -1,9 +1,12 @@
 import datetime as dt
 import random
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import resilience
 from millrace.operators.resilience import (
     backoff,
     circuit_state,
@@ -143,3 +146,17 @@ def test_error_records_cut_the_body(spark):
     (record,) = error_records(classify_outcome(rows), ["url", "status_code"]).collect()
     assert record.context == {"url": "u", "status_code": "503", "response_body": "b" * 500}
     assert record.error_class == "server"
+
+
+def test_slot_report_is_linear_in_the_attempts():
+    def seconds(n):
+        report = resilience._SlotReport(5, 10 * n)
+        began = time.perf_counter()
+        for at in range(n):
+            report.add(at, at % 3 > 0)
+        ends = report.result()
+        assert len(ends["closed"]) == 5 and ends["open_times"][-1] == n - 1
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(80_000) < 30 * seconds(8_000)
