@@ -26,7 +26,7 @@ from millrace.operators.landing import land
 from millrace.operators.normalize import normalize
 from millrace.operators.validate import reject_reasons, rejected, run_outcome, validate
 from millrace.session import fresh_path
-from millrace.sources.csv import csv_records, read_csv_source
+from millrace.sources.csv import csv_records, csv_rejects, read_csv_source
 from millrace.sources.feed import (
     entry_record,
     feed_records,
@@ -342,6 +342,51 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in files whose columns differ in order and number; every tenth line has a cell too many."""
+    path = fresh_path(spark, "mixed-csv")
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").withColumn("form", key % 2)
+    surplus = F.when(key % 10 == 0, ",more").otherwise("")
+    by_form = F.when(F.col("form") == 0, F.concat_ws(",", key.cast("string"), "p_name", F.concat("p_brand", surplus))
+                     ).otherwise(F.concat_ws(",", "p_name", F.concat(key.cast("string"), surplus)))
+    header = F.when(F.col("form") == 0, "ID,Product Name,Category").otherwise("Product Name,ID")
+    (
+        parts.groupBy("form")
+        .agg(F.first(header).alias("header"), F.concat_ws("\n", F.array_sort(F.collect_list(by_form))).alias("lines"))
+        .select("form", F.concat_ws("\n", "header", "lines").alias("value"))
+        .repartition("form").write.partitionBy("form").text(path)
+    )
+    rows = read_csv_source(spark, path, multi_line=False).select("id", "product_name", "category", F.lit(False).alias("rejected"))
+    cells, even = F.col("cells"), F.size("cells") == 4
+    rejects = csv_rejects(spark, path, multi_line=False).select(
+        F.when(even, cells[0]).otherwise(cells[1]).alias("id"),
+        F.when(even, cells[1]).otherwise(cells[0]).alias("product_name"),
+        F.when(even, F.get(cells, F.lit(2))).alias("category"), F.lit(True).alias("rejected"),
+    )
+    return rows.unionByName(rejects)
+
+
+def feed_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of even number as RSS items and the others as Atom entries, in one folder."""
+    path = fresh_path(spark, "mixed-feeds")
+    pages = table(spark, sf_dir, "pages").withColumn("form", F.col("page_id") % 2)
+    number = F.col("page_id").cast("string")
+    entry = F.when(
+        F.col("form") == 0, F.concat(F.lit("<item><title>p"), number, F.lit("</title><guid>"), number, F.lit("</guid></item>"))
+    ).otherwise(F.concat(F.lit("<entry><title>p"), number, F.lit("</title><id>"), number, F.lit("</id></entry>")))
+    feeds = pages.groupBy("form").agg(F.concat_ws("", F.array_sort(F.collect_list(entry))).alias("entries"))
+    document = F.when(
+        F.col("form") == 0, F.concat(F.lit("<rss><channel>"), "entries", F.lit("</channel></rss>"))
+    ).otherwise(F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")))
+    feeds.select("form", document.alias("value")).repartition("form").write.partitionBy("form").text(path)
+    records = feed_records(read_feed(spark, path))
+    return records.select(
+        F.get_json_object("payload", "$.id").cast("bigint").alias("page_id"),
+        F.get_json_object("payload", "$.title").alias("title"),
+    )
+
+
 def _write_feeds(spark: SparkSession, sf_dir: str) -> str:
     """Feeds of up to ten pages, one file each; a feed with a page of host ``m.`` is cut short."""
     path = fresh_path(spark, "page-feeds")
@@ -506,6 +551,11 @@ QUERIES = {
                    AS content_hash,
                'run-1' AS etl_run_id, 'events' AS file_path, TIMESTAMP '2024-02-01' AS ingested_at
         FROM events"""),
+    "csv_mixed_headers": (csv_mixed_headers, """
+        SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS product_name,
+               CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS category, p_partkey % 10 = 0 AS rejected
+        FROM part"""),
+    "feed_mixed": (feed_mixed, "SELECT page_id, 'p' || page_id AS title FROM pages"),
     "csv_scan": (csv_scan, """
         SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name AS title,
                'say "' || p_brand || '",' || chr(10) || p_type AS description,

@@ -43,21 +43,27 @@ ENTRY = T.StructType(
 )
 
 _CORRUPT = "_corrupt_record"
-_CLOSING = {"item": "</(?:[A-Za-z]+:)?(?:rss|rdf|RDF)>", "entry": "</(?:[A-Za-z]+:)?feed>"}
+_CLOSING = "</(?:[A-Za-z]+:)?(?:rss|rdf|RDF|feed)>"
+_TAGS = ("item", "entry")
 
 
-def _scan(spark: SparkSession, paths: str | Sequence[str], row_tag: str) -> DataFrame:
+def _scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """RSS items and Atom entries of all files, numbered where they are read."""
     schema = T.StructType([*ENTRY.fields, T.StructField(_CORRUPT, _TEXT)])
-    return (
+    scans = [
         spark.read.format("xml")
-        .options(rowTag=row_tag, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
+        .options(rowTag=tag, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
         .schema(schema)
         .load([paths] if isinstance(paths, str) else list(paths))
-        .select("*", F.col("_metadata.file_path").alias("_part"))
-    )
+        .select(
+            "*", F.col("_metadata.file_path").alias("_part"), F.monotonically_increasing_id().alias("_pos")
+        )
+        for tag in _TAGS
+    ]
+    return scans[0].unionByName(scans[1])
 
 
-def feed_rejects(spark: SparkSession, paths: str | Sequence[str], row_tag: str = "item") -> DataFrame:
+def feed_rejects(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Files that are not well-formed feeds, one row each: ``file_path`` and a ``message``.
 
     A file is rejected when one of its entries does not parse or when its root element is not
@@ -67,7 +73,7 @@ def feed_rejects(spark: SparkSession, paths: str | Sequence[str], row_tag: str =
     # Spark parses only the columns a query uses, so the check uses all of them.
     whole = F.length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in ENTRY.names]))) > 0
     broken = (
-        _scan(spark, paths, row_tag)
+        _scan(spark, paths)
         .filter(F.col(_CORRUPT).isNotNull() & whole)
         .groupBy(F.col("_part").alias("file_path"))
         .agg(F.concat(F.count("*").cast("string"), F.lit(" entries do not parse")).alias("message"))
@@ -76,7 +82,7 @@ def feed_rejects(spark: SparkSession, paths: str | Sequence[str], row_tag: str =
         spark.read.text(load)
         .select(F.col("_metadata.file_path").alias("file_path"), "value")
         .groupBy("file_path")
-        .agg(F.max(F.col("value").rlike(_CLOSING[row_tag])).alias("closed"))
+        .agg(F.max(F.col("value").rlike(_CLOSING)).alias("closed"))
         .filter(~F.col("closed"))
         .select("file_path", F.lit("root element is not closed").alias("message"))
     )
@@ -85,10 +91,10 @@ def feed_rejects(spark: SparkSession, paths: str | Sequence[str], row_tag: str =
     )
 
 
-def read_feed(spark: SparkSession, paths: str | Sequence[str], row_tag: str = "item") -> DataFrame:
-    """Entries of the well-formed feeds among ``paths``; a malformed feed gives no entries at all."""
-    entries = _scan(spark, paths, row_tag)
-    rejected = feed_rejects(spark, paths, row_tag).select(F.col("file_path").alias("_part"))
+def read_feed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Entries of the well-formed feeds among ``paths``, RSS and Atom alike; a malformed feed gives none."""
+    entries = _scan(spark, paths)
+    rejected = feed_rejects(spark, paths).select(F.col("file_path").alias("_part"))
     return entries.join(rejected, "_part", "left_anti").drop(_CORRUPT)
 
 
@@ -148,6 +154,6 @@ def feed_records(entries: DataFrame) -> DataFrame:
         F.struct(
             F.col("_part").alias("part"),
             F.lit(0).cast("bigint").alias("block"),
-            F.monotonically_increasing_id().alias("pos"),
+            F.col("_pos").alias("pos"),
         ).alias("ordinal"),
     )

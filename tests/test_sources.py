@@ -4,7 +4,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources.csv import csv_records, read_csv_source
+from millrace.sources.csv import csv_records, csv_rejects, read_csv_source
 from millrace.sources.feed import entry_record, feed_records, feed_rejects, parse_entries, read_feed
 from millrace.sources.paged import PagedSource, page_ranges
 from millrace.sources.pages import page_records, unwrap_pages
@@ -100,13 +100,32 @@ def test_rss_fields(spark, tmp_path):
 
 def test_atom_fields(spark, tmp_path):
     (tmp_path / "atom.xml").write_text(ATOM, encoding="utf-8")
-    (record,) = payloads(feed_records(read_feed(spark, str(tmp_path / "atom.xml"), "entry")))
+    (record,) = payloads(feed_records(read_feed(spark, str(tmp_path / "atom.xml"))))
     assert record == {
         "id": "e1", "title": "A", "description": "S", "link": "http://a/9", "author": "Bob",
         "published": "2024-01-15T10:00:00", "categories": ["x"], "content": "C",
     }
 
 
+def test_a_folder_may_hold_both_feed_forms(spark, tmp_path):
+    (tmp_path / "atom.xml").write_text(ATOM, encoding="utf-8")
+    (tmp_path / "rss.xml").write_text(GOOD, encoding="utf-8")
+    records = payloads(feed_records(read_feed(spark, str(tmp_path))))
+    assert sorted(r["title"] for r in records) == ["A", "One & only", "Two"]
+    assert feed_rejects(spark, str(tmp_path)).isEmpty()
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,Lamp\n2,Mug,extra\n3\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("name,id,size\nPen,4,s\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    for multi_line in (True, False):
+        rows = read_csv_source(spark, str(tmp_path), multi_line=multi_line).select("id", "name", "size").collect()
+        assert sorted(map(tuple, rows), key=str) == [("1", "Lamp", None), ("3", None, None), ("4", "Pen", "s")]
+        (bad,) = csv_rejects(spark, str(tmp_path), multi_line=multi_line).collect()
+        assert (bad.file_path.rsplit("/", 1)[1], bad.cells) == ("a.csv", ["2", "Mug", "extra"])
+
+
 def test_malformed_feed_is_rejected_whole_and_alone(spark, tmp_path):
     texts = {
         "good": GOOD,
