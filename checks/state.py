@@ -102,6 +102,15 @@ def hwm_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hwm_null_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of a source without a name, by literals and by the join: ``both`` counts the ways that keep a row."""
+    name = F.when(F.col("event_type") != "click", F.col("event_type")).alias("name")
+    events = table(spark, sf_dir, "events").select("event_id", name, "ts")
+    marks = _time_marks(spark, sf_dir).select(name, "checkpoint_value")
+    ways = [incremental(events, marks, ["name"], "ts", max_literal_marks=n) for n in (64, 0)]
+    return ways[0].unionByName(ways[1]).groupBy("event_id").agg(F.count("*").alias("both"))
+
+
 def hwm_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sources have no mark and load in full."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
@@ -342,6 +351,11 @@ QUERIES = {
     "hwm_joined": (hwm_joined, f"""
         SELECT event_id, event_type, ts FROM events JOIN ({_MARKS}) USING (event_type)
         WHERE ts > mark"""),
+    "hwm_null_key": (hwm_null_key, """
+        WITH marks AS (
+            SELECT event_type, max(ts) AS mark FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY event_type)
+        SELECT event_id, CAST(2 AS BIGINT) AS "both"
+        FROM events LEFT JOIN marks USING (event_type) WHERE mark IS NULL OR ts > mark"""),
     "hwm_multi": (hwm_multi, f"""
         SELECT event_id, event_type, ts FROM events JOIN ({_MARKS}) USING (event_type)
         WHERE ts > mark OR event_type IN ('click', 'view')"""),

@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from millrace.functions.parse import parse_ts
 from millrace.operators.lookup import join_lookup
 
-# Up to this many sources the marks become literals in the filter, which reaches the file scan.
+# Up to this many sources the marks become literals in the filter, which reaches the file scan; with more
+# the records are joined to the marks. Both keep the same rows.
 MAX_LITERAL_MARKS = 64
 
 
@@ -31,18 +32,22 @@ def _mark_value(mark: Column, kind: str, id_order: str) -> Column:
     return parse_ts(mark) if kind == "timestamp" else _comparable(mark, kind, id_order)
 
 
+def _newer(value: Column, comparable: Column, bound: Column, keep_null: bool) -> Column:
+    """Whether a value is beyond a bound that is not null; never null."""
+    return F.coalesce(comparable > bound, F.lit(keep_null) & value.isNull())
+
+
 def after_mark(
     value: Column, mark: Column, kind: str, id_order: str = "string", keep_null: bool = False
 ) -> Column:
     """True for values strictly after the mark (text).
 
     No mark, an empty one or one that does not parse keeps everything. A null value is kept only
-    with ``keep_null``. Ids compare as text or, with ``id_order="numeric"`` and for page and offset
+    with ``keep_null``, a value that does not parse never. Ids compare as text or, with ``id_order="numeric"`` and for page and offset
     marks, as numbers.
     """
     bound = _mark_value(mark, kind, id_order)
-    passes = F.coalesce(_comparable(value, kind, id_order) > bound, F.lit(keep_null))
-    return bound.isNull() | passes
+    return bound.isNull() | _newer(value, _comparable(value, kind, id_order), bound, keep_null)
 
 
 def _literal_filter(
@@ -100,10 +105,8 @@ def incremental(
         return records.filter(
             _literal_filter(keys, few, value, records.schema[value_col].dataType, kind, id_order, keep_null)
         )
-    joined = join_lookup(records, marks, keys, salt_by=[value_col])
-    newer = F.coalesce(
-        _comparable(value, kind, id_order) > F.col("_bound"), F.lit(keep_null) & value.isNull()
-    )
+    joined = join_lookup(records, marks, keys)
+    newer = _newer(value, _comparable(value, kind, id_order), F.col("_bound"), keep_null)
     return joined.filter(F.col("_bound").isNull() | newer).drop("_bound")
 
 

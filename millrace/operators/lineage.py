@@ -8,23 +8,14 @@ from pyspark.sql import functions as F
 from millrace.operators.lookup import join_lookup
 
 
-def item_to_raw(items: DataFrame, raw: DataFrame, how: str = "left") -> DataFrame:
-    """Items with the columns of their raw row; both sides are unique by the raw id."""
-    return items.join(raw.withColumnRenamed("raw_id", "raw_data_id"), "raw_data_id", how)
-
-
 def raw_to_run(raw: DataFrame, runs: DataFrame, run_key: str = "etl_run_id") -> DataFrame:
     """Raw rows with the run that landed them; one run may own most rows."""
-    return join_lookup(
-        raw, runs.withColumnRenamed("run_id", run_key), [run_key], salt_by=["raw_id"]
-    )
+    return join_lookup(raw, runs.withColumnRenamed("run_id", run_key), [run_key])
 
 
 def item_to_run(items: DataFrame, runs: DataFrame) -> DataFrame:
     """Items with the run that last wrote them; one run may own most items."""
-    return join_lookup(
-        items, runs.withColumnRenamed("run_id", "etl_run_id"), ["etl_run_id"], salt_by=["id"]
-    )
+    return join_lookup(items, runs.withColumnRenamed("run_id", "etl_run_id"), ["etl_run_id"])
 
 
 def lineage(items: DataFrame, raw: DataFrame, runs: DataFrame) -> DataFrame:

@@ -3,36 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 50_000
-SALTS = 64
 
+def join_lookup(facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``facts`` to ``lookup``, which is unique by ``keys``; null keys are equal.
 
-def join_lookup(
-    facts: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    salt_by: Sequence[str],
-    how: str = "left",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``facts`` to ``lookup`` (unique by ``keys``, narrow rows).
-
-    The lookup is counted, up to one row past the bound, before it is broadcast. A larger lookup is
-    repeated once per salt and joined on key and salt, so the rows of a hot key spread over
-    ``salts`` tasks. The salt hashes the ``salt_by`` columns, which vary inside a key, so that a
-    recomputed task routes its rows as before. Pass a stored or checkpointed lookup when computing
-    it is expensive.
+    A plain join: Spark broadcasts a lookup below its byte threshold, and beyond that splits the
+    partition of a hot key when it sees it. Nothing is computed while the plan is built.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported lookup join: {how}")
-    keys = list(keys)
-    if lookup.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        return facts.join(F.broadcast(lookup), keys, how)
-    salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    salted_lookup = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_facts.join(salted_lookup, [*keys, "_salt"], how).drop("_salt")
+    named = lookup.withColumnsRenamed({k: f"_lookup_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_lookup_{k}")) for k in keys])
+    return facts.join(named, same, how).drop(*[f"_lookup_{k}" for k in keys])

@@ -58,7 +58,7 @@ def unwrap_pages(
     last_pages = durable(
         parsed.groupBy(*fetch_keys).agg(F.min(F.when(terminal, F.col(page_col))).alias("_last"))
     )
-    joined = join_lookup(parsed, last_pages, fetch_keys, salt_by=[page_col])
+    joined = join_lookup(parsed, last_pages, fetch_keys)
     return (
         joined.filter(F.col("_last").isNull() | (F.col(page_col) <= F.col("_last")))
         .select(*fetch_keys, page_col, F.posexplode("_records").alias("pos", "_record"))

@@ -153,16 +153,28 @@ def test_backlog_and_retry_of_rejected_rows(spark, as_of):
     assert (row.pending, row.oldest_age_seconds) == (1, 86_400)
 
 
-def test_salted_lookup_equals_broadcast_lookup(spark):
-    facts = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")).alias("k"), "id"
+def test_lookup_join_treats_null_keys_as_equal(spark):
+    facts = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("no", 4)], "k string, id int")
+    lookup = spark.createDataFrame([("hot", 1), (None, 2), ("absent", 3)], "k string, v int")
+    found = {how: sorted(r.id for r in join_lookup(facts, lookup, ["k"], how).collect())
+             for how in ("left", "inner", "left_semi", "left_anti")}
+    assert found == {"left": [1, 2, 3, 4], "inner": [1, 2, 3], "left_semi": [1, 2, 3], "left_anti": [4]}
+    values = {r.id: r.v for r in join_lookup(facts, lookup, ["k"]).collect()}
+    assert values == {1: 1, 2: 1, 3: 2, 4: None}
+
+
+def test_the_ways_of_comparing_marks_agree(spark):
+    rows = spark.createDataFrame(
+        [(None, "5", 1), (None, "x", 2), (None, None, 3), ("s", "7", 4), ("s", None, 5), ("t", "1", 6)],
+        "src string, id string, n int",
     )
-    lookup = spark.createDataFrame([("hot", 1), ("7", 2), ("absent", 3)], "k string, v int")
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        small = join_lookup(facts, lookup, ["k"], ["id"], how)
-        salted = join_lookup(facts, lookup, ["k"], ["id"], how, max_broadcast_rows=1, salts=8)
-        assert sorted(map(str, small.collect())) == sorted(map(str, salted.collect()))
-        assert "_salt" not in salted.columns
+    marks = spark.createDataFrame([(None, "6"), ("s", "6")], "src string, checkpoint_value string")
+    for keep_null, kept in ((False, [4, 6]), (True, [3, 4, 5, 6])):
+        for bound in (64, 0):
+            got = incremental(rows, marks, ["src"], "id", "id", "numeric", keep_null, max_literal_marks=bound)
+            assert sorted(r.n for r in got.collect()) == kept
+        single = rows.filter(after_mark(F.col("id"), F.lit("6"), "id", "numeric", keep_null))
+        assert sorted(r.n for r in single.collect()) == [n for n in kept if n != 6]
 
 
 def ledger_of(spark, rows):
