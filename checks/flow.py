@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.common import AS_OF, customer_payload, event_payload, json_of, naive, ordinal, part_payload, table
+from millrace.operators.ledger import FINISHED
 from millrace.operators.resilience import (
     backoff,
     circuit_state,
@@ -182,10 +184,13 @@ def _records(df: DataFrame, part: str, payload, key: str) -> DataFrame:
 def _sources(sf_dir: str, until: dt.datetime | None) -> list[SourceSpec]:
     """Parts as CSV, events as REST, customers as CSV with rejects, and a source that is not there."""
 
-    def events(spark: SparkSession) -> DataFrame:
+    def events(spark: SparkSession, mark: str | None) -> DataFrame:
         rows = table(spark, sf_dir, "events")
         if until is not None:
             rows = rows.filter(F.col("ts") < F.lit(until))
+        if mark:
+            # The mark is a literal on the table's own column, so it reaches the scan.
+            rows = rows.filter(F.col("ts") > F.lit(mark).cast("timestamp_ntz"))
         return _records(rows, "events", event_payload(), "event_id")
 
     def parts(spark: SparkSession) -> DataFrame:
@@ -208,11 +213,62 @@ def _sources(sf_dir: str, until: dt.datetime | None) -> list[SourceSpec]:
 def _two_runs(spark: SparkSession, sf_dir: str) -> Store:
     """A first run over half the events, a second over everything."""
     store = Store(fresh_path(spark, "store"))
-    run_ingest(spark, store, _sources(sf_dir, dt.datetime(2024, 1, 16)), "run-1", AS_OF)
-    run_ingest(spark, store, _sources(sf_dir, None), "run-2", AS_OF + dt.timedelta(hours=1))
+    tasks = spark.sparkContext.defaultParallelism
+    run_ingest(spark, store, _sources(sf_dir, dt.datetime(2024, 1, 16)), "run-1", AS_OF, tasks=tasks)
+    run_ingest(spark, store, _sources(sf_dir, None), "run-2", AS_OF + dt.timedelta(hours=1), tasks=tasks)
     return store
 
 
+class _Lost(BaseException):
+    """Ends a run as a killed driver does: nothing catches it."""
+
+
+@dataclass(frozen=True)
+class _DiesBeforeFinish(Store):
+    """A store whose driver is lost when the run is about to write its finish row."""
+
+    def append_ledger(self, rows: DataFrame, run_id: str, event: int) -> None:
+        if event == FINISHED:
+            raise _Lost
+        super().append_ledger(rows, run_id, event)
+
+
+def ingest_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run lost before its finish row, another run in its place, and then the first one repeated."""
+    store = Store(fresh_path(spark, "store"))
+    sources = _sources(sf_dir, dt.datetime(2024, 1, 16))
+    try:
+        run_ingest(spark, _DiesBeforeFinish(store.root), sources, "run-1", AS_OF)
+    except _Lost:
+        pass
+    run_ingest(spark, store, _sources(sf_dir, None), "run-2", AS_OF + dt.timedelta(hours=1))
+    run_ingest(spark, store, sources, "run-1", AS_OF + dt.timedelta(hours=2))
+    rows = store.items(spark).groupBy("source_type", "source_name", "etl_run_id").agg(
+        F.count("*").alias("items"), F.countDistinct("external_id").alias("ids")
+    )
+    raw = store.raw(spark).groupBy("source_type", "source_name").agg(F.count("*").alias("raw_rows"))
+    return rows.join(raw, ["source_type", "source_name"])
+
+
+def ingest_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that fails on an executor fails alone."""
+
+    def fails(spark: SparkSession) -> DataFrame:
+        rows = _records(table(spark, sf_dir, "nation"), "nations", F.to_json(F.struct("*")), "n_nationkey")
+        return rows.withColumn("payload", F.raise_error(F.concat(F.lit("no payload for "), "payload")))
+
+    def parts(spark: SparkSession) -> DataFrame:
+        return _records(table(spark, sf_dir, "part"), "parts", part_payload(), "p_partkey")
+
+    store = Store(fresh_path(spark, "store"))
+    sources = [SourceSpec("api", "nations", fails), SourceSpec("csv", "parts", parts, mark_kind="id")]
+    run_ingest(spark, store, sources, "run-1", AS_OF)
+    return store.runs(spark).select(
+        "source_type", "source_name", "status", "records_extracted", "records_loaded", "records_failed",
+        F.contains("error_message", F.lit("no payload for")).alias("told_why"),
+    )
+
+
 def ingest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_runs(spark, sf_dir).items(spark).select(
         "source_type", "source_name", "external_id", "title", "amount",
@@ -361,6 +417,17 @@ QUERIES = {
                (SELECT max(CAST(c_custkey AS VARCHAR)) FROM customer), true FROM bad
         UNION ALL SELECT 'run-' || i, 'api', 'absent', 'failed', 0, 0, 0, '-', true
         FROM range(1, 3) t(i)"""),
+    "ingest_resume": (ingest_resume, """
+        SELECT 'csv' AS source_type, 'parts' AS source_name, 'run-2' AS etl_run_id, count(*) AS items,
+               count(*) AS ids, count(*) AS raw_rows FROM part
+        UNION ALL SELECT 'api', 'events', 'run-2', count(*), count(*), count(*) FROM events
+        UNION ALL SELECT 'csv', 'customers', 'run-2', count(*) FILTER (WHERE c_acctbal >= 0),
+               count(*) FILTER (WHERE c_acctbal >= 0), count(*) FROM customer"""),
+    "ingest_isolated": (ingest_isolated, """
+        SELECT 'api' AS source_type, 'nations' AS source_name, 'failed' AS status,
+               CAST(0 AS BIGINT) AS records_extracted, CAST(0 AS BIGINT) AS records_loaded,
+               CAST(0 AS BIGINT) AS records_failed, true AS told_why
+        UNION ALL SELECT 'csv', 'parts', 'success', count(*), count(*), 0, NULL FROM part"""),
     "paged_source": (paged_source, """
         SELECT event_id // 100 + 1 AS page, event_id % 100 AS pos, event_id, event_type
         FROM events"""),

@@ -9,14 +9,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.parse import parse_ts
 from millrace.operators.incremental import after_mark, iso_text
-from millrace.operators.landing import land, unprocessed
+from millrace.operators.landing import land
 from millrace.operators.ledger import FINISHED, LANDED, SOURCE, STARTED, ledger_events
 from millrace.operators.normalize import normalize
 from millrace.operators.upsert import upsert
 from millrace.operators.validate import accepted, keep_where, rejected, run_outcome, validate
-from millrace.plans.store import SLICE, Store, only_named
-from millrace.session import spread
+from millrace.plans.store import CONSUMED, OPEN, SLICE, Store, only_named
+from millrace.schemas import RAW
 from millrace.sources.spec import SourceSpec
 
 
@@ -39,26 +40,29 @@ def new_rows(landed: DataFrame, spec: SourceSpec, mark: str | None) -> DataFrame
     )
 
 
-def _marks_after(raw: DataFrame, specs: Sequence[SourceSpec], as_of: dt.datetime) -> DataFrame:
-    """Rows landed and new mark per source, from the rows this run landed."""
+def _marks_after(
+    raw: DataFrame, opened: DataFrame, specs: Sequence[SourceSpec], as_of: dt.datetime
+) -> DataFrame:
+    """Rows landed and mark per source, from the rows this run landed; a mark never goes back."""
     greatest = raw.groupBy(*SOURCE).agg(
         F.count("*").alias("records_extracted"),
         F.max("event_time").alias("_time"),
         F.max("source_id").alias("_text"),
         F.max(F.col("source_id").try_cast("decimal(38,0)")).alias("_number"),
     )
+    now, before = F.lit(as_of.isoformat()), F.col("checkpoint_before")
 
     def mark(spec: SourceSpec) -> Column:
         if spec.mark_kind == "timestamp":
-            return iso_text(F.col("_time"))
-        numeric = spec.mark_kind != "id" or spec.id_order == "numeric"
-        return F.col("_number").cast("string") if numeric else F.col("_text")
-
-    now = F.lit(as_of.isoformat())
-    return greatest.select(
-        *SOURCE,
-        "records_extracted",
-        F.coalesce(_by_source(specs, mark), now).alias("checkpoint_after"),
+            reached = F.coalesce("_time", F.lit(as_of).cast("timestamp"))
+            return iso_text(F.greatest(reached, parse_ts(before).cast("timestamp")))
+        if spec.mark_kind != "id" or spec.id_order == "numeric":
+            number = F.greatest(F.col("_number"), before.try_cast("decimal(38,0)"))
+            return F.coalesce(number.cast("string"), now)
+        return F.coalesce(F.greatest(F.col("_text"), F.nullif(before, F.lit(""))), now)
+
+    return greatest.join(opened, list(SOURCE)).select(
+        *SOURCE, "records_extracted", _by_source(specs, mark).alias("checkpoint_after")
     )
 
 
@@ -71,37 +75,37 @@ def load_backlog(
     store: Store,
     run_id: str,
     as_of: dt.datetime,
-    overrides: dict | None = None,
+    specs: Sequence[SourceSpec],
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Map, check and upsert every unprocessed raw row; returns the outcome per source.
+    """Map, check and upsert what these sources have open; returns the outcome per source.
 
-    The validated rows are written once; items, rejects and the processed log read that copy.
+    Open are the rows that their last load could not accept, and rows that runs have landed but not
+    loaded. The validated rows are written once; everything published reads that copy.
     """
-    # What this run landed cannot have been processed, so only older runs' rows are looked up.
-    left_over = unprocessed(
-        store.open_raw(spark, without_run=run_id), store.processed(spark, without_run=run_id)
-    )
-    open_rows = spread(store.raw_of_run(spark, run_id), "raw_id").unionByName(left_over)
-    checked = validate(normalize(open_rows, overrides=overrides))
-    staged = spark.read.schema(checked.schema).parquet(
-        _staged(checked, store, run_id)
-    )
-    outcome_path = f"{store.root}/outcomes/run_id={run_id}"
-    run_outcome(staged, SOURCE).write.mode("overwrite").parquet(outcome_path)
-    outcome = spark.read.parquet(outcome_path)
+    sources = _source_rows(spark, [(s.kind, s.name) for s in specs])
+    overrides = {(s.kind, s.name): s.mapping for s in specs if s.mapping}
+    taken = store.write_run(store.pending(spark, sources), "consumed", run_id)
+    landed = only_named(store.raw(spark), spark.read.schema(CONSUMED).parquet(taken), ["etl_run_id", *SOURCE])
+    open_rows = landed.unionByName(store.open_rows(spark, sources))
+    spread_rows = open_rows.repartition(tasks, "raw_id") if tasks else open_rows
+    checked = validate(normalize(spread_rows, overrides=overrides))
+    staged = spark.read.schema(checked.schema).parquet(store.write_run(checked, "staged", run_id))
+    outcome = spark.read.parquet(store.write_run(run_outcome(staged, SOURCE), "outcomes", run_id))
 
     store.write_run(rejected(staged, as_of), "rejects", run_id)
+    refused = staged.filter(F.size("errors") > 0).select(F.col("raw_data_id").alias("raw_id"))
+    store.write_run(open_rows.join(refused, "raw_id", "left_semi"), "open", run_id, partition_by=SOURCE)
     updates = store.with_bucket(accepted(staged)).withColumns(
         {"etl_run_id": F.lit(run_id), "updated_at": F.lit(as_of).cast("timestamp")}
     )
-    store.write_run(
-        updates.select(*SLICE).distinct().withColumn("run_id", F.lit(run_id)), "published", run_id
-    )
-    touched = spark.read.parquet(f"{store.root}/published/run_id={run_id}")
-    current = store.items(spark, touched, without_run=run_id)
-    store.write_run(
-        store.with_bucket(upsert(current, updates)), "items", run_id, partition_by=SLICE
-    )
+    slices = updates.select(*SLICE).distinct().unionByName(sources.withColumn("bucket", F.lit(OPEN)))
+    published = slices.withColumn("seq", F.lit(store.next_seq(spark, run_id)).cast("bigint"))
+    mine = spark.read.parquet(store.write_run(published.coalesce(1), "published", run_id))
+    current = store.items(spark, mine.filter(F.col("bucket") != OPEN), without_run=run_id)
+    upserted = store.with_bucket(upsert(current, updates))
+    # One file per slice, more where a slice is large.
+    store.write_run(upserted.hint("rebalance", *map(F.col, SLICE)), "items", run_id, partition_by=SLICE)
     done = staged.filter(F.size("errors") == 0).select(
         F.col("raw_data_id").alias("raw_id"), F.lit(as_of).cast("timestamp").alias("processed_at")
     )
@@ -109,10 +113,39 @@ def load_backlog(
     return outcome
 
 
-def _staged(checked: DataFrame, store: Store, run_id: str) -> str:
-    path = f"{store.root}/staged/run_id={run_id}"
-    checked.write.mode("overwrite").parquet(path)
-    return path
+def _land(
+    spark: SparkSession, store: Store, specs: Sequence[SourceSpec], run_id: str, as_of: dt.datetime, marks: dict
+) -> list[tuple[str, str, str]]:
+    """Land what is new in the sources; returns the sources that failed, each with its error.
+
+    All sources land in one job. If that fails, they land one by one, so that a source which fails
+    on an executor fails alone.
+    """
+    landed, failed = [], []
+
+    def fails(spec: SourceSpec, error: Exception) -> None:
+        failed.append((spec.kind, spec.name, f"{type(error).__name__}: {error}"))
+
+    for spec in specs:
+        mark = marks.get((spec.kind, spec.name))
+        try:
+            rows = land(spec.read(spark, mark), spec, run_id, as_of)
+            landed.append((spec, new_rows(rows, spec, mark)))
+        except Exception as error:
+            fails(spec, error)
+    together = reduce(
+        DataFrame.unionByName, [rows for _, rows in landed], spark.createDataFrame([], RAW)
+    )
+    try:
+        store.write_run(together, "raw", run_id, partition_by=["source_type"])
+    except Exception:
+        store.write_run(spark.createDataFrame([], RAW), "raw", run_id, partition_by=["source_type"])
+        for spec, rows in landed:
+            try:
+                store.write_run(rows, "raw", run_id, partition_by=["source_type"], mode="append")
+            except Exception as error:
+                fails(spec, error)
+    return failed
 
 
 def run_ingest(
@@ -122,93 +155,85 @@ def run_ingest(
     run_id: str,
     as_of: dt.datetime,
     use_marks: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Ingest all sources in one run and return the run's final ledger rows.
 
-    A source that cannot be read fails alone. A failure while landing or loading fails the run for
-    the remaining sources and is raised; what had landed by then is retried by the next run.
-    ``use_marks=False`` takes all records of the sources as new.
+    A source that cannot be read fails alone, while its plan is built or while it lands. A failure
+    while loading fails the run and is raised; what had landed by then is retried by the next run.
+    ``use_marks=False`` takes all records of the sources as new. ``tasks`` spreads the open rows over
+    so many tasks before they are mapped, for input that comes in few splits.
 
-    Repeating a run that did not complete starts over from the same marks; repeating a completed
+    Repeating a run that did not complete goes on at the load if it had landed; repeating a completed
     one changes nothing.
     """
+    store.check_layout(spark)
     if store.is_complete(spark, run_id):
         return store.runs(spark).filter(F.col("run_id") == run_id)
-    marks = {
-        (row.source_type, row.source_name): row.checkpoint_value
-        for row in only_named(
-            store.checkpoints(spark, without_run=run_id),
-            _source_rows(spark, [(s.kind, s.name) for s in specs]),
-            SOURCE,
-        ).collect()
-    }
-    opened = _source_rows(
-        spark,
-        [(s.kind, s.name, s.mark_kind, marks.get((s.kind, s.name))) for s in specs],
-        ", checkpoint_type string, checkpoint_before string",
-    )
-    carried = {
-        "checkpoint_type": F.col("checkpoint_type"),
-        "checkpoint_before": F.col("checkpoint_before"),
-    }
+    ended_at = F.lit(as_of)
+    carried = {c: F.col(c) for c in ("checkpoint_type", "checkpoint_before")}
 
     def record(rows: DataFrame, event: int, status: Column, **values) -> None:
         store.append_ledger(
             ledger_events(rows, event, run_id, status, as_of, **carried, **values), run_id, event
         )
 
-    record(opened, STARTED, F.lit("running"))
-    landed, unreadable = [], []
-    for spec in specs:
-        try:
-            rows = land(spec.reader(spark), spec, run_id, as_of)
-            mark = marks.get((spec.kind, spec.name)) if use_marks else None
-            landed.append(new_rows(rows, spec, mark))
-        except Exception as error:
-            unreadable.append((spec.kind, spec.name, f"{type(error).__name__}: {error}"))
-    errors = _source_rows(spark, unreadable, ", error_message string")
-    with_errors = opened.join(errors, list(SOURCE), "left")
-    ended_at = F.lit(as_of)
-    try:
-        readable = [s for s in specs if (s.kind, s.name) not in {u[:2] for u in unreadable}]
-        extracted = None
-        if landed:
-            store.write_run(
-                reduce(DataFrame.unionByName, landed), "raw", run_id, partition_by=["source_type"]
+    def of_run() -> DataFrame:
+        return store.ledger(spark).filter((F.col("run_id") == run_id) & (F.col("event_seq") == LANDED))
+
+    if of_run().isEmpty():
+        configured = _source_rows(spark, [(s.kind, s.name) for s in specs])
+        known = store.checkpoints(spark, without_run=run_id).join(configured, list(SOURCE), "left_semi")
+        marks = {(row.source_type, row.source_name): row.checkpoint_value for row in known.collect()}
+        opened = _source_rows(
+            spark,
+            [(s.kind, s.name, s.mark_kind, marks.get((s.kind, s.name))) for s in specs],
+            ", checkpoint_type string, checkpoint_before string",
+        )
+        record(opened, STARTED, F.lit("running"))
+        failed = _land(spark, store, specs, run_id, as_of, marks if use_marks else {})
+        errors = _source_rows(spark, failed, ", error_message string")
+        readable = [s for s in specs if (s.kind, s.name) not in {f[:2] for f in failed}]
+        with_marks = opened.join(errors, list(SOURCE), "left")
+        if readable:
+            mine = store.raw_of_run(spark, run_id).join(
+                _source_rows(spark, [(s.kind, s.name) for s in readable]), list(SOURCE), "left_semi"
             )
-            extracted = _marks_after(store.raw_of_run(spark, run_id), readable, as_of)
-        with_marks = (
-            with_errors.join(extracted, list(SOURCE), "left")
-            if extracted is not None
-            else with_errors.withColumn("records_extracted", F.lit(0)).withColumn(
-                "checkpoint_after", F.lit(None).cast("string")
+            extracted = _marks_after(mine, opened, readable, as_of)
+            with_marks = with_marks.join(extracted, list(SOURCE), "left")
+        else:
+            with_marks = with_marks.withColumns(
+                {"records_extracted": F.lit(0), "checkpoint_after": F.lit(None).cast("string")}
             )
+        record(
+            with_marks,
+            LANDED,
+            F.lit("running"),
+            records_extracted=F.coalesce("records_extracted", F.lit(0)),
+            checkpoint_after=F.coalesce("checkpoint_after", "checkpoint_before"),
+            error_message=F.col("error_message"),
         )
-        counted = {
-            "records_extracted": F.coalesce("records_extracted", F.lit(0)),
-            "checkpoint_after": F.coalesce("checkpoint_after", "checkpoint_before"),
-            "error_message": F.col("error_message"),
-        }
-        record(with_marks, LANDED, F.lit("running"), **counted)
+    # From here on what has landed counts, also when an earlier attempt landed it.
+    landed = of_run()
+    down = {tuple(row) for row in landed.filter("error_message IS NOT NULL").select(*SOURCE).collect()}
+    try:
         outcome = load_backlog(
-            spark, store, run_id, as_of, {(s.kind, s.name): s.mapping for s in specs if s.mapping}
-        ).drop("records_extracted").withColumnRenamed("status", "_outcome")
+            spark, store, run_id, as_of, [s for s in specs if (s.kind, s.name) not in down], tasks
+        ).drop("records_extracted", "status")
     except Exception as error:
         failure = {"error_message": F.lit(str(error)), "completed_at": ended_at}
-        record(with_errors, FINISHED, F.lit("failed"), **failure)
+        record(landed, FINISHED, F.lit("failed"), **failure)
         raise
-    mine_landed = store.ledger(spark).filter(
-        (F.col("run_id") == run_id) & (F.col("event_seq") == LANDED)
-    )
-    # Sources that are not configured in this run appear when their backlog was retried.
+    configured = _source_rows(spark, [(s.kind, s.name) for s in specs])
     finished = (
-        mine_landed.drop("records_loaded", "records_failed", "status")
-        .join(outcome, list(SOURCE), "full_outer")
+        landed.drop("records_loaded", "records_failed", "status")
+        .join(configured, list(SOURCE), "left_semi")
+        .join(outcome, list(SOURCE), "left")
     )
-    failed = F.coalesce("records_failed", F.lit(0))
+    refused = F.coalesce("records_failed", F.lit(0))
     status = (
         F.when(F.col("error_message").isNotNull(), "failed")
-        .when(failed > 0, "partial")
+        .when(refused > 0, "partial")
         .otherwise("success")
     )
     record(
@@ -218,11 +243,11 @@ def run_ingest(
         completed_at=ended_at,
         records_extracted=F.coalesce("records_extracted", F.lit(0)),
         records_loaded=F.coalesce("records_loaded", F.lit(0)),
-        records_failed=failed,
+        records_failed=refused,
         checkpoint_after=F.col("checkpoint_after"),
         error_message=F.coalesce(
             "error_message",
-            F.when(failed > 0, F.concat(failed.cast("string"), F.lit(" records failed"))),
+            F.when(refused > 0, F.concat(refused.cast("string"), F.lit(" records failed"))),
         ),
     )
     return store.runs(spark).filter(F.col("run_id") == run_id)

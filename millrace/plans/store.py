@@ -1,32 +1,42 @@
 """The Parquet tables of one installation and how a run publishes to them.
 
 Every run writes only folders carrying its run id, replacing what an earlier attempt of the same
-run left there. Its finish row in the ledger is the commit: item versions without one are ignored.
+run left there. Its finish row in the ledger is the only commit: whatever a run wrote counts, for
+the sources that finished, from that row on. Landed rows are the exception. They count from the
+landed event on, and wait for a run that loads them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.operators.ledger import FINISHED, LANDED, SOURCE, current_runs, fold_checkpoints
 from millrace.schemas import ITEMS, LEDGER, PROCESSED, RAW, REJECTS
 
-# Up to this many runs or versions are named in the filter and prune folders directly.
-MAX_NAMED = 1000
-
-
+# What a run publishes of a source: the buckets it rewrote and, as bucket ``OPEN``, the rows it could
+# not load. ``seq`` orders the runs by when they were loaded.
+OPEN = -1
 PUBLISHED = T.StructType(
     [
         T.StructField("source_type", T.StringType()),
         T.StructField("source_name", T.StringType()),
         T.StructField("bucket", T.IntegerType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("run_id", T.StringType()),
+    ]
+)
+# Whose landed rows a run took over.
+CONSUMED = T.StructType(
+    [
+        T.StructField("etl_run_id", T.StringType()),
+        T.StructField("source_type", T.StringType()),
+        T.StructField("source_name", T.StringType()),
         T.StructField("run_id", T.StringType()),
     ]
 )
@@ -55,14 +65,32 @@ class Store:
                 return spark.createDataFrame([], schema)
             raise
 
+    def check_layout(self, spark: SparkSession) -> None:
+        """Refuse another number of buckets than the one the items were written with."""
+        known = self._read(spark, "layout", T.StructType([T.StructField("buckets", T.IntegerType())]))
+        found = {row.buckets for row in known.collect()}
+        if not found:
+            one = spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1)
+            one.write.mode("overwrite").parquet(f"{self.root}/layout")
+        elif found != {self.buckets}:
+            raise ValueError(f"the items are cut into {found.pop()} buckets, not {self.buckets}")
+
     def raw(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "raw", RAW)
+        """The rows of all runs that have landed; what a run left that died while landing does not count."""
+        landed = self.ledger(spark).filter(F.col("event_seq") == LANDED).select(F.col("run_id").alias("etl_run_id"))
+        return only_named(self._read(spark, "raw", RAW), landed, ["etl_run_id"])
+
+    def _of_committed(
+        self, spark: SparkSession, table: str, schema: T.StructType, column: str, without_run: str | None = None
+    ) -> DataFrame:
+        runs = self.committed(spark, without_run).select(F.col("run_id").alias(column)).distinct()
+        return only_named(self._read(spark, table, schema), runs, [column])
 
     def processed(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
-        return without(self._read(spark, "processed", PROCESSED), without_run)
+        return self._of_committed(spark, "processed", PROCESSED, "run_id", without_run)
 
     def rejects(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, "rejects", REJECTS)
+        return self._of_committed(spark, "rejects", REJECTS, "etl_run_id")
 
     def ledger(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, "ledger", LEDGER)
@@ -73,10 +101,24 @@ class Store:
     def checkpoints(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
         return fold_checkpoints(without(self.ledger(spark), without_run))
 
+    def committed(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
+        """Runs and sources (``run_id``, ``source_type``, ``source_name``) that finished."""
+        done = (F.col("event_seq") == FINISHED) & (F.col("status") != "failed")
+        return without(self.ledger(spark), without_run).filter(done).select("run_id", *SOURCE).distinct()
+
     def is_complete(self, spark: SparkSession, run_id: str) -> bool:
         """Whether the run has published: it finished, and not for lack of a load."""
-        mine = (F.col("run_id") == run_id) & (F.col("event_seq") == FINISHED)
-        return not self.ledger(spark).filter(mine & (F.col("status") != "failed")).isEmpty()
+        return not self.committed(spark).filter(F.col("run_id") == run_id).isEmpty()
+
+    def published(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
+        return self._read(spark, "published", PUBLISHED).join(
+            self.committed(spark, without_run), ["run_id", *SOURCE], "left_semi"
+        )
+
+    def next_seq(self, spark: SparkSession, run_id: str) -> int:
+        """Above that of every run that has loaded or tried to."""
+        others = without(self._read(spark, "published", PUBLISHED), run_id)
+        return (others.agg(F.max("seq")).first()[0] or 0) + 1
 
     def items(
         self, spark: SparkSession, touched: DataFrame | None = None, without_run: str | None = None
@@ -85,13 +127,11 @@ class Store:
 
         ``touched`` limits the scan to some slices (``source_type``, ``source_name``, ``bucket``).
         """
-        loaded = (F.col("event_seq") == FINISHED) & (F.col("records_loaded") > 0)
-        runs = without(self.runs(spark), without_run).filter(loaded)
-        published = self._read(spark, "published", PUBLISHED)
         current = (
-            published.join(runs.select("run_id", *SOURCE, "started_at"), ["run_id", *SOURCE])
+            self.published(spark, without_run)
+            .filter(F.col("bucket") != OPEN)
             .groupBy(*SLICE)
-            .agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("version"))
+            .agg(F.max_by("run_id", "seq").alias("version"))
         )
         if touched is not None:
             current = current.join(touched.select(*SLICE), list(SLICE), "left_semi")
@@ -99,29 +139,50 @@ class Store:
         stored = self._read(spark, "items", T.StructType([*ITEMS.fields, *folders]))
         return only_named(stored, current, [*SLICE, "version"]).select(*ITEMS.names)
 
-    def raw_of_run(self, spark: SparkSession, run_id: str) -> DataFrame:
-        return self.raw(spark).filter(F.col("etl_run_id") == run_id)
-
-    def open_raw(self, spark: SparkSession, without_run: str | None = None) -> DataFrame:
-        """Raw rows of the runs that may still have unprocessed ones; finished clean runs are pruned."""
-        settled = (F.col("event_seq") == FINISHED) & (F.col("status") == "success")
-        still_open = (
-            without(self.runs(spark), without_run)
-            .filter((F.col("event_seq") >= LANDED) & ~settled)
-            .select(F.col("run_id").alias("etl_run_id"))
+    def open_rows(self, spark: SparkSession, sources: DataFrame) -> DataFrame:
+        """Raw rows of these sources that their last load could not accept; earlier runs are not read."""
+        last = (
+            self.published(spark)
+            .filter(F.col("bucket") == OPEN)
+            .join(sources, list(SOURCE), "left_semi")
+            .groupBy(*SOURCE)
+            .agg(F.max_by("run_id", "seq").alias("run_id"))
+        )
+        stored = self._read(spark, "open", T.StructType([*RAW.fields, T.StructField("run_id", T.StringType())]))
+        return only_named(stored, last, [*SOURCE, "run_id"]).select(*RAW.names)
+
+    def pending(self, spark: SparkSession, sources: DataFrame) -> DataFrame:
+        """Runs (``etl_run_id``) and sources that landed rows which no finished run has taken over."""
+        run = F.col("run_id").alias("etl_run_id")
+        landed = (
+            self.ledger(spark)
+            .filter((F.col("event_seq") == LANDED) & (F.col("records_extracted") > 0))
+            .select(run, *SOURCE)
             .distinct()
         )
-        return only_named(self.raw(spark), still_open, ["etl_run_id"])
+        key = ["etl_run_id", *SOURCE]
+        taken = self._read(spark, "consumed", CONSUMED).join(
+            self.committed(spark), ["run_id", *SOURCE], "left_semi"
+        )
+        return (
+            landed.join(sources, list(SOURCE), "left_semi")
+            .join(self.committed(spark).select(run, *SOURCE), key, "left_anti")
+            .join(taken.select(*key), key, "left_anti")
+        )
+
+    def raw_of_run(self, spark: SparkSession, run_id: str) -> DataFrame:
+        """What a run has put into its folder, landed or about to."""
+        return self._read(spark, "raw", RAW).filter(F.col("etl_run_id") == run_id)
 
     def write_run(
-        self, rows: DataFrame, table: str, run_id: str, partition_by: Sequence[str] = ()
+        self, rows: DataFrame, table: str, run_id: str, partition_by: Sequence[str] = (), mode: str = "overwrite"
     ) -> str:
         """Write one run's rows of a table, replacing those of an earlier attempt."""
         column = {"raw": "etl_run_id", "rejects": "etl_run_id", "items": "version"}.get(
             table, "run_id"
         )
         path = f"{self.root}/{table}/{column}={run_id}"
-        rows.drop(column).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+        rows.drop(column).write.mode(mode).partitionBy(*partition_by).parquet(path)
         return path
 
     def append_ledger(self, rows: DataFrame, run_id: str, event: int) -> None:
@@ -135,15 +196,10 @@ def without(rows: DataFrame, run_id: str | None) -> DataFrame:
 
 
 def only_named(rows: DataFrame, named: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows whose ``columns`` appear in ``named``; as a folder filter when there are few names."""
-    few = named.select(*columns).limit(MAX_NAMED + 1).collect()
-    if len(few) > MAX_NAMED:
-        return rows.join(named.select(*columns), list(columns), "left_semi")
-    if not few:
-        return rows.filter(F.lit(False))
-    if len(columns) == 1:
-        return rows.filter(F.col(columns[0]).isin([row[0] for row in few]))
-    matches = [
-        reduce(Column.__and__, [F.col(c) == F.lit(row[c]) for c in columns]) for row in few
-    ]
-    return rows.filter(reduce(Column.__or__, matches))
+    """Rows whose ``columns``, none of them null, appear in ``named``.
+
+    Names of runs, sources and buckets: the driver lists their folders anyway. One filter whatever
+    their number, which prunes folders where the columns are folder names.
+    """
+    names = [row[0] for row in named.select(F.concat_ws("\x1f", *columns)).distinct().collect()]
+    return rows.filter(F.concat_ws("\x1f", *columns).isin(names) if names else F.lit(False))

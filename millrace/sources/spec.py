@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.parse import parse_ts
@@ -90,7 +91,9 @@ KIND_MAPPINGS = {
 class SourceSpec:
     """One configured source.
 
-    ``reader`` returns records with a ``payload`` (JSON text) and an ``ordinal`` column. Override
+    ``reader`` returns records with a ``payload`` (JSON text) and an ``ordinal`` column. It is called with
+    the session and, if it takes a second argument, with the source's mark (text, or null), so that it
+    can ask the service or filter the scan for newer records only. Override
     ``record_id`` or ``event_time`` with a function from the record map to a Column.
     """
 
@@ -115,6 +118,10 @@ class SourceSpec:
         if self.id_order not in ID_ORDERS:
             raise ValueError(f"unknown id order: {self.id_order}")
 
+    def read(self, spark: SparkSession, mark: str | None = None) -> DataFrame:
+        takes_mark = len(inspect.signature(self.reader).parameters) > 1
+        return self.reader(spark, mark) if takes_mark else self.reader(spark)
+
     @property
     def keep_undated(self) -> bool:
         """Feed entries without a date are never older than the mark."""

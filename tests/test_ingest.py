@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from millrace.plans import ingest
 from millrace.plans.ingest import run_ingest
 from millrace.plans.store import Store
 from millrace.sources.csv import csv_records, read_csv_source
-from millrace.sources.spec import SourceSpec
+from millrace.sources.spec import KIND_MAPPINGS, SourceSpec
 from millrace.streaming.ingest import ALL_THERE_IS, start_ingest
 
 HOUR = dt.timedelta(hours=1)
@@ -147,6 +148,134 @@ def test_failed_run_can_be_repeated(spark, tmp_path, as_of, monkeypatch):
     assert store.raw(spark).count() == 1 and len(shown(store, spark)) == 1
 
 
+class Killed(BaseException):
+    """Not caught by anything, as the end of a driver."""
+
+
+class DyingStore(Store):
+    """Dies after its ``left``-th write."""
+
+    def __init__(self, root, left):
+        super().__init__(root)
+        object.__setattr__(self, "left", [left])
+
+    def _written(self):
+        self.left[0] -= 1
+        if self.left[0] == 0:
+            raise Killed
+
+    def write_run(self, *args, **kwargs):
+        path = super().write_run(*args, **kwargs)
+        self._written()
+        return path
+
+    def append_ledger(self, *args):
+        super().append_ledger(*args)
+        self._written()
+
+
+# Started, raw, landed, consumed, staged, outcomes, rejects, open, published, items, processed, finished.
+WRITES = 12
+
+
+@pytest.mark.parametrize("writes", [2, 3, 4, 8, 9, 11, WRITES])
+def test_a_run_that_dies_after_any_write_loses_nothing(spark, tmp_path, as_of, writes):
+    rows = [event(1, "a", 1), {"id": "", "name": "no id"}, event(2, "b", 2)]
+    sources = [SourceSpec("api", "s", records_of(rows))]
+
+    def state(store):
+        # The order of the runs may differ, the items and rows may not.
+        return (
+            [row[:3] for row in shown(store, spark)], store.raw(spark).count(),
+            sorted({r.raw_payload for r in store.open_rows(spark, spark.createDataFrame(
+                [("api", "s")], "source_type string, source_name string")).collect()}),
+        )
+
+    def dead(root):
+        store = Store(root)
+        if writes < WRITES:
+            with pytest.raises(Killed):
+                run_ingest(spark, DyingStore(root, writes), sources, "run-1", as_of)
+        else:
+            run_ingest(spark, store, sources, "run-1", as_of)
+        return store
+
+    store = dead(str(tmp_path / "next"))
+    run_ingest(spark, store, sources, "run-2", as_of + HOUR)
+    expected = ([("s", "1", "a"), ("s", "2", "b")], 3, [json.dumps(rows[1])])
+    assert state(store) == expected
+    # The first run's id again, after the other: nothing is lost or doubled.
+    run_ingest(spark, store, sources, "run-1", as_of)
+    assert state(store) == expected and duplicate_keys(store.items(spark)).isEmpty()
+
+
+def test_open_rows_of_other_sources_wait_for_their_own_mapping(spark, tmp_path, as_of):
+    store = Store(str(tmp_path))
+    keyed = replace(KIND_MAPPINGS["api"], external_id=("key",))
+    row = {"key": "", "id": "WRONG", "name": "n"}
+    x = SourceSpec("api", "x", records_of([row]), mapping=keyed)
+    y = SourceSpec("api", "y", records_of([event(1, "a", 1)]))
+    assert outcome(run_ingest(spark, store, [x], "run-1", as_of))["x"] == ("partial", 1, 0, 1)
+    assert outcome(run_ingest(spark, store, [y], "run-2", as_of + HOUR)) == {"y": ("success", 1, 1, 0)}
+    assert [r[1] for r in shown(store, spark)] == ["1"]
+    # Settled runs are not listed again: what is open lies with the source's last run.
+    (open_row,) = store.open_rows(
+        spark, spark.createDataFrame([("api", "x")], "source_type string, source_name string")
+    ).select("source_name", F.col("_metadata.file_path").alias("file")).collect()
+    assert "/open/run_id=run-1/" in open_row.file
+    assert store.pending(spark, spark.createDataFrame(
+        [("api", "x"), ("api", "y")], "source_type string, source_name string")).isEmpty()
+    # Tried again with its own mapping, and refused again.
+    assert outcome(run_ingest(spark, store, [x, y], "run-3", as_of + 2 * HOUR))["x"] == ("partial", 0, 0, 1)
+
+
+def test_a_source_that_fails_in_the_job_fails_alone(spark, tmp_path, as_of):
+    def bad(spark):
+        return records_of([event(1, "a", 1)])(spark).withColumn("payload", F.raise_error(F.lit("bad file")))
+
+    store = Store(str(tmp_path))
+    sources = [SourceSpec("api", "bad", bad), SourceSpec("api", "good", records_of([event(1, "a", 1)]))]
+    for run in ("run-1", "run-2"):
+        runs = outcome(run_ingest(spark, store, sources, run, as_of))
+        assert runs["bad"] == ("failed", 0, 0, 0) and runs["good"][0] == "success"
+    assert [r[:2] for r in shown(store, spark)] == [("good", "1")]
+
+
+def test_the_mark_reaches_the_reader_and_never_goes_back(spark, tmp_path, as_of):
+    store, seen = Store(str(tmp_path)), []
+
+    def reader(rows):
+        def read(spark, mark):
+            seen.append(mark)
+            return records_of(rows)(spark)
+
+        return read
+
+    first = SourceSpec("api", "s", reader([event(1, "a", 5)]))
+    run_ingest(spark, store, [first], "run-1", as_of)
+    run_ingest(spark, store, [first], "run-2", as_of + HOUR)
+    assert seen == [None, "2024-01-01T05:00:00"]
+    late = SourceSpec("api", "s", records_of([event(2, "b", 1)]))
+    run_ingest(spark, store, [late], "run-3", as_of + 2 * HOUR, use_marks=False)
+    assert store.checkpoints(spark).first().checkpoint_value == "2024-01-01T05:00:00"
+    assert [r[1] for r in shown(store, spark)] == ["1", "2"]
+
+
+def test_another_number_of_buckets_is_refused(spark, tmp_path, as_of):
+    sources = [SourceSpec("api", "s", records_of([event(1, "a", 1)]))]
+    run_ingest(spark, Store(str(tmp_path), buckets=4), sources, "run-1", as_of)
+    with pytest.raises(ValueError):
+        run_ingest(spark, Store(str(tmp_path), buckets=8), sources, "run-2", as_of)
+
+
+def test_a_slice_is_one_file(spark, tmp_path, as_of):
+    store = Store(str(tmp_path), buckets=8)
+    rows = [event(i, "a", 1) for i in range(400)]
+    run_ingest(spark, store, [SourceSpec("api", "s", records_of(rows))], "run-1", as_of, tasks=4)
+    files = spark.read.parquet(f"{tmp_path}/items").inputFiles()
+    assert len(files) == 8
+
+
 def test_untitled_record_with_a_bad_price_loads(spark, tmp_path, as_of):
     store = Store(str(tmp_path))
     rows = [{"id": "1", "name": "ok", "price": 1}, {"id": "2", "price": "not_a_number"}]
