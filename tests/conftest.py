@@ -14,6 +14,7 @@ AS_OF = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
 def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .appName("millrace-tests")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
@@ -26,8 +27,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    if session.conf.get("spark.checkpoint.dir", None) is None:
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
