@@ -30,54 +30,58 @@ CAPACITY = 2_048
 CLOSING_ID = 1
 POOL = 512
 MAX_SLACK = 8
-#: Words kept with their ids per task, and the longest word kept.
-CACHED_WORDS, CACHED_CHARS = 1 << 18, 48
 FLUSH_ROWS = 20_000
 
 #: Fixed: the split of byte-level BPE before its merges.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level files: printable ones for themselves, then 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in own]
+    return {chr(byte): byte for byte in own} | {chr(256 + k): byte for k, byte in enumerate(others)}
+
+
 class Encoder:
-    """Ids of a text, as little-endian 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
+    """Ids of a text, as little-endian 32-bit bytes, by a file of ``tokenizers``.
 
-    Merges never cross the words of the split, so a word is encoded once per task while it is cached.
+    A plain byte-level BPE whose merges are numbered in their order is run by ``tiktoken`` with the ranks of
+    that file: the same ids in a quarter of the time. Any other file is run as it is.
     """
 
     def __init__(self, path: str):
         import json
 
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, self._ranked = Tokenizer.from_file(path), None
         kind = json.loads(self._tokenizer.to_str())
-        split = kind["pre_tokenizer"] or {}
-        self._by_word = (
+        model, split = kind["model"], kind["pre_tokenizer"] or {}
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model.get("merges", [])]
+        plain = (
             kind["normalizer"] is None and split.get("type") == "ByteLevel"
             and split.get("use_regex", True) and not split.get("add_prefix_space")
+            and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
         )
-        self._split = regex.compile(BYTE_LEVEL_SPLIT).findall
-        self._added = [token["content"] for token in kind["added_tokens"]]
-        self._words: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if plain:
+            alphabet = _byte_alphabet()
+            added = {token["content"]: token["id"] for token in kind["added_tokens"]}
+            words = {token: k for token, k in model["vocab"].items() if token not in added}
+            merged = [words.get(left + right, -1) for left, right in merges]
+            simple = all(token["special"] and not token["single_word"] and not token["lstrip"]
+                         and not token["rstrip"] for token in kind["added_tokens"])
+            if simple and merged == sorted(merged) and all(c in alphabet for token in words for c in token):
+                ranks = {bytes(alphabet[c] for c in token): k for token, k in words.items()}
+                self._ranked = tiktoken.Encoding(
+                    "ranks", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=added
+                )
 
     def __call__(self, text: str) -> bytes:
-        if not self._by_word or any(token in text for token in self._added):
-            return self._encode(text)
-        known, out = self._words, []
-        for word in self._split(text):
-            ids = known.get(word)
-            if ids is None:
-                ids = self._encode(word)
-                if len(word) <= CACHED_CHARS:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        if self._ranked is not None:
+            return self._ranked.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def closest_fill(lengths: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
