@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table as input of costly per-row work."""
-    return spread(table(spark, sf_dir, name), key)
+    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism, key)
 
 
 def json_of(*columns: Column) -> Column:

@@ -67,12 +67,18 @@ def backoff(classified: DataFrame, base: float = 1.0, max_retries: int = 3) -> D
     )
 
 
-def error_records(classified: DataFrame, context: Sequence[str]) -> DataFrame:
-    """Failed attempts as structured error records; the body is cut as in the request log."""
+def error_records(
+    classified: DataFrame, context: Sequence[str], body_chars: int | None = BODY_CHARS
+) -> DataFrame:
+    """Failed attempts as structured error records.
+
+    The body is cut to ``body_chars`` characters, by default as in the request log; ``None`` keeps it whole.
+    """
+    body = F.col("body") if body_chars is None else F.left(F.col("body"), F.lit(body_chars))
     pairs: list[Column] = []
     for name in context:
         pairs += [F.lit(name), F.col(name).cast("string")]
-    pairs += [F.lit("response_body"), F.left(F.col("body"), F.lit(BODY_CHARS))]
+    pairs += [F.lit("response_body"), body]
     return classified.filter(F.col("error_class").isNotNull()).select(
         "error_class",
         F.concat_ws(" ", F.lit("request failed:"), F.col("error_class")).alias("message"),

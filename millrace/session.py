@@ -17,9 +17,6 @@ SETTINGS = {
 }
 
 
-MAX_SPREAD = 32
-
-
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; safe to call on a session that is already in use."""
     for key, value in SETTINGS.items():
@@ -27,16 +24,9 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(scan: DataFrame, *by: str) -> DataFrame:
-    """The rows of a file scan over more tasks where few or unsplittable files leave cores idle.
-
-    A scan with a task per core is left alone, so large inputs are not shuffled. One task becomes
-    at most ``MAX_SPREAD``, so a small input on a large cluster does not turn into dust.
-    """
-    tasks, cores = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
-    if tasks >= cores:
-        return scan
-    return scan.repartition(min(cores, max(tasks, 1) * MAX_SPREAD), *by)
+def spread(scan: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """The rows of a scan over ``tasks`` tasks, for few or unsplittable files ahead of costly per-row work."""
+    return scan.repartition(tasks, *by)
 
 
 def shared_dir(spark: SparkSession) -> str:
