@@ -12,9 +12,10 @@ Jaccard similarity of their sets is ``PERCENT`` or more; a component is what lin
    for sets up to ``SMALL_MAX`` the rarest ``n - ceil(0.75 n) + 1`` shingles are keys as well, and two similar
    sets always share one of them. The bounds overlap, so every pair is covered by one of the two.
 3. *Pairs.* Classes that share a key are candidates. First all are paired with one pivot per key, the class that
-   shares most keys with others, and the verified links are joined to components. Then only keys that still
-   hold several components produce pairs, and only across components. Groups of near copies thus cost a
-   pair per member, and no link that could join two components stays unseen.
+   shares most keys with others, and the verified links are joined to components. Classes with a key that
+   several components still hold are paired once more, across components, by the rarest shingles of their
+   full sets as above. Groups of near copies thus cost a pair per member, a passage in thousands of texts
+   pairs none of them, and no link that could join two components stays unseen.
 4. *Estimate.* Equal registers, corrected for chance collisions, estimate the similarity; pairs more than
    ``SIGMAS`` standard errors below the threshold are dropped, as are pairs of too different sizes.
 5. *Verification.* The rest is confirmed on the full sets.
@@ -167,9 +168,12 @@ def _classes(signed: DataFrame) -> DataFrame:
     return written(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
-def _small_keys(classes: DataFrame) -> DataFrame:
-    """(``bucket``, ``cls``) for the rarest shingles of the small sets, as far as others have them too."""
-    held = classes.select("cls", N, F.explode("_near_small").alias("shingle"))
+def _rare_keys(held: DataFrame) -> DataFrame:
+    """(``shingle``, ``cls``, size, rank): of each set its rarest ``n - ceil(0.75 n) + 1`` that others hold too.
+
+    ``held`` has a row per class and shingle, with the size of the set. Two similar sets share one of these
+    at least, whatever the order of the shingles; from the rarest on, passages that many texts share come last.
+    """
     shared = written(
         held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > 1), "shared"
     )
@@ -179,9 +183,9 @@ def _small_keys(classes: DataFrame) -> DataFrame:
     prefix = F.col(N) - F.ceil(F.col(N) * PERCENT / F.lit(100)) + 1
     return (
         held.join(shared, "shingle")
-        .withColumn("_near_rank", alone + rarer)
-        .filter(F.col("_near_rank") <= prefix)
-        .select(F.xxhash64(F.lit(-1), F.col("shingle")).alias("bucket"), "cls")
+        .withColumn("rank", alone + rarer)
+        .filter(F.col("rank") <= prefix)
+        .select("shingle", "cls", N, "rank")
     )
 
 
@@ -190,8 +194,9 @@ def _memberships(classes: DataFrame) -> DataFrame:
     banded = classes.select("cls", F.posexplode("_near_bands").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "cls"
     )
-    small = written(_small_keys(classes), "small-keys")
-    entries = banded.unionByName(small)
+    small = _rare_keys(classes.select("cls", N, F.explode("_near_small").alias("shingle")))
+    small = small.select(F.xxhash64(F.lit(-1), F.col("shingle")).alias("bucket"), "cls")
+    entries = banded.unionByName(written(small, "small-keys"))
     shared = written(
         entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > 1),
         "buckets",
@@ -216,12 +221,17 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(``a``, ``b``), a < b: classes that share a key but not yet a component."""
-    named = members.select("bucket", "cls").join(labels, F.col("cls") == F.col("node"), "left").select(
-        "bucket", "cls", F.coalesce("component", "cls").alias("component")
+def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(``a``, ``b``), a < b: classes of different components that may be similar.
+
+    Only classes with a key that several components hold can be. Among these, pairs come from the rarest
+    shingles of the full sets, so that a passage in thousands of texts does not pair them all.
+    """
+    label = F.coalesce("component", "cls").alias("component")
+    named = written(
+        members.select("bucket", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("bucket", "cls", label),
+        "named",
     )
-    named = written(named, "named")
     open_ = written(
         named.groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -229,10 +239,25 @@ def _cross_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
         .select("bucket"),
         "open",
     )
-    left = written(named.join(open_, "bucket", "left_semi"), "left")
-    x, y = left.alias("x"), left.alias("y")
+    unsettled = written(
+        named.join(open_, "bucket", "left_semi").groupBy("cls").agg(F.first("component").alias("component")),
+        "unsettled",
+    )
+    held = sets.join(unsettled, "cls", "left_semi").select(
+        "cls", F.size("full").cast("bigint").alias(N), F.explode("full").alias("shingle")
+    )
+    keys = written(_rare_keys(held).join(unsettled, "cls"), "rare-keys")
+    x, y = keys.alias("x"), keys.alias("y")
+    # Shingles that two sets of these sizes share at least, were they similar; so many can't be left out before.
+    share = F.ceil(PERCENT * (F.col(f"x.{N}") + F.col(f"y.{N}")) / F.lit(100.0 + PERCENT))
     return (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")))
+        x.join(
+            y,
+            (F.col("x.shingle") == F.col("y.shingle"))
+            & (F.col("x.component") < F.col("y.component"))
+            & (F.col("x.rank") <= F.col(f"x.{N}") - share + 1)
+            & (F.col("y.rank") <= F.col(f"y.{N}") - share + 1),
+        )
         .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
         .distinct()
     )
@@ -285,7 +310,8 @@ def _with_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataF
     small = named.filter(F.col(N) <= SMALL_MAX).select("cls", F.col("_near_small").alias("full"))
     large = named.filter(F.col(N) > SMALL_MAX).select("cls", KEY, F.col(ID).alias("_near_first"))
     ids = large.select("_near_first").distinct()
-    found = texts.join(ids, F.col(ID).eqNullSafe(F.col("_near_first")), "left_semi").mapInArrow(
+    # Always by a shuffle: how many ids there are depends on the data.
+    found = texts.join(ids.hint("merge"), F.col(ID).eqNullSafe(F.col("_near_first")), "left_semi").mapInArrow(
         _full_sets, "_near_set binary, _near_full array<bigint>"
     )
     made = (
@@ -308,10 +334,6 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept`` (the id is the component's)."""
     texts = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("binary").alias("_near_text"))
@@ -319,17 +341,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = _classes(signed)
     members = _memberships(classes)
 
+    sets = _with_sets(texts, classes, members.select("cls").distinct())
     tested = written(_pivot_pairs(members), "pairs")
-    likely = written(_plausible(tested, classes), "likely")
-    links = written(_linked(likely, _with_sets(texts, classes, _ends(likely))), "links")
+    links = written(_linked(_plausible(tested, classes), sets), "links")
     labels = components(links)
 
-    crossing = written(_cross_pairs(members, labels).join(tested, ["a", "b"], "left_anti"), "pairs")
-    likely = written(_plausible(crossing, classes), "likely")
-    if likely.limit(1).count():
-        more = written(_linked(likely, _with_sets(texts, classes, _ends(likely))), "links")
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    crossing = _cross_pairs(members, labels, sets).join(tested, ["a", "b"], "left_anti")
+    more = written(_linked(_plausible(crossing, classes), sets), "links")
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     of_class = (
         classes.select("cls", KEY, ID)
