@@ -81,7 +81,9 @@ def by_thirds(sizes: DataFrame) -> DataFrame:
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sized = written(mixing.sized(docs).select(mixing.ID, mixing.SOURCE, mixing.SIZE, mixing.ORDER), "sized")
-    mixed = mixing.mix(sized, by_thirds)
+    # The drawn order spreads the documents that are not taken, which have no position.
+    mixed = mixing.mix(sized, by_thirds).withColumn("position", F.get("passes", F.lit(0))["position"])
+    mixed = mixed.orderBy(F.col("position").asc_nulls_last(), mixing.ORDER)
     taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda total, one: total + one["taken"])
     return mixed.select(
         F.col(mixing.ID).alias("doc_id"),
@@ -89,8 +91,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source_size",
         "target",
         taken.alias("taken"),
-        F.get("passes", F.lit(0))["position"].alias("position"),
-    ).orderBy(F.col("position").asc_nulls_last())
+        "position",
+    )
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
