@@ -41,10 +41,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows a text that is cut. Documents beyond their source's target are not taken.
     """
-    packed = docs.select(F.struct("*").alias("_doc"), "doc_id", "text", "source")
+    # Texts travel once: the other columns in one struct, out of reach of the mixture's own names.
+    rest = F.struct(*(F.col(f"`{name}`") for name in docs.columns if name != "text"))
+    packed = docs.select(rest.alias("_doc"), F.length("text").alias("_chars"), "doc_id", "text", "source")
     ordered = mixing.training_order(mixing.mix(mixing.sized(packed), by_thirds))
-    cut = F.length("text") < F.length("_doc.text")
-    changed = {"text": F.col("text"), "n_chars": F.when(cut, F.length("text")).otherwise(F.col("_doc.n_chars"))}
+    chars = F.length("text")
+    changed = {
+        "text": F.col("text"),
+        "n_chars": F.when(chars < F.col("_chars"), chars).otherwise(F.col("_doc.n_chars")),
+    }
     return ordered.select(
         *(changed.get(f.name, F.col(f"_doc.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields)
     )
