@@ -304,9 +304,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _with_sets(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(``cls``, ``full``) of the wanted classes; sets of long texts are made anew from one document each."""
-    named = written(classes.join(wanted, "cls", "left_semi"), "wanted")
+def _with_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(``cls``, ``full``) of these classes; sets of long texts are made anew from one document each."""
     small = named.filter(F.col(N) <= SMALL_MAX).select("cls", F.col("_near_small").alias("full"))
     large = named.filter(F.col(N) > SMALL_MAX).select("cls", KEY, F.col(ID).alias("_near_first"))
     ids = large.select("_near_first").distinct()
@@ -341,13 +340,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = _classes(signed)
     members = _memberships(classes)
 
-    sets = _with_sets(texts, classes, members.select("cls").distinct())
+    # From here on only classes that share a key with another matter.
+    named = written(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "candidates")
+    sets = _with_sets(texts, named)
     tested = written(_pivot_pairs(members), "pairs")
-    links = written(_linked(_plausible(tested, classes), sets), "links")
+    links = written(_linked(_plausible(tested, named), sets), "links")
     labels = components(links)
 
     crossing = _cross_pairs(members, labels, sets).join(tested, ["a", "b"], "left_anti")
-    more = written(_linked(_plausible(crossing, classes), sets), "links")
+    more = written(_linked(_plausible(crossing, named), sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
@@ -358,9 +359,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     of_class = written(of_class, "class-components")
     first = of_class.groupBy("component").agg(F.min(ID).alias("component_id"))
-    named = written(of_class.join(written(first, "component-ids"), "component").select(KEY, "component_id"), "named")
+    of_key = written(of_class.join(written(first, "component-ids"), "component").select(KEY, "component_id"), "of-key")
     component_id = F.when(F.col(N) == 0, F.col(ID)).otherwise(F.col("component_id"))
-    return signed.select(ID, N, KEY).join(named, KEY, "left").select(
+    return signed.select(ID, N, KEY).join(of_key, KEY, "left").select(
         F.col(ID).alias(id_col),
         F.col(N).alias("n_shingles"),
         component_id.alias("component_id"),
