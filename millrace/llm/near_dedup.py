@@ -315,8 +315,8 @@ def _with_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
     )
     made = (
         large.join(found, KEY)
-        # Several documents of a class may share the id.
-        .groupBy("cls")
+        # Several documents of a class may share the id; rows lie by the digest already.
+        .groupBy(KEY, "cls")
         .agg(F.first("_near_full").alias("full"))
     )
     return written(small.unionByName(made), "sets")
