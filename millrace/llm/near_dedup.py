@@ -318,6 +318,7 @@ def _with_sets(texts: DataFrame, named: DataFrame) -> DataFrame:
         # Several documents of a class may share the id; rows lie by the digest already.
         .groupBy(KEY, "cls")
         .agg(F.first("_near_full").alias("full"))
+        .select("cls", "full")
     )
     return written(small.unionByName(made), "sets")
 
