@@ -221,12 +221,8 @@ def _pivot_pairs(members: DataFrame) -> DataFrame:
     )
 
 
-def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """(``a``, ``b``), a < b: classes of different components that may be similar.
-
-    Only classes with a key that several components hold can be. Among these, pairs come from the rarest
-    shingles of the full sets, so that a passage in thousands of texts does not pair them all.
-    """
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(``cls``, ``component``) of the classes with a key that several components hold."""
     label = F.coalesce("component", "cls").alias("component")
     named = written(
         members.select("bucket", "cls").join(labels, F.col("cls") == F.col("node"), "left").select("bucket", "cls", label),
@@ -239,13 +235,19 @@ def _cross_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Data
         .select("bucket"),
         "open",
     )
-    unsettled = written(
+    return written(
         named.join(open_, "bucket", "left_semi").groupBy("cls").agg(F.first("component").alias("component")),
         "unsettled",
     )
-    held = sets.join(unsettled, "cls", "left_semi").select(
-        "cls", F.size("full").cast("bigint").alias(N), F.explode("full").alias("shingle")
-    )
+
+
+def _cross_pairs(unsettled: DataFrame, sets: DataFrame) -> DataFrame:
+    """(``a``, ``b``), a < b: classes of different components that may be similar.
+
+    Only unsettled classes can be; ``sets`` holds theirs. Pairs come from the rarest shingles of the full
+    sets, so that a passage in thousands of texts does not pair them all.
+    """
+    held = sets.select("cls", F.size("full").cast("bigint").alias(N), F.explode("full").alias("shingle"))
     keys = written(_rare_keys(held).join(unsettled, "cls"), "rare-keys")
     x, y = keys.alias("x"), keys.alias("y")
     # Shingles that two sets of these sizes share at least, were they similar; so many can't be left out before.
@@ -348,8 +350,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(_linked(_plausible(tested, named), sets), "links")
     labels = components(links)
 
-    crossing = _cross_pairs(members, labels, sets).join(tested, ["a", "b"], "left_anti")
-    more = written(_linked(_plausible(crossing, named), sets), "links")
+    unsettled = _unsettled(members, labels)
+    open_sets = written(sets.join(unsettled, "cls", "left_semi"), "open-sets")
+    crossing = _cross_pairs(unsettled, open_sets).join(tested, ["a", "b"], "left_anti")
+    more = written(_linked(_plausible(crossing, named), open_sets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
