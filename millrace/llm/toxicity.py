@@ -1,26 +1,26 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
-
-Features of a text are its words (runs of letters, lower case) and the stems of 4 to 7 letters they begin with. From a
-bounded sample of labelled documents, the *examples*, the features that go with the label are chosen: those more
-frequent among toxic examples than chance allows (``MIN_G2``, ``MIN_LIFT``), at most ``MAX_FEATURES``. Document frequencies
-are counted over the whole table. A document's vector has the weights ``(1 + ln tf) * ln(1 + N / df)``, length 1;
-all words without a chosen feature count as one further term, so a chance hit in ordinary prose stays near to prose.
-
-The index holds the examples in blocks of ``BLOCK``, postings by term and block, and each term's largest weight
-per block. A query bounds every block by those maxima, scores the most promising blocks, and then all
-whose bound beats the k-th best similarity so far; no other block can hold a nearer example, so the ``NEIGHBOURS``
-found are exact. Their votes weigh ``1 / (1 + OFFSET - similarity)``, the label's base rate votes once with ``PRIOR``, and
-an isotonic fit on the examples' own leave-one-out votes turns the result into a probability. Texts without a chosen
-feature, empty ones too, are equally near to all examples without one and get their rate. The nearest examples
-are the evidence.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
+
+The terms are all words (runs of letters, lower case) of the *examples*, a bounded sample of labelled documents, and
+those stems of 4 to 7 letters that go with the label. Document frequencies are counted over the whole table. A
+document's vector has the weights ``(1 + ln tf) * ln(1 + N / df)``, length 1. Words and stems more frequent among toxic
+examples than chance allows (``MIN_G2``), at most ``MAX_FEATURES``, weigh in full and all others ``PLAIN`` of that, so
+that they lead where a text has them and plain words decide elsewhere. Words that no example has count as one
+further term, which only adds to the length.
+
+The index holds a postings list per term, and a row over all examples for a term of a tenth of them or more. Every
+text is scored against all examples that share a term, so the ``NEIGHBOURS`` found are exact. Their votes weigh
+``1 / (1 + OFFSET - similarity)``, the label's base rate votes once with ``PRIOR``, and an isotonic fit on the examples'
+own leave-one-out votes turns the result into a probability. Texts without any term, empty ones too, are equally
+near to all examples without one and get their rate. The nearest examples are the evidence.
 
 Only labelled rows that ``learnable`` selects are learnt from. Label rows with nulls are ignored; of several
 labels for a document the greater counts. Null and repeated ids and texts are fine: every row is scored by its
-own text. Without examples every score is 0. The model is at most ``EXAMPLES`` short vectors, whatever the input.
+own text. Without examples every score is 0. The model is at most ``EXAMPLES`` vectors, whatever the input.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,12 +37,12 @@ from .common import written
 #: Bound of the sample of labelled rows, drawn by a hash of the id.
 EXAMPLES = 6_000
 MAX_FEATURES = 2_048
-MIN_G2, MIN_LIFT, MIN_TOXIC = 10.83, 2.0, 3
+MIN_G2, MIN_TOXIC = 10.83, 3
+#: Weight of terms that do not go with the label.
+PLAIN = 0.1
 STEMS = range(4, 8)
 MAX_LETTERS = 40
-BLOCK = 64
 NEIGHBOURS = 25
-FIRST_BLOCKS = 4
 OFFSET, PRIOR = 0.05, 1.0
 EVIDENCE = 3
 THRESHOLD = 0.3
@@ -55,7 +55,7 @@ _VECTOR = T.StructType(
 
 
 def word_features(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if len(word) <= MAX_LETTERS else []
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if len(word) <= MAX_LETTERS else [word]
 
 
 def _words(text: str | None) -> Counter:
@@ -71,14 +71,14 @@ def _example_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
 
 
-def chosen_features(examples: DataFrame) -> dict[str, int]:
-    """Features that go with the label, numbered; ``examples`` has ``toxic`` and ``text``."""
+def example_terms(examples: DataFrame) -> dict[str, float]:
+    """Words of the examples and stems that go with the label, with their factors; ``examples`` has ``toxic`` and ``text``."""
     rows = written(
         examples.select("toxic", "text").mapInArrow(_example_features, "toxic int, features array<string>"),
         "example-features",
     )
     total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not toxic:
+    if not total:
         return {}
     # 2 x 2 table: a toxic and b other examples with the feature.
     a, b = F.col("a"), F.col("n") - F.col("a")
@@ -93,24 +93,28 @@ def chosen_features(examples: DataFrame) -> dict[str, int]:
         + part(toxic - a, (total - F.col("n")) * share)
         + part(total - toxic - b, (total - F.col("n")) * (1 - share))
     )
-    best = (
+    found = written(
         rows.select("toxic", F.explode("features").alias("feature"))
         .groupBy("feature")
-        .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n"))
-        .filter((a >= MIN_TOXIC) & (a >= MIN_LIFT * share * F.col("n")))
+        .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")),
+        "example-terms",
+    )
+    best = (
+        found.filter((a >= MIN_TOXIC) & (a > share * F.col("n")))
         .withColumn("g2", g2)
         .filter(F.col("g2") >= MIN_G2)
         .orderBy(F.desc("g2"), "feature")
         .limit(MAX_FEATURES)
         .collect()
     )
-    return {row["feature"]: k for k, row in enumerate(best)}
+    words = found.filter(~F.col("feature").endswith("*")).select("feature").collect()
+    return {row["feature"]: PLAIN for row in words} | {row["feature"]: 1.0 for row in best}
 
 
 def vectors(docs: DataFrame, features: dict[str, int]) -> DataFrame:
     """``docs`` (first column: anything, second: text) as (first column, ``terms``, ``counts``).
 
-    The last term, ``len(features)``, counts the words without a chosen feature.
+    The last term, ``len(features)``, counts the words that are no feature and have none.
     """
     held = docs.sparkSession.sparkContext.broadcast(features)
 
@@ -120,7 +124,7 @@ def vectors(docs: DataFrame, features: dict[str, int]) -> DataFrame:
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(1):
-                vector, other = Counter(), 0
+                vector, other = {}, 0
                 for word, n in _words(text.as_py()).items():
                     hits = known.get(word)
                     if hits is None:
@@ -128,7 +132,7 @@ def vectors(docs: DataFrame, features: dict[str, int]) -> DataFrame:
                             known.clear()
                         hits = known[word] = tuple(number[f] for f in word_features(word) if f in number)
                     for hit in hits:
-                        vector[hit] += n
+                        vector[hit] = vector.get(hit, 0) + n
                     other += 0 if hits else n
                 if other:
                     vector[len(number)] = other
@@ -142,7 +146,7 @@ def vectors(docs: DataFrame, features: dict[str, int]) -> DataFrame:
 
 
 class Index:
-    """Examples as unit vectors in a block-max inverted index."""
+    """Examples as unit vectors in an inverted index; ``idf`` holds the factors of the terms too."""
 
     def __init__(self, ids: list, labels: np.ndarray, examples: list[tuple[list[int], list[int]]], idf: np.ndarray):
         self.idf = idf
@@ -151,64 +155,56 @@ class Index:
         bare = np.array([self.is_bare(terms) for terms, _ in examples], bool)
         self.base = float(labels.mean()) if len(labels) else 0.0
         self.bare_rate = (float(labels[bare].sum()) + self.base) / (int(bare.sum()) + 1)
-        # Examples with the same heaviest term stand together, so that block maxima tell blocks apart.
         units = [self.unit(terms, counts) for terms, counts in examples]
-        heaviest = [terms[np.argmax(weights)] if len(terms) else -1 for terms, weights in units]
-        order = sorted((k for k in range(len(units)) if len(units[k][0])), key=lambda k: (heaviest[k], k))
+        order = [k for k in range(len(units)) if len(units[k][0])]
         self.ids, self.labels = [ids[k] for k in order], labels[order]
         self.units, self.bare = [units[k] for k in order], bare[order]
-        self.blocks = -(-len(order) // BLOCK)
         term = np.concatenate([u[0] for u in self.units]) if order else np.empty(0, np.int64)
         weight = np.concatenate([u[1] for u in self.units]) if order else np.empty(0)
         example = np.repeat(np.arange(len(order)), [len(u[0]) for u in self.units])
+        # Rows of the frequent terms; postings of any other term t from begin[t] up to begin[t + 1].
+        frequent = np.bincount(term, minlength=len(idf)) * 10 >= max(len(order), 1)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.rows = np.zeros((int(frequent.sum()), len(order)))
+        dense = frequent[term]
+        self.rows[self.row[term[dense]], example[dense]] = weight[dense]
+        term, weight, example = term[~dense], weight[~dense], example[~dense]
         by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term], weight[by_term]
-        self.maxima = np.zeros((len(idf), max(self.blocks, 1)))
-        np.maximum.at(self.maxima, (term, example // BLOCK), weight)
-        # Postings of term t in block b: begin[t, b] up to begin[t, b + 1].
-        cells = term[by_term] * self.blocks + self.example // BLOCK if order else np.empty(0, np.int64)
-        edges = np.searchsorted(cells, np.arange(len(idf) * self.blocks + 1))
-        self.begin = edges[: len(idf) * self.blocks].reshape(len(idf), self.blocks)
-        self.end = edges[1:].reshape(len(idf), self.blocks)
+        self.example, self.weight = example[by_term].astype(np.int32), weight[by_term]
+        self.begin = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def is_bare(self, terms) -> bool:
-        """No chosen feature."""
-        return all(term == self.other for term in terms)
+        """No word of an example."""
+        return len(terms) == 0 or len(terms) == 1 and terms[0] == self.other
 
     def unit(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
         terms = np.asarray(terms, np.int64)
         weights = (1 + np.log(np.asarray(counts, float))) * self.idf[terms] if len(terms) else np.empty(0)
         return terms, weights / np.sqrt(np.sum(weights * weights)) if len(terms) else weights
 
-    def _score(self, into: np.ndarray, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> None:
-        """Add up the similarities of the examples in these blocks."""
-        begin, end = self.begin[np.ix_(terms, blocks)].ravel(), self.end[np.ix_(terms, blocks)].ravel()
-        lengths = end - begin
+    def _scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The similarities of all examples."""
+        row = self.row[terms]
+        dense = row >= 0
+        scores = weights[dense] @ self.rows[row[dense]]
+        terms, weights = terms[~dense], weights[~dense]
+        begin = self.begin[terms]
+        lengths = self.begin[terms + 1] - begin
         total = int(lengths.sum())
         if total:
-            places = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths)
-            query = np.repeat(np.repeat(weights, len(blocks)), lengths)
-            into += np.bincount(self.example[places], query * self.weight[places], len(into))
+            places = np.arange(total) + np.repeat(begin - np.cumsum(lengths) + lengths, lengths)
+            scores += np.bincount(self.example[places], np.repeat(weights, lengths) * self.weight[places], len(scores))
+        return scores
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` most similar examples with any common term, nearest first, and their similarities."""
-        scores = np.zeros(len(self.ids))
-        bounds = weights @ self.maxima[terms]
-        order = np.argsort(-bounds, kind="stable")
-        first = order[:FIRST_BLOCKS]
-        self._score(scores, terms, weights, first)
+        scores = self._scores(terms, weights)
         if skip >= 0:
             scores[skip] = 0.0
         best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
         # Rounding must not lose a tie.
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bounds[rest] >= best - 1e-9) & (bounds[rest] > 0)]
-        if len(rest):
-            self._score(scores, terms, weights, rest)
-            if skip >= 0:
-                scores[skip] = 0.0
-        found = np.flatnonzero(scores > 0)
+        found = np.flatnonzero((scores > 0) & (scores >= best - 1e-9))
         found = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
         return found, scores[found]
 
@@ -254,7 +250,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text
     )
     sample = F.broadcast(written(sample, "labelled"))  # at most EXAMPLES rows
     texts = docs.select(F.col(id_col).alias("_tox_id"), F.col(text_col).alias("text"))
-    features = chosen_features(texts.join(sample, F.col("_tox_id") == F.col("_tox_example")))
+    factors = example_terms(texts.join(sample, F.col("_tox_id") == F.col("_tox_example")))
+    features = {feature: k for k, feature in enumerate(sorted(factors))}
     rows = written(vectors(texts, features), "vectors")
     total = rows.count()
     counted = rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
@@ -272,9 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text
         [row["_tox_example"] for row in examples],
         np.array([row["toxic"] for row in examples], float),
         [(row["vector"]["terms"], row["vector"]["counts"]) for row in examples],
-        np.log(1 + max(total, 1) / frequency),
+        np.log(1 + max(total, 1) / frequency) * np.array([*(factors[feature] for feature in features), PLAIN]),
     )
     index.calibrate()
+    # The postings hold the same.
+    index.units = []
     return index, rows
 
 
@@ -308,8 +307,12 @@ def score_toxicity(
         model, known = held.value, {}
         for batch in batches:
             scores, evidence = [], []
-            for terms, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = () if model.is_bare(terms) else (tuple(terms), tuple(counts))
+            columns = [batch.column(k) for k in (1, 2)]
+            values = [column.values.to_numpy(zero_copy_only=False) for column in columns]
+            edges = [column.offsets.to_numpy() for column in columns]
+            for k in range(batch.num_rows):
+                terms, counts = (value[edge[k] : edge[k + 1]] for value, edge in zip(values, edges, strict=True))
+                key = hashlib.sha256(terms.tobytes() + counts.tobytes()).digest()
                 if key not in known:
                     if len(known) >= CACHED_QUERIES:
                         known.clear()

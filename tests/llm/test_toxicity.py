@@ -72,3 +72,35 @@ def test_held_out_accuracy(spark):
     rows = op4_toxicity(spark, SF_DIR).join(labels, "doc_id").filter("held_out").select("predicted", "toxic").collect()
     hits = sum(r.predicted and r.toxic for r in rows)
     assert hits >= 0.85 * sum(r.toxic for r in rows) and hits >= 0.85 * sum(r.predicted for r in rows)
+
+
+def test_near_copy_without_a_toxic_word_is_found_by_its_words(spark):
+    draw = random.Random(9)
+
+    def text(n=60):
+        return [f"{draw.choice('bcdfgh')}{draw.choice('aeiou')}{''.join(draw.choices('klmnprst', k=3))}" for _ in range(n)]
+
+    rows = [(i, " ".join(text() + ["vile"] * (i % 6 == 0)), int(i % 6 == 0)) for i in range(300)]
+    planted = text()
+    rows += [(1_000, " ".join(planted), 1), (1_002, " ".join(planted[:-2] + text(2)), None)]
+    rows += [(2_002 + 4 * i, " ".join(text()), None) for i in range(20)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in rows if t is not None], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(docs, marks, F.col("doc_id") % 4 != 2).collect()}
+    assert got[1_002].evidence[0] == 1_000
+    assert all(r.evidence for r in got.values())
+    assert got[1_002].score > max(r.score for i, r in got.items() if i > 2_000)
+
+
+def test_toxic_words_are_learnt_where_most_labels_are_toxic(spark):
+    draw = random.Random(10)
+
+    def text(toxic):
+        return " ".join([f"w{draw.randrange(50)}{draw.choice('abcdef')}" for _ in range(30)] + ["vile", "nasty"] * toxic)
+
+    rows = [(i, text(i % 3 > 0), int(i % 3 > 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, toxic int")
+    got = [r for r in score_toxicity(docs, marks, F.col("doc_id") % 4 != 2).collect() if r.doc_id % 4 == 2]
+    toxic = [r.score for r in got if r.doc_id % 3 > 0]
+    assert min(toxic) > max(r.score for r in got if r.doc_id % 3 == 0)
