@@ -6,7 +6,7 @@ so any file system that Spark can write to will do: every member ends with a zer
 length below 16 MiB, or an empty member after a larger record), and that byte is the writer's line separator.
 
 Reading. ``read_archives`` walks through each file. A member must decompress with the right checksum and length; a record
-must have a version line, a header of at most ``MAX_HEADER`` bytes, a block of the length it states, the two line
+must have a version line, a header that ends before the next version line, a block of the length it states, the two line
 breaks behind it, and the digests it states. After a failed check the reader searches for the next gzip member that
 begins with a record, or the next version line outside a member, that passes. The bytes in between are
 reported as a row with ``status`` ``quarantined``, their range and the first reason; nothing is skipped silently. Plain
@@ -35,8 +35,10 @@ from pyspark.sql import types as T
 from .common import written
 
 RECORDS_PER_FILE = 50_000
-MAX_HEADER = 1 << 16
+#: Where the end of a header is looked for first, before the next version line is.
+USUAL_HEADER = 1 << 16
 MAGIC, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
+NEXT_VERSION = re.compile(rb"\r\nWARC/1\.[01]\r\n")
 EMPTY_MEMBER = zlib.compressobj(wbits=31).flush()
 CHUNK = 1 << 14
 #: Fixed: the profile of revisits with an identical payload digest.
@@ -167,7 +169,10 @@ def read_record(data: bytes, at: int) -> Found:
     version = VERSION.match(data, at)
     if not version:
         raise Damaged("no version line")
-    close = data.find(b"\r\n\r\n", version.end() - 2, version.end() + MAX_HEADER)
+    close = data.find(b"\r\n\r\n", version.end() - 2, version.end() + USUAL_HEADER)
+    if close < 0:
+        following = NEXT_VERSION.search(data, version.end() - 2)
+        close = data.find(b"\r\n\r\n", version.end() - 2, following.start() if following else len(data))
     if close < 0:
         raise Damaged("header without end")
     headers = {}

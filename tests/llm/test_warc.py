@@ -94,3 +94,18 @@ def test_round_trip_with_revisits(spark, tmp_path):
     assert {r.payload.decode() for r in got if r.record_type == "response"} == set(keep)
     write_archives(pages.limit(0), str(tmp_path / "none"))
     assert read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_urls_of_any_length_come_back(spark, tmp_path):
+    rows = [(1, "data:," + "x" * 100_000, "a"), (2, "http://h/" + "\n" * 50_000, "b"), (3, "v" * 100_000, "b"), (4, "u", "c")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    write_archives(pages, str(tmp_path / "w"))
+    got = read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.status, r.headers.get(warc.PAGE_ID)) for r in got) == [("record", str(i)) for i in (1, 2, 3, 4)]
+    assert {r.headers[warc.PAGE_ID]: r.headers["WARC-Target-URI"] for r in got} == {str(i): u.replace("\n", "%0A") for i, u, _ in rows}
+
+
+def test_a_header_without_end_stops_at_the_next_version_line():
+    good = records(2)
+    data = b"WARC/1.1\r\nX: " + b"y" * 100_000 + b"\r\n" + good[0] + good[1]
+    assert [(t[0], t[3]) for t in told(data)] == [(None, False), ("0", True), ("1", True)]
