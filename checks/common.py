@@ -19,9 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table as input of costly per-row work."""
-    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism, key)
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    """A table as input of costly per-row work, over no fewer tasks than its scan has; ``key`` tells its rows apart."""
+    scan = table(spark, sf_dir, name)
+    return spread(scan, max(spark.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()), *key)
 
 
 def json_of(*columns: Column) -> Column:

@@ -87,7 +87,7 @@ def custom_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source of kind feed, which has no mapping of its own, given one that routes categories."""
     from millrace.sources.spec import KIND_MAPPINGS, FieldMapping
 
-    conversations = spread_table(spark, sf_dir, "conversations", "conv_id")
+    conversations = spread_table(spark, sf_dir, "conversations", "conv_id", "turn")
     payload = json_of(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"),
         F.col("text").alias("body"),
@@ -352,10 +352,10 @@ def csv_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      ).otherwise(F.concat_ws(",", "p_name", F.concat(key.cast("string"), surplus)))
     header = F.when(F.col("form") == 0, "ID,Product Name,Category").otherwise("Product Name,ID")
     (
-        parts.groupBy("form")
+        parts.groupBy("form", F.floor(key / 1000).alias("file"))
         .agg(F.first(header).alias("header"), F.concat_ws("\n", F.array_sort(F.collect_list(by_form))).alias("lines"))
         .select("form", F.concat_ws("\n", "header", "lines").alias("value"))
-        .repartition("form").write.partitionBy("form").text(path)
+        .write.partitionBy("form").option("maxRecordsPerFile", 1).text(path)
     )
     rows = read_csv_source(spark, path, multi_line=False).select("id", "product_name", "category", F.lit(False).alias("rejected"))
     cells, even = F.col("cells"), F.size("cells") == 4
@@ -375,11 +375,13 @@ def feed_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.when(
         F.col("form") == 0, F.concat(F.lit("<item><title>p"), number, F.lit("</title><guid>"), number, F.lit("</guid></item>"))
     ).otherwise(F.concat(F.lit("<entry><title>p"), number, F.lit("</title><id>"), number, F.lit("</id></entry>")))
-    feeds = pages.groupBy("form").agg(F.concat_ws("", F.array_sort(F.collect_list(entry))).alias("entries"))
+    feeds = pages.groupBy("form", F.floor(F.col("page_id") / 1000).alias("file")).agg(
+        F.concat_ws("", F.array_sort(F.collect_list(entry))).alias("entries")
+    )
     document = F.when(
         F.col("form") == 0, F.concat(F.lit("<rss><channel>"), "entries", F.lit("</channel></rss>"))
     ).otherwise(F.concat(F.lit("<feed>"), "entries", F.lit("</feed>")))
-    feeds.select("form", document.alias("value")).repartition("form").write.partitionBy("form").text(path)
+    feeds.select("form", document.alias("value")).write.partitionBy("form").option("maxRecordsPerFile", 1).text(path)
     records = feed_records(read_feed(spark, path))
     return records.select(
         F.get_json_object("payload", "$.id").cast("bigint").alias("page_id"),

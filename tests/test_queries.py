@@ -51,3 +51,20 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry_has_rows(spark):
     assert spark_entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["csv_mixed_headers", "feed_mixed"])
+def test_mixed_files_grow_in_number_with_the_table(spark, tmp_path, monkeypatch, name):
+    given = spark.range(3_000).selectExpr("id AS page_id", "id AS p_partkey", "'n' AS p_name", "'b' AS p_brand")
+    monkeypatch.setattr(mapping, "table", lambda *_: given)
+    monkeypatch.setattr(mapping, "fresh_path", lambda *_: str(tmp_path / "w"))
+    assert mapping.QUERIES[name][0](spark, "").count() == 3_000
+    files = [path.read_text() for path in (tmp_path / "w").rglob("part-*")]
+    assert len(files) == 6 and max(text.count("\n") + text.count("<title>") for text in files) <= 502
+
+
+def test_a_long_conversation_is_spread(spark, tmp_path):
+    turns = spark.range(1_000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'t' AS text")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = mapping.custom_mapping(spark, str(tmp_path))
+    assert rows.selectExpr("spark_partition_id() AS p").distinct().count() > 2
