@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import fresh_path
 
-from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
+from . import chat, exact_dedup, licenses, manifest, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
 from .common import table, written
 
 #: The rules of the url query.
@@ -123,6 +123,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("mask", F.array_join(spans, ","))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document, by its id, is read with its text in lower case and held against the manifest."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    read = [F.translate("text", upper, lower) if name == "text" else F.col(name) for name in manifest.COLUMNS]
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(touched, manifest.leaf_digest(read))
+    rows = manifest.manifest(table(spark, sf_dir, "documents"), extra={"tampered": tampered})
+    folded = manifest.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return rows.withColumn("folded_root", folded).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+#: CRC-32 of the list ``bytes``, by its rule; null for null.
+CRC32 = """xor(4294967295, list_reduce(bytes, lambda acc, b: list_reduce(range(8),
+    lambda r, i: xor(r >> 1, 3988292384 * (r & 1)), xor(acc, CAST(b AS BIGINT))), CAST(4294967295 AS BIGINT)))"""
+
 SQL_WARC = """
     WITH hashed AS (
         SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex,
@@ -273,6 +291,66 @@ SQL_MIX = r"""
     FROM taken
 """
 
+SQL_MANIFEST = """
+    WITH RECURSIVE
+    fields AS (
+        SELECT doc_id, lang, text,
+               coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') ||
+               coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') ||
+               coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+               translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small,
+               {crc} % 3 = 0 AS touched
+        FROM (SELECT *, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)) AS bytes FROM documents)),
+    leaves AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               CASE WHEN touched THEN sha256(head || coalesce(strlen(small) || ':' || small, '-')) END AS tampered
+        FROM fields),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+               count(*) OVER (PARTITION BY lang) AS n
+        FROM leaves),
+    nodes AS (
+        SELECT 0 AS level, lang, pos, n, leaf AS digest FROM placed
+        UNION ALL
+        SELECT level + 1, lang, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM nodes WHERE n > 1 GROUP BY level, lang, n, pos // 8),
+    subroots AS (
+        SELECT lang, digest, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+        FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS level, pos, n, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM tops WHERE n > 1 GROUP BY level, n, pos // 8),
+    runs AS (
+        SELECT level, lang, pos // 8 AS run, list(digest ORDER BY pos) AS digests FROM nodes WHERE n > 1 GROUP BY ALL),
+    top_runs AS (
+        SELECT level, pos // 8 AS run, list(digest ORDER BY pos) AS digests FROM tops WHERE n > 1 GROUP BY ALL),
+    climb AS (
+        SELECT 0 AS level, lang, pos AS start, pos, n, coalesce(tampered, leaf) AS node, '' AS proof FROM placed
+        UNION ALL
+        SELECT c.level + 1, c.lang, start, pos // 8, (n + 7) // 8,
+               sha256(array_to_string(digests[:pos % 8] || [node] || digests[pos % 8 + 2:], '')),
+               proof || array_to_string(digests[:pos % 8] || digests[pos % 8 + 2:], '')
+        FROM climb c JOIN runs r ON r.level = c.level AND r.lang IS NOT DISTINCT FROM c.lang AND r.run = c.pos // 8
+        WHERE n > 1),
+    over AS (
+        SELECT 0 AS level, c.lang, c.start, s.pos, s.n, node, proof
+        FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+        UNION ALL
+        SELECT o.level + 1, o.lang, start, pos // 8, (n + 7) // 8,
+               sha256(array_to_string(digests[:pos % 8] || [node] || digests[pos % 8 + 2:], '')),
+               proof || array_to_string(digests[:pos % 8] || digests[pos % 8 + 2:], '')
+        FROM over o JOIN top_runs r ON r.level = o.level AND r.run = o.pos // 8
+        WHERE n > 1)
+    SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(o.proof) AS proof_sha256,
+           o.node AS folded_root, o.node = t.digest AS verified
+    FROM placed p
+    JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang
+    JOIN over o ON o.n = 1 AND o.lang IS NOT DISTINCT FROM p.lang AND o.start = p.pos
+    JOIN tops t ON t.n = 1
+""".format(crc=CRC32)
+
 QUERIES = {
     "op1_warc": (op1_warc, SQL_WARC),
     "op2_url_filter": (op2_url_filter, SQL_URL),
@@ -284,4 +362,5 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_near_dedup": (op9_near_dedup, None),
     "op10_chat": (op10_chat, SQL_CHAT),
+    "op13_manifest": (op13_manifest, SQL_MANIFEST),
 }
