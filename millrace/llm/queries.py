@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from millrace.session import fresh_path
 
-from . import chat, exact_dedup, licenses, manifest, mixing, near_dedup, packing, quality, toxicity, url_filters, warc
+from . import (
+    chat,
+    exact_dedup,
+    licenses,
+    manifest,
+    mixing,
+    near_dedup,
+    packing,
+    piece_bpe,
+    quality,
+    spelling,
+    toxicity,
+    url_filters,
+    warc,
+)
 from .common import table, written
 
 #: The rules of the url query.
@@ -123,6 +137,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.withColumn("mask", F.array_join(spans, ","))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_bpe.encode(table(spark, sf_dir, "documents"), path, packed=True)
+    return piece_bpe.decode(coded, path).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some runs, by a checksum of document and run, lose a letter first."""
+
+    def misspelt(doc_id, run):
+        h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+        at = (h % F.length(run)).cast("int")
+        return F.when(h % 31 == 0, F.concat(F.left(run, at), F.substr(run, at + 2))).otherwise(run)
+
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), change=misspelt)
+    return spelling.spelling_variants(words)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document, by its id, is read with its text in lower case and held against the manifest."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -351,6 +388,49 @@ SQL_MANIFEST = """
     JOIN tops t ON t.n = 1
 """.format(crc=CRC32)
 
+SQL_SPELLING = r"""
+    WITH RECURSIVE
+    runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id,
+               unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+        FROM documents),
+    counted AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+        FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+    hashed AS (
+        SELECT run, n, {crc} AS h
+        FROM (SELECT *, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+                  lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS bytes
+              FROM counted)),
+    spelt AS (
+        SELECT n, CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed),
+    vocabulary AS (
+        SELECT word, CAST(sum(spelt.n) AS BIGINT) AS n FROM spelt
+        WHERE length(word) >= 7 GROUP BY word HAVING sum(spelt.n) >= 2),
+    shorter AS (
+        SELECT word, n, pos, left(word, pos - 1) || substr(word, pos + 1) AS rest
+        FROM (SELECT *, unnest(range(1, length(word) + 1)) AS pos FROM vocabulary)),
+    near AS (
+        SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM shorter a JOIN vocabulary b ON a.rest = b.word
+        UNION SELECT b.word, a.word, a.n FROM shorter a JOIN vocabulary b ON a.rest = b.word),
+    ranked AS (
+        SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near,
+               row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS place
+        FROM near),
+    judged AS (
+        SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near,
+               CASE WHEN r.n >= 10 * v.n THEN r.other END AS form, CASE WHEN r.n >= 10 * v.n THEN r.n END AS form_n
+        FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1),
+    followed AS (
+        SELECT word, word AS root, form AS next FROM judged
+        UNION ALL
+        SELECT f.word, j.word, j.form FROM followed f JOIN judged j ON f.next = j.word)
+    SELECT j.word, j.n, j.n_near, j.form, j.form_n, f.root
+    FROM judged j JOIN followed f ON f.word = j.word AND f.next IS NULL
+""".format(crc=CRC32)
+
 QUERIES = {
     "op1_warc": (op1_warc, SQL_WARC),
     "op2_url_filter": (op2_url_filter, SQL_URL),
@@ -362,5 +442,7 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_near_dedup": (op9_near_dedup, None),
     "op10_chat": (op10_chat, SQL_CHAT),
+    "op11_sentencepiece": (op11_sentencepiece, None),
+    "op12_spelling": (op12_spelling, SQL_SPELLING),
     "op13_manifest": (op13_manifest, SQL_MANIFEST),
 }
