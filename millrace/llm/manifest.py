@@ -29,7 +29,7 @@ from .common import written
 
 ARITY = 8
 #: Nodes in a window; whole runs, and few enough for a task.
-BLOCK = 8**5
+BLOCK = 8**4
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
