@@ -1,21 +1,23 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index.
-
-The terms are all words (runs of letters, lower case) of the *examples*, a bounded sample of labelled documents, and
-those stems of 4 to 7 letters that go with the label. Document frequencies are counted over the whole table. A
-document's vector has the weights ``(1 + ln tf) * ln(1 + N / df)``, length 1. Words and stems more frequent among toxic
-examples than chance allows (``MIN_G2``), at most ``MAX_FEATURES``, weigh in full and all others ``PLAIN`` of that, so
-that they lead where a text has them and plain words decide elsewhere. Words that no example has count as one
-further term, which only adds to the length.
-
-The index holds a postings list per term, and a row over all examples for a term of a tenth of them or more. Every
-text is scored against all examples that share a term, so the ``NEIGHBOURS`` found are exact. Their votes weigh
-``1 / (1 + OFFSET - similarity)``, the label's base rate votes once with ``PRIOR``, and an isotonic fit on the examples'
-own leave-one-out votes turns the result into a probability. Texts without any term, empty ones too, are equally
-near to all examples without one and get their rate. The nearest examples are the evidence.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+
+The terms are the words (runs of letters, lower case) of the *examples*, a bounded sample of labelled documents. A
+term of a document weighs ``(1 + ln tf) * ln(1 + N / df)`` with the document frequency in the whole table, times
+``1 + ASSOCIATION * sqrt(G2)`` if the log-likelihood ratio G2 finds it more often among toxic examples; there is no
+threshold. Vectors have length 1. Words of no example are no terms.
+
+The index is built by Spark as one sorted table of postings and opened by the tasks; the driver never holds it.
+Examples lie in blocks of ``BLOCK`` neighbours, alike ones together, and each term has its largest weight per block.
+A text adds these up to a bound for each block, scores the most promising blocks, and then only those whose bound
+reaches the k-th best score so far, so what is skipped can't hold a neighbour. Votes weigh
+``1 / (1 + OFFSET - similarity)``, the label's base rate votes once with ``PRIOR``, and an isotonic fit on the
+examples' own votes, each without itself, turns the result into a probability. Ties of similarity go to the example
+that comes first by label, heaviest term and id. Texts without any term, empty ones too, get the rate of the examples without one. The nearest
+examples are the evidence.
 
 Only labelled rows that ``learnable`` selects are learnt from. Label rows with nulls are ignored; of several
-labels for a document the greater counts. Null and repeated ids and texts are fine: every row is scored by its
-own text. Without examples every score is 0. The model is at most ``EXAMPLES`` vectors, whatever the input.
+labels for a document the greater counts, of several texts the smallest. Null and repeated ids and texts are fine:
+every row is scored by its own text. Without examples every score is 0. The model is bounded by ``EXAMPLES`` documents
+and ``POSTINGS`` terms of documents, whatever the input: examples are taken in the order of a hash of their id.
 """
 
 from __future__ import annotations
@@ -27,254 +29,282 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window as W
+
+from millrace.session import fresh_path
 
 from .common import written
 
-#: Bound of the sample of labelled rows, drawn by a hash of the id.
+#: Bounds of the sample of labelled rows.
 EXAMPLES = 6_000
-MAX_FEATURES = 2_048
-MIN_G2, MIN_TOXIC = 10.83, 3
-#: Weight of terms that do not go with the label.
-PLAIN = 0.1
-STEMS = range(4, 8)
-MAX_LETTERS = 40
-NEIGHBOURS = 25
+POSTINGS = 4_000_000
+ASSOCIATION = 2.0
+BLOCK = 64
+NEIGHBOURS = 15
 OFFSET, PRIOR = 0.05, 1.0
 EVIDENCE = 3
 THRESHOLD = 0.3
-CACHED_WORDS, CACHED_QUERIES = 1 << 18, 1 << 16
+#: Blocks scored before any is skipped.
+FIRST_BLOCKS = 3
+CACHED_QUERIES = 1 << 14
+#: Similarities closer than this are equal; rounding must not lose a tie.
+ROUNDING = 1e-9
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_VECTOR = T.StructType(
-    [T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))]
-)
 
 
-def word_features(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in STEMS if len(word) >= n)] if len(word) <= MAX_LETTERS else [word]
+def words_of(text: str | None) -> Counter:
+    return Counter(_LETTERS.findall((text or "").lower()))
 
 
-def _words(text: str | None) -> Counter:
-    return Counter(_LETTERS.findall((text or "").lower()))
+def read_shared(path: str) -> pa.Table:
+    """A written table of the shared folder, opened inside a task."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
 
+    path = re.sub(r"^file:/+", "/", path)
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(system.open_input_file(f)).read() for f in sorted(files)])
 
-def _example_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [
-            sorted({feature for word in _words(text.as_py()) for feature in word_features(word)})
-            for text in batch.column(1)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
 
+class Index:
+    """Unit vectors of examples, by term and example, with the largest weight of each term and block."""
 
-def example_terms(examples: DataFrame) -> dict[str, float]:
-    """Words of the examples and stems that go with the label, with their factors; ``examples`` has ``toxic`` and ``text``."""
-    rows = written(
-        examples.select("toxic", "text").mapInArrow(_example_features, "toxic int, features array<string>"),
-        "example-features",
-    )
-    total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
-    if not total:
-        return {}
-    # 2 x 2 table: a toxic and b other examples with the feature.
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    share = F.lit(toxic / total)
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, labels: np.ndarray, factors: np.ndarray):
+        """Postings sorted by term and example; ``factors`` are the weights of terms apart from their counts."""
+        self.factors, self.labels, self.example, self.weight = factors, labels, example, weight
+        self.bare = np.bincount(example, minlength=len(labels)) == 0
+        self.base = float(labels.mean()) if len(labels) else 0.0
+        self.bare_rate = (float(labels[self.bare].sum()) + self.base) / (int(self.bare.sum()) + 1)
+        self.n_blocks = -(-len(labels) // BLOCK)
+        group = term.astype(np.int64) * max(self.n_blocks, 1) + example // BLOCK
+        self.begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
+        self.end = np.append(self.begin[1:], len(group)).astype(np.int64)
+        self.block = example[self.begin] // BLOCK
+        self.most = np.maximum.reduceat(weight, self.begin) if len(group) else np.empty(0)
+        # Blocks of term t: from first[t] up to first[t + 1].
+        self.first = np.searchsorted(term[self.begin], np.arange(len(factors) + 1))
+        self.scored = self.skipped = 0
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weights = (1 + np.log(counts)) * self.factors[terms]
+        return weights / np.sqrt(weights @ weights)
+
+    def _add(self, places: np.ndarray, weights: np.ndarray, scores: np.ndarray) -> None:
+        """The postings of these blocks of terms."""
+        lengths = self.end[places] - self.begin[places]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[places] - ends + lengths, lengths)
+        scores += np.bincount(self.example[at], np.repeat(weights, lengths) * self.weight[at], len(scores))
 
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """The ``k`` most similar examples with a common term, nearest first, and their similarities."""
+        first = self.first[terms]
+        lengths = self.first[terms + 1] - first
+        ends = np.cumsum(lengths)
+        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
+        weights, block = np.repeat(weights, lengths), self.block[places]
+        bound = np.bincount(block, weights * self.most[places], self.n_blocks)
+        scores, todo = np.zeros(len(self.labels)), bound > 0
+        now = np.zeros(self.n_blocks, bool)
+        now[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        now &= todo
+        while now.any():
+            chosen = now[block]
+            self._add(places[chosen], weights[chosen], scores)
+            if skip >= 0:
+                scores[skip] = 0.0
+            todo &= ~now
+            self.scored += int(now.sum())
+            best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            now = todo & (bound >= best - ROUNDING)
+        self.skipped += int(todo.sum())
+        found = np.flatnonzero((scores > 0) & (scores >= best - ROUNDING)) if len(terms) and bound.any() else np.empty(0, int)
+        found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
+        return found, scores[found]
 
-    g2 = 2 * (
-        part(a, F.col("n") * share)
-        + part(b, F.col("n") * (1 - share))
-        + part(toxic - a, (total - F.col("n")) * share)
-        + part(total - toxic - b, (total - F.col("n")) * (1 - share))
-    )
-    found = written(
-        rows.select("toxic", F.explode("features").alias("feature"))
-        .groupBy("feature")
-        .agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")),
-        "example-terms",
-    )
-    best = (
-        found.filter((a >= MIN_TOXIC) & (a > share * F.col("n")))
-        .withColumn("g2", g2)
-        .filter(F.col("g2") >= MIN_G2)
-        .orderBy(F.desc("g2"), "feature")
-        .limit(MAX_FEATURES)
-        .collect()
+    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
+        found, similarity = self.nearest(terms, self.unit(terms, counts), NEIGHBOURS, skip)
+        votes = 1 / (1 + OFFSET - np.minimum(similarity, 1.0))
+        return (float(votes @ self.labels[found]) + PRIOR * self.base) / (float(votes.sum()) + PRIOR), found
+
+
+def pooled(votes: list[tuple[float, int]], base: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic fit of labels to votes, smoothed by the base rate, as points of a line between the pools' middles."""
+    pools: list[list[float]] = []
+    for raw, label in sorted(votes):
+        pools.append([label, 1.0, raw, raw])
+        while len(pools) > 1 and (
+            pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1] or pools[-2][3] == pools[-1][2]
+        ):
+            y, n, _, high = pools.pop()
+            pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2], high]
+    if not pools:
+        return np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    return (
+        np.array([(low + high) / 2 for _, _, low, high in pools]),
+        np.array([(y + base) / (n + 1) for y, n, _, _ in pools]),
     )
-    words = found.filter(~F.col("feature").endswith("*")).select("feature").collect()
-    return {row["feature"]: PLAIN for row in words} | {row["feature"]: 1.0 for row in best}
 
 
-def vectors(docs: DataFrame, features: dict[str, int]) -> DataFrame:
-    """``docs`` (first column: anything, second: text) as (first column, ``terms``, ``counts``).
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            found = words_of(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key.as_py()] * len(found), batch.schema.types[0]), pa.array(found.keys(), pa.string()),
+                 pa.array(found.values(), pa.int32())], ["example", "word", "n"],
+            )
+
 
-    The last term, ``len(features)``, counts the words that are no feature and have none.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(features)
+def _vectors(docs: DataFrame, terms_path: str) -> DataFrame:
+    """(first column, ``terms``, ``counts``) of texts; ``terms_path`` holds (word, term)."""
+    ints = T.ArrayType(T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = held.value, {}
-        ints = pa.list_(pa.int32())
+        table = read_shared(terms_path)
+        number = dict(zip(table["word"].to_pylist(), table["term"].to_pylist(), strict=True))
+        del table
         for batch in batches:
             terms, counts = [], []
             for text in batch.column(1):
-                vector, other = {}, 0
-                for word, n in _words(text.as_py()).items():
-                    hits = known.get(word)
-                    if hits is None:
-                        if len(known) >= CACHED_WORDS:
-                            known.clear()
-                        hits = known[word] = tuple(number[f] for f in word_features(word) if f in number)
-                    for hit in hits:
-                        vector[hit] = vector.get(hit, 0) + n
-                    other += 0 if hits else n
-                if other:
-                    vector[len(number)] = other
-                terms.append(sorted(vector))
-                counts.append([vector[t] for t in terms[-1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(terms, ints), pa.array(counts, ints)], [batch.schema.names[0], "terms", "counts"]
-            )
+                found = sorted((number[word], n) for word, n in words_of(text.as_py()).items() if word in number)
+                terms.append([t for t, _ in found])
+                counts.append([n for _, n in found])
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, kind), pa.array(counts, kind)], schema.names)
 
-    return docs.mapInArrow(run, T.StructType([docs.schema.fields[0], *_VECTOR.fields]))
+    schema = T.StructType([docs.schema.fields[0], T.StructField("terms", ints), T.StructField("counts", ints)])
+    return docs.mapInArrow(run, schema)
 
 
-class Index:
-    """Examples as unit vectors in an inverted index; ``idf`` holds the factors of the terms too."""
+class Fitted:
+    """Where the model's tables are; ``open`` reads them inside a task."""
 
-    def __init__(self, ids: list, labels: np.ndarray, examples: list[tuple[list[int], list[int]]], idf: np.ndarray):
-        self.idf = idf
-        self.other = len(idf) - 1
-        labels = np.asarray(labels, float)
-        bare = np.array([self.is_bare(terms) for terms, _ in examples], bool)
-        self.base = float(labels.mean()) if len(labels) else 0.0
-        self.bare_rate = (float(labels[bare].sum()) + self.base) / (int(bare.sum()) + 1)
-        units = [self.unit(terms, counts) for terms, counts in examples]
-        order = [k for k in range(len(units)) if len(units[k][0])]
-        self.ids, self.labels = [ids[k] for k in order], labels[order]
-        self.units, self.bare = [units[k] for k in order], bare[order]
-        term = np.concatenate([u[0] for u in self.units]) if order else np.empty(0, np.int64)
-        weight = np.concatenate([u[1] for u in self.units]) if order else np.empty(0)
-        example = np.repeat(np.arange(len(order)), [len(u[0]) for u in self.units])
-        # Rows of the frequent terms; postings of any other term t from begin[t] up to begin[t + 1].
-        frequent = np.bincount(term, minlength=len(idf)) * 10 >= max(len(order), 1)
-        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        self.rows = np.zeros((int(frequent.sum()), len(order)))
-        dense = frequent[term]
-        self.rows[self.row[term[dense]], example[dense]] = weight[dense]
-        term, weight, example = term[~dense], weight[~dense], example[~dense]
-        by_term = np.lexsort((example, term))
-        self.example, self.weight = example[by_term].astype(np.int32), weight[by_term]
-        self.begin = np.searchsorted(term[by_term], np.arange(len(idf) + 1))
-        self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def is_bare(self, terms) -> bool:
-        """No word of an example."""
-        return len(terms) == 0 or len(terms) == 1 and terms[0] == self.other
-
-    def unit(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        terms = np.asarray(terms, np.int64)
-        weights = (1 + np.log(np.asarray(counts, float))) * self.idf[terms] if len(terms) else np.empty(0)
-        return terms, weights / np.sqrt(np.sum(weights * weights)) if len(terms) else weights
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The similarities of all examples."""
-        row = self.row[terms]
-        dense = row >= 0
-        scores = weights[dense] @ self.rows[row[dense]]
-        terms, weights = terms[~dense], weights[~dense]
-        begin = self.begin[terms]
-        lengths = self.begin[terms + 1] - begin
-        total = int(lengths.sum())
-        if total:
-            places = np.arange(total) + np.repeat(begin - np.cumsum(lengths) + lengths, lengths)
-            scores += np.bincount(self.example[places], np.repeat(weights, lengths) * self.weight[places], len(scores))
-        return scores
+    def __init__(self, postings: str, examples: str, factors: str):
+        self.paths, self.curve = (postings, examples, factors), (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` most similar examples with any common term, nearest first, and their similarities."""
-        scores = self._scores(terms, weights)
-        if skip >= 0:
-            scores[skip] = 0.0
-        best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        # Rounding must not lose a tie.
-        found = np.flatnonzero((scores > 0) & (scores >= best - 1e-9))
-        found = found[np.lexsort((found, -np.round(scores[found], 12)))][:k]
-        return found, scores[found]
+    def open(self) -> tuple[Index, list]:
+        postings, examples, factors = map(read_shared, self.paths)
+        examples, factors = examples.sort_by("number"), factors.sort_by("term")
+        columns = [postings[name].to_numpy() for name in ("term", "number", "weight")]
+        return Index(*columns, examples["toxic"].to_numpy().astype(float), factors["factor"].to_numpy()), examples["example"].to_pylist()
 
-    def vote(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[float, list]:
-        found, similarity = self.nearest(terms, weights, NEIGHBOURS, skip)
-        votes = 1 / (1 + OFFSET - np.minimum(similarity, 1.0))
-        score = (float(votes @ self.labels[found]) + PRIOR * self.base) / (float(votes.sum()) + PRIOR)
-        return score, [self.ids[i] for i in found[:EVIDENCE]]
-
-    def calibrate(self) -> None:
-        """Isotonic fit of the labels to the examples' votes without themselves, by pooling neighbours."""
-        judged = np.flatnonzero(~self.bare)
-        raw = np.array([self.vote(*self.units[i], skip=i)[0] for i in judged])
-        pools: list[list[float]] = []
-        for i in np.argsort(raw, kind="stable"):
-            pools.append([self.labels[judged[i]], 1.0, raw[i], raw[i]])
-            while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
-                y, n, _, high = pools.pop()
-                pools[-1] = [pools[-1][0] + y, pools[-1][1] + n, pools[-1][2], high]
-        if pools:
-            # Smoothed by the base rate, and linear between the middles of the pools.
-            self.curve = (
-                np.array([(low + high) / 2 for _, _, low, high in pools]),
-                np.array([(y + self.base) / (n + 1) for y, n, _, _ in pools]),
-            )
 
-    def score(self, terms, counts) -> tuple[float, list]:
-        if self.is_bare(terms) or not self.ids:
-            return self.bare_rate if self.base else 0.0, []
-        raw, evidence = self.vote(*self.unit(terms, counts))
-        # A little of the vote itself orders the documents within a pool.
-        return 0.999 * float(np.interp(raw, *self.curve)) + 0.001 * raw, evidence
+def _one_file(df: DataFrame, purpose: str, *order: str) -> str:
+    """A sorted table of bounded size, written as one file."""
+    path = fresh_path(df.sparkSession, purpose)
+    df.repartition(1).sortWithinPartitions(*order).write.parquet(path)
+    return path
 
 
-def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str):
-    """(index, written vectors of all documents)."""
-    sample = (
+def _sample(labels: DataFrame, texts: DataFrame, learnable: Column, id_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
+    """The examples (example, toxic) and their words (example, word, n)."""
+    drawn = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & learnable)
         .groupBy(F.col(id_col).alias("_tox_example"))
         .agg(F.max(label_col).cast("int").alias("toxic"))
         .orderBy(F.xxhash64("_tox_example"), "_tox_example")
         .limit(EXAMPLES)
     )
-    sample = F.broadcast(written(sample, "labelled"))  # at most EXAMPLES rows
-    texts = docs.select(F.col(id_col).alias("_tox_id"), F.col(text_col).alias("text"))
-    factors = example_terms(texts.join(sample, F.col("_tox_id") == F.col("_tox_example")))
-    features = {feature: k for k, feature in enumerate(sorted(factors))}
-    rows = written(vectors(texts, features), "vectors")
-    total = rows.count()
-    counted = rows.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
-    frequency = np.ones(len(features) + 1)
-    for row in counted:
-        frequency[row["term"]] = row["count"]
-    examples = (
-        rows.join(sample, F.col("_tox_id") == F.col("_tox_example"))
-        .groupBy("_tox_example")
-        .agg(F.first("toxic").alias("toxic"), F.min(F.struct("terms", "counts")).alias("vector"))
-        .orderBy("_tox_example")
-        .collect()
+    drawn = F.broadcast(written(drawn, "labelled"))  # at most EXAMPLES rows
+    found = texts.join(drawn, F.col("_tox_id") == F.col("_tox_example"))
+    found = found.groupBy("_tox_example").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    words = found.select("_tox_example", "text").mapInArrow(
+        _example_words, T.StructType([T.StructField("example", found.schema[0].dataType), *_WORD_FIELDS])
     )
-    index = Index(
-        [row["_tox_example"] for row in examples],
-        np.array([row["toxic"] for row in examples], float),
-        [(row["vector"]["terms"], row["vector"]["counts"]) for row in examples],
-        np.log(1 + max(total, 1) / frequency) * np.array([*(factors[feature] for feature in features), PLAIN]),
+    words = written(words, "example-words")
+    sizes = words.groupBy("example").count()
+    # At most EXAMPLES rows in this window.
+    so_far = F.sum(F.coalesce("count", F.lit(0))).over(W.orderBy(F.xxhash64("_tox_example"), "_tox_example"))
+    kept = found.select("_tox_example", "toxic").join(sizes, F.col("example") == F.col("_tox_example"), "left")
+    kept = written(
+        kept.withColumn("_so_far", so_far).filter(F.col("_so_far") <= POSTINGS)
+        .select(F.col("_tox_example").alias("example"), "toxic"),
+        "examples",
+    )
+    return kept, words.join(F.broadcast(kept), "example")
+
+
+_WORD_FIELDS = [T.StructField("word", T.StringType()), T.StructField("n", T.IntegerType())]
+
+
+def _association(a: Column, n: Column, toxic: int, total: int) -> Column:
+    """Root of the log-likelihood ratio of a word in ``a`` of ``toxic`` and ``n`` of all examples; 0 if it is not more frequent there."""
+    share = F.lit(toxic / total)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    b, none = n - a, total - n
+    g2 = 2 * (
+        part(a, n * share) + part(b, n * (1 - share))
+        + part(toxic - a, none * share) + part(total - toxic - b, none * (1 - share))
     )
-    index.calibrate()
-    # The postings hold the same.
-    index.units = []
-    return index, rows
+    return F.when(a > n * share, F.sqrt(F.greatest(g2, F.lit(0.0)))).otherwise(0.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text_col: str, label_col: str) -> tuple[Fitted, DataFrame] | None:
+    """(where the model is, written vectors of all documents), or None without examples."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("_tox_id"), F.col(f"`{text_col}`").alias("text"))
+    examples, words = _sample(labels, texts, learnable, id_col, label_col)
+    total, toxic = examples.agg(F.count("*"), F.sum("toxic")).first()
+    if not total:
+        return None
+    terms = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n_examples"))
+    # Bounded by POSTINGS, so one window numbers them.
+    terms = terms.withColumn("term", F.row_number().over(W.orderBy("word")) - 1)
+    terms_path = _one_file(terms, "terms", "term")
+    terms = docs.sparkSession.read.schema(terms.schema).parquet(terms_path)
+    rows = written(_vectors(texts, terms_path), "vectors")
+    n_docs = max(rows.count(), 1)
+    df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    factor = F.log(1 + n_docs / F.col("df")) * (1 + ASSOCIATION * _association(F.col("a"), F.col("n_examples"), toxic, total))
+    factors_path = _one_file(terms.join(df, "term").select("term", factor.alias("factor")), "factors", "term")
+    factors = docs.sparkSession.read.schema("term int, factor double").parquet(factors_path)
+
+    weighted = written(
+        words.join(terms.select("word", "term"), "word").join(factors, "term")
+        .select("example", "term", ((1 + F.log("n")) * F.col("factor")).alias("weight"), "n"),
+        "weighted",
+    )
+    norms = weighted.groupBy("example").agg(
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"), F.max_by("term", F.struct("weight", "term")).alias("lead")
+    )
+    # Alike examples side by side: by label and heaviest term. At most EXAMPLES rows.
+    numbered = examples.join(norms, "example", "left")
+    numbered = numbered.withColumn("number", (F.row_number().over(W.orderBy("toxic", "lead", "example")) - 1).cast("int"))
+    examples_path = _one_file(numbered, "numbered", "number")
+    numbered = docs.sparkSession.read.schema(numbered.schema).parquet(examples_path)
+    postings = weighted.join(F.broadcast(numbered.filter("norm > 0")), "example").select(
+        "term", "number", (F.col("weight") / F.col("norm")).cast("double").alias("weight")
+    )
+    fitted = Fitted(_one_file(postings, "postings", "term", "number"), examples_path, factors_path)
+
+    def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, _ = fitted.open()
+        for batch in batches:
+            votes = [
+                (index.vote(np.array(terms), np.array(counts), skip=number)[0], int(index.labels[number]))
+                for number, terms, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True)
+            ]
+            yield pa.RecordBatch.from_pylist([{"raw": raw, "label": label} for raw, label in votes], _VOTES)
+
+    own = weighted.join(F.broadcast(numbered.select("example", "number")), "example").groupBy("number").agg(
+        F.array_sort(F.collect_list(F.struct("term", "n"))).alias("own")
+    )
+    votes = own.select("number", "own.term", "own.n").mapInArrow(own_votes, "raw double, label int")
+    # Two numbers for each of at most EXAMPLES examples.
+    fitted.curve = pooled([(row["raw"], row["label"]) for row in votes.collect()], toxic / total)
+    return fitted, rows
+
+
+_VOTES = pa.schema([("raw", pa.float64()), ("label", pa.int32())])
 
 
 def score_toxicity(
@@ -289,22 +319,32 @@ def score_toxicity(
 
     ``learnable`` is a condition on the columns of ``labels``.
     """
-    index, rows = fit(docs, labels, learnable, id_col, text_col, label_col)
-    held = docs.sparkSession.sparkContext.broadcast(index)
-    id_type = docs.schema[id_col].dataType
+    evidence_type = labels.schema[id_col].dataType
     schema = T.StructType(
         [
-            T.StructField(id_col, id_type),
+            T.StructField(id_col, docs.schema[id_col].dataType),
             T.StructField("score", T.DoubleType()),
             T.StructField("predicted", T.IntegerType()),
-            T.StructField("evidence", T.ArrayType(labels.schema[id_col].dataType)),
+            T.StructField("evidence", T.ArrayType(evidence_type)),
         ]
     )
-
-    evidence_type = pa.list_(to_arrow_type(labels.schema[id_col].dataType))
+    model = fit(docs, labels, learnable, id_col, text_col, label_col)
+    if model is None:
+        nothing = (F.lit(0.0), F.lit(0), F.array().cast(schema["evidence"].dataType))
+        return docs.select(F.col(f"`{id_col}`"), *(c.alias(n) for c, n in zip(nothing, schema.names[1:], strict=True)))
+    fitted, rows = model
+    arrow_type = pa.list_(to_arrow_type(evidence_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = held.value, {}
+        (index, ids), known = fitted.open(), {}
+
+        def score(terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
+            if not len(terms):
+                return index.bare_rate if index.base else 0.0, []
+            raw, found = index.vote(terms, counts)
+            # A little of the vote itself orders the documents within a pool.
+            return 0.999 * float(np.interp(raw, *fitted.curve)) + 0.001 * raw, [ids[i] for i in found[:EVIDENCE]]
+
         for batch in batches:
             scores, evidence = [], []
             columns = [batch.column(k) for k in (1, 2)]
@@ -316,16 +356,12 @@ def score_toxicity(
                 if key not in known:
                     if len(known) >= CACHED_QUERIES:
                         known.clear()
-                    known[key] = model.score(terms, counts)
+                    known[key] = score(terms, counts)
                 scores.append(known[key][0])
                 evidence.append(known[key][1])
+            flags = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(scores, pa.float64()),
-                    pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
-                    pa.array(evidence, evidence_type),
-                ],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array(flags, pa.int32()), pa.array(evidence, arrow_type)],
                 schema.names,
             )
 

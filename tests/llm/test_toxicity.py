@@ -1,37 +1,113 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm.queries import op4_toxicity
-from millrace.llm.toxicity import NEIGHBOURS, Index, score_toxicity
+from millrace.llm.toxicity import ASSOCIATION, NEIGHBOURS, Index, pooled, score_toxicity, words_of
 
 SF_DIR = "/root/testdata/sf0.1"
 
 
-def test_neighbours_are_exact():
+def plain(docs, labels, learnable):
+    """Scores and evidence by whole vectors and all similarities."""
+    marks = {}
+    for i, toxic in labels:
+        if i is not None and toxic is not None and learnable(i):
+            marks[i] = max(marks.get(i, 0), toxic)
+    texts = {}
+    for i, text in docs:
+        if i in marks:
+            texts[i] = min(filter(None, (texts.get(i), text)), default=None)
+    bags = {i: words_of(text) for i, text in texts.items()}
+    terms, df = sorted({w for bag in bags.values() for w in bag}), Counter()
+    for _, text in docs:
+        df.update(words_of(text).keys())
+    total, toxic = len(bags), sum(marks[i] for i in bags)
+    share = toxic / total
+
+    def factor(word):
+        n = sum(word in bag for bag in bags.values())
+        a = sum(marks[i] for i, bag in bags.items() if word in bag)
+        cells = [(a, n * share), (n - a, n * (1 - share)), (toxic - a, (total - n) * share),
+                 (total - toxic - n + a, (total - n) * (1 - share))]
+        g2 = 2 * sum(x * math.log(x / e) for x, e in cells if x)
+        return math.log(1 + len(docs) / df[word]) * (1 + ASSOCIATION * (math.sqrt(max(g2, 0)) if a > n * share else 0))
+
+    factors = {word: factor(word) for word in terms}
+
+    def unit(bag):
+        vector = {w: (1 + math.log(n)) * factors[w] for w, n in bag.items() if w in factors}
+        norm = math.sqrt(sum(x * x for x in vector.values()))
+        return {w: x / norm for w, x in vector.items()}
+
+    units = {i: unit(bag) for i, bag in bags.items()}
+    lead = {i: max(((x, w) for w, x in u.items()), default=(0, "")) for i, u in units.items()}
+    order = sorted(units, key=lambda i: (marks[i], lead[i][1], i))
+
+    def vote(vector, skip=None):
+        near = [(round(sum(x * units[i].get(w, 0) for w, x in vector.items()), 9), -k) for k, i in enumerate(order) if i != skip]
+        near = sorted((one for one in near if one[0] > 0), reverse=True)[:NEIGHBOURS]
+        votes = [1 / (1.05 - min(s, 1)) for s, _ in near]
+        found = [order[-k] for _, k in near]
+        return (sum(v * marks[i] for v, i in zip(votes, found, strict=True)) + share) / (sum(votes) + 1), found
+
+    curve = pooled([(vote(u, i)[0], marks[i]) for i, u in units.items() if u], share)
+    bare = [marks[i] for i, u in units.items() if not u]
+    out = []
+    for i, text in docs:
+        bag = words_of(text)
+        vector = unit(bag) if any(w in factors for w in bag) else None
+        if not vector:
+            out.append((i, (sum(bare) + share) / (len(bare) + 1), []))
+        else:
+            raw, found = vote(vector)
+            out.append((i, 0.999 * np.interp(raw, *curve) + 0.001 * raw, found[:3]))
+    return out
+
+
+def test_blocks_are_skipped_and_neighbours_exact():
     draw = np.random.default_rng(3)
-    features = 60
-    idf = draw.uniform(0.5, 6, features + 1)
-    examples = []
-    for _ in range(700):
-        terms = np.sort(draw.choice(features, draw.integers(0, 9), replace=False))
-        terms = np.append(terms, features) if draw.random() < 0.9 else terms
-        examples.append((terms.tolist(), draw.integers(1, 20, len(terms)).tolist()))
-    index = Index(list(range(700)), draw.integers(0, 2, 700), examples, idf)
-    dense = np.zeros((len(index.units), features + 1))
-    for row, (terms, weights) in zip(dense, index.units, strict=True):
-        row[terms] = weights
-    for terms, counts in examples[:200]:
-        if not terms:
-            continue
-        terms, weights = index.unit(terms, counts)
-        similarity = dense[:, terms] @ weights
-        for k in (1, NEIGHBOURS):
-            found, scores = index.nearest(terms, weights, k)
-            assert np.allclose(scores, np.sort(similarity)[::-1][: len(scores)])
-            assert len(found) == min(k, int((similarity > 0).sum()))
-            assert np.allclose(scores, similarity[found])
+    n, terms = 900, 300
+    rows = []
+    for k in range(n):
+        own = draw.choice(np.arange(k // 90 * 30, k // 90 * 30 + 30), 6, replace=False)
+        own = np.unique(np.append(own, draw.choice(terms, 2)))
+        weights = draw.uniform(0.2, 5, len(own))
+        rows += [(t, k, w) for t, w in zip(own, weights / np.sqrt(weights @ weights), strict=True)]
+    rows.sort()
+    term, example, weight = (np.array(c) for c in zip(*rows, strict=True))
+    index = Index(term, example, weight, draw.integers(0, 2, n).astype(float), draw.uniform(0.5, 6, terms))
+    dense = np.zeros((n, terms))
+    dense[example, term] = weight
+    for k in range(0, n, 7):
+        own = np.flatnonzero(dense[k])
+        weights = index.unit(own, draw.integers(1, 9, len(own)))
+        similarity = dense[:, own] @ weights
+        for top, skip in ((1, -1), (NEIGHBOURS, -1), (NEIGHBOURS, k)):
+            expected = similarity.copy()
+            expected[skip if skip >= 0 else []] = 0
+            found, scores = index.nearest(own, weights, top, skip)
+            assert np.allclose(scores, np.sort(expected)[::-1][: len(scores)])
+            assert len(found) == min(top, int((expected > 0).sum())) and skip not in found
+            assert np.allclose(scores, expected[found])
+    assert index.skipped > 0.5 * index.scored
+
+
+def test_scores_and_evidence_equal_a_plain_version(spark):
+    draw = random.Random(4)
+    rows = [(i, " ".join(f"w{chr(97 + int(draw.paretovariate(1)) % 26)}{draw.choice('abc')}" for _ in range(draw.randrange(12)))
+             + " vile" * (i % 5 == 0 and draw.random() < 0.8)) for i in range(260)]
+    rows += [(None, "wa wb"), (7, "wz other"), (301, None), (302, ""), (303, "unseen wordsonly")]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 200)] + [(3, 1), (4, None), (None, 1), (301, 0), (999, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    got = score_toxicity(docs, marks, F.col("doc_id") % 4 != 2).collect()
+    expected = plain(rows, labels, lambda i: i % 4 != 2)
+    got = sorted(((r.doc_id, round(r.score, 6), list(r.evidence)) for r in got), key=repr)
+    assert got == sorted(((i, round(float(s), 6), e) for i, s, e in expected), key=repr)
 
 
 def test_planted_words_are_found_and_clean_texts_left(spark):
