@@ -5,12 +5,15 @@ named users. The mask lists the spans (in characters, end exclusive) of the assi
 marker: what a model that plays the speaker learns to write. Narrators (``system``) speak in
 every rendering and are nobody's perspective.
 
-A dialogue is cut into windows of ``WINDOW`` turn numbers, the length of a training example, and each window is
-rendered for everyone who speaks in the dialogue, or with ``everyone=False`` for those who speak in the window.
-So a dialogue of any length is whole in the result for each of its speakers. A window in which so many turns share
-a number that it holds twice ``WINDOW`` turns or more is cut into parts of consecutive turns, each of ``WINDOW`` to
-twice as many, and every part is rendered for the same speakers; the turns of a dialogue follow one another by
-(window, part). No task holds more than a part, and the output grows with turns times speakers.
+A dialogue is rendered whole for everyone who speaks in it. One of more than ``PART_CHARS`` characters is cut into
+parts of consecutive turns: a turn belongs to the part in which it starts, each turn counting its text, its role and
+``TURN_CHARS``. Every part is rendered for all speakers of the dialogue, so it is whole in the result for each of them.
+No task holds more than a part, and the output grows with turns times speakers.
+
+With ``window`` a dialogue is first cut into windows of so many turn numbers, the length of a training example, and
+each window is rendered for everyone who speaks in the dialogue, or with ``everyone=False`` for those who speak in the
+window. A window in which so many turns share a number that it holds twice ``window`` turns or more is cut into parts
+of consecutive turns, each of ``window`` to twice as many; the turns of a dialogue follow one another by (window, part).
 
 Rows equal in dialogue, turn, role and text are one turn. Turns are ordered by number (null first), role, text. A
 null role speaks as ``unknown``; a null text is empty; a null dialogue id is a dialogue of its own. Markers that
@@ -21,12 +24,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from millrace.operators.slots import number_rows
+from millrace.operators.slots import in_slots, number_rows
 
 from .common import written
 
-WINDOW = 64
+PART_CHARS = 1 << 20
+TURN_CHARS = 16
 NARRATORS = ("system",)
 OPEN, CLOSE = "<|", "|>"
 END = f"{OPEN}end{CLOSE}\n"
@@ -47,8 +52,30 @@ def _header(role: Column, own: Column, narrators: tuple[str, ...]) -> Column:
     )
 
 
+def _turn_chars() -> Column:
+    return F.length("text") + F.length("role") + TURN_CHARS
+
+
+def _by_chars(dense: DataFrame, part_chars: int) -> DataFrame:
+    """``part`` of the turns of long dialogues, from what comes before a turn; cut into slots, however long."""
+    slotted = in_slots(dense.withColumn("_chars", _turn_chars()), ["_crowd"], ["turn", "role", "text"])
+    earlier = W.partitionBy("_crowd").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    offsets = slotted.groupBy("_crowd", "_slot").agg(F.sum("_chars").alias("_sum"))
+    offsets = offsets.select("_crowd", "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    within = W.partitionBy("_crowd", "_slot").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.sum("_chars").over(within), F.lit(0))
+    return slotted.join(offsets, ["_crowd", "_slot"]).withColumn("part", F.floor(before / part_chars))
+
+
 def windows(
-    turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, size: int = WINDOW, everyone: bool = True
+    turns: DataFrame,
+    conv_col: str,
+    turn_col: str,
+    role_col: str,
+    text_col: str,
+    size: int | None = None,
+    everyone: bool = True,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
     """(``conv``, ``window``, ``part``, ``turns``, ``speakers``): sorted arrays of (turn, role, text), and of roles."""
     distinct = turns.select(
@@ -57,11 +84,13 @@ def windows(
         F.coalesce(F.col(role_col), F.lit("unknown")).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     ).distinct()
-    placed = distinct.withColumn("window", F.floor(F.col("turn") / size))
+    placed = distinct.withColumn("window", F.floor(F.col("turn") / size) if size else F.lit(0).cast("bigint"))
+    over = F.count(F.lit(1)) >= 2 * size if size else F.sum(_turn_chars()) > part_chars
     crowded = written(
         placed.groupBy(F.col("conv").alias("_conv"), F.col("window").alias("_window"))
-        .agg(F.count(F.lit(1)).alias("_rows"), F.collect_set("role").alias("_present"))
-        .filter(F.col("_rows") >= 2 * size)
+        .agg(F.count(F.lit(1)).alias("_rows"), over.alias("_over"), F.collect_set("role").alias("_present"))
+        .filter("_over")
+        .drop("_over")
         .withColumn("_crowd", F.monotonically_increasing_id()),
         "crowded",
     )
@@ -70,19 +99,22 @@ def windows(
         parted = placed.withColumn("part", F.lit(0).cast("bigint"))
     else:
         dense = placed.join(crowded.drop("_present"), same_window).drop("_conv", "_window")
-        numbered = number_rows(dense, ["_crowd"], ["turn", "role", "text"], "_place")
-        part = F.expr(f"(_place - 1) * (_rows div {size}) div _rows")
+        if size:
+            numbered = number_rows(dense, ["_crowd"], ["turn", "role", "text"], "_place")
+            numbered = numbered.withColumn("part", F.expr(f"(_place - 1) * (_rows div {size}) div _rows"))
+        else:
+            numbered = _by_chars(dense, part_chars)
         parted = (
             placed.join(crowded, same_window, "left_anti")
             .withColumn("part", F.lit(0).cast("bigint"))
-            .unionByName(numbered.withColumn("part", part).select(*placed.columns, "part"))
+            .unionByName(numbered.select(*placed.columns, "part"))
         )
     cut = parted.groupBy("conv", "window", "part").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
     )
     cut = cut.join(crowded.select("_conv", "_window", "_present"), same_window, "left").drop("_conv", "_window")
     here = F.coalesce("_present", F.array_distinct(F.transform("turns", lambda one: one["role"])))
-    if not everyone:
+    if not everyone or not size:
         return cut.withColumn("speakers", here).drop("_present")
     # Dialogues of one window need no partner; only the others are joined.
     first, last, unnumbered = F.min("window"), F.max("window"), F.count_if(F.col("window").isNull())
@@ -109,12 +141,16 @@ def rotate(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    window: int = WINDOW,
+    window: int | None = None,
     narrators: tuple[str, ...] = NARRATORS,
     everyone: bool = True,
+    part_chars: int = PART_CHARS,
 ) -> DataFrame:
-    """A row per window, part and speaker: ids, ``perspective``, ``n_turns``, ``text``, ``mask`` (start, end)."""
-    spoken = windows(turns, conv_col, turn_col, role_col, text_col, window, everyone)
+    """A row per part and speaker: ids, ``perspective``, ``n_turns``, ``text``, ``mask`` (start, end).
+
+    ``window`` is 0 for whole dialogues; ``everyone`` only matters with windows.
+    """
+    spoken = windows(turns, conv_col, turn_col, role_col, text_col, window, everyone, part_chars)
     speakers = F.filter("speakers", lambda role: ~role.isin(*narrators))
     seen = spoken.withColumn("perspective", F.explode(speakers))
 

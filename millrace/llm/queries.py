@@ -131,8 +131,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # SQL_CHAT renders a window for those who speak in it.
-    turns = chat.rotate(table(spark, sf_dir, "conversations"), everyone=False)
+    turns = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("mask", lambda one: F.concat(one["start"].cast("string"), F.lit("-"), one["end"].cast("string")))
     return turns.withColumn("mask", F.array_join(spans, ","))
 
@@ -194,29 +193,33 @@ SQL_WARC = """
 """
 
 SQL_CHAT = """
-    WITH turns AS (
-        SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role,
-               replace(coalesce(text, ''), '<|', '< |') AS text, CAST(floor(turn / 64) AS BIGINT) AS "window"
-        FROM conversations),
+    WITH spoken AS (
+        SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS said FROM conversations),
+    turns AS (
+        SELECT *, replace(said, '<|', '< |') AS text,
+               CAST(coalesce(sum(length(said) + length(role) + {turn}) OVER (
+                   PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, said
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {part} AS part
+        FROM spoken),
     seen AS (
         SELECT s.perspective, t.*, s.perspective = t.role AS own,
                CASE WHEN s.perspective = t.role THEN '<|assistant|>' || chr(10)
                     WHEN t.role = 'system' THEN '<|system|>' || chr(10)
                     ELSE '<|user name=' || replace(t.role, '<|', '< |') || '|>' || chr(10) END AS header,
                t.text || '<|end|>' || chr(10) AS body
-        FROM turns t JOIN (SELECT DISTINCT conv_id, "window", role AS perspective FROM turns WHERE role <> 'system') s
-          ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s."window" IS NOT DISTINCT FROM t."window"),
+        FROM turns t JOIN (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system') s
+          ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
     placed AS (
         SELECT *, coalesce(sum(length(header || body)) OVER (
-            PARTITION BY conv_id, "window", perspective ORDER BY turn, role, text
+            PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, role, said
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
         FROM seen)
-    SELECT conv_id, "window", CAST(0 AS BIGINT) AS part, perspective, count(*) AS n_turns,
-           string_agg(header || body, '' ORDER BY turn, role, text) AS text,
+    SELECT conv_id, CAST(0 AS BIGINT) AS "window", part, perspective, count(*) AS n_turns,
+           string_agg(header || body, '' ORDER BY turn NULLS FIRST, role, said) AS text,
            coalesce(string_agg(CAST(pos + length(header) AS BIGINT) || '-' || CAST(pos + length(header || body) AS BIGINT), ','
-                    ORDER BY turn, role, text) FILTER (WHERE own), '') AS mask
-    FROM placed GROUP BY conv_id, "window", perspective
-"""
+                    ORDER BY turn NULLS FIRST, role, said) FILTER (WHERE own), '') AS mask
+    FROM placed GROUP BY conv_id, part, perspective
+""".format(part=chat.PART_CHARS, turn=chat.TURN_CHARS)
 
 SQL_URL = """
     WITH rules(rule_host, rule_path, verdict) AS (VALUES {rules}),

@@ -7,7 +7,7 @@ def brute(rows, size):
     distinct = {(c, t, r if r is not None else "unknown", x or "") for c, t, r, x in rows}
     groups = {}
     for c, t, r, x in distinct:
-        groups.setdefault((c, None if t is None else t // size), []).append((t, r, x))
+        groups.setdefault((c, 0 if size is None else None if t is None else t // size), []).append((t, r, x))
     out = []
     for (conv, window), turns in groups.items():
         turns.sort(key=lambda one: (one[0] is not None, one[0] or 0, one[1], one[2]))
@@ -39,7 +39,8 @@ def test_rotation_equals_brute_force(spark):
         *((6, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(150)),
     ]
     turns = spark.createDataFrame([(*r, "clash") for r in rows], TURNS).repartition(3)
-    assert shown(rotate(turns)) == brute(rows, 64)
+    assert shown(rotate(turns)) == brute(rows, None)
+    assert shown(rotate(turns, window=64, everyone=False)) == brute(rows, 64)
     assert rotate(turns.limit(0)).collect() == []
 
 
@@ -57,12 +58,12 @@ def test_everyone_gets_the_whole_dialogue(spark):
     rows = [(1, t, "ann" if t < 64 and t % 2 else "bob", f"t{t}") for t in range(200)]
     rows += [(None, None, "cid", "x"), (None, 1, "dan", "y"), (2, 0, "eve", "z"), (2, 1, "system", "s")]
     turns = spark.createDataFrame([(*r, "x") for r in rows], TURNS).repartition(3)
-    got = {(r.conv_id, r.window, r.perspective): r for r in rotate(turns).collect()}
+    got = {(r.conv_id, r.window, r.perspective): r for r in rotate(turns, window=64).collect()}
     assert set(got) == {(1, w, p) for w in range(4) for p in ("ann", "bob")} | {(2, 0, "eve")} | {
         (None, w, p) for w in (None, 0) for p in ("cid", "dan")
     }
     assert got[1, 3, "ann"]["mask"] == [] and got[1, 3, "ann"].text.count("<|user name=bob|>") == 8
-    spoken = {(r.conv_id, r.window, r.perspective) for r in rotate(turns, everyone=False).collect()}
+    spoken = {(r.conv_id, r.window, r.perspective) for r in rotate(turns, window=64, everyone=False).collect()}
     assert spoken == {(1, 0, "ann"), *((1, w, "bob") for w in range(4)), (2, 0, "eve"), (None, None, "cid"), (None, 0, "dan")}
 
 
@@ -71,7 +72,7 @@ def test_parts_of_crowded_windows_follow_one_another(spark):
     crowd = [(c, t // 5, ("ann", "bob")[t < 150], f"t{t:04}") for c in (2, None) for t in range(300)]
     lone = [(3, None, "ann", f"t{t:04}") for t in range(200)] + [(3, None, "bob", "u")]
     turns = spark.createDataFrame([(*r, "x") for r in tied + crowd + lone], TURNS).repartition(3)
-    got = rotate(turns).collect()
+    got = rotate(turns, window=64).collect()
     assert {(r.part, r.n_turns) for r in got if r.conv_id == 1} == {(0, 65)}
     for conv in (2, 3, None):
         want = sorted(
@@ -84,3 +85,21 @@ def test_parts_of_crowded_windows_follow_one_another(spark):
             assert [t.split("|>\n")[1] for t in texts] == [x for *_, x in want]
             said = [r.text[s:e].removesuffix("<|end|>\n") for r in mine for s, e in r["mask"]]
             assert said == [x for _, _, role, x in want if role == who]
+
+
+def test_whole_dialogues_and_parts_of_long_ones(spark):
+    rows = [(1, t, "ann" if t < 64 and t % 2 else "bob", f"t{t:04}") for t in range(200)]
+    rows += [(None, None, "cid", "first"), (None, 1, "dan", "y" * 5_000), (None, 2, "dan", "last"), (2, 0, "eve", "z")]
+    turns = spark.createDataFrame([(*r, "x") for r in rows], TURNS).repartition(3)
+    whole = {(r.conv_id, r.part, r.perspective): r for r in rotate(turns).collect()}
+    assert set(whole) == {(1, 0, "ann"), (1, 0, "bob"), (None, 0, "cid"), (None, 0, "dan"), (2, 0, "eve")}
+    assert whole[1, 0, "ann"].n_turns == 200 and len(whole[1, 0, "ann"]["mask"]) == 32
+    cut = rotate(turns, part_chars=1_000).collect()
+    assert {r.part for r in cut if r.conv_id == 1} == {0, 1, 2, 3, 4}
+    for who in ("ann", "bob"):
+        mine = sorted((r for r in cut if (r.conv_id, r.perspective) == (1, who)), key=lambda r: r.part)
+        assert "".join(r.text for r in mine) == whole[1, 0, who].text
+        assert sum(r.n_turns for r in mine) == 200
+        said = [r.text[s:e] for r in mine for s, e in r["mask"]]
+        assert said == [whole[1, 0, who].text[s:e] for s, e in whole[1, 0, who]["mask"]]
+    assert {(r.part, r.n_turns) for r in cut if r.conv_id is None} == {(0, 2), (5, 1)}
