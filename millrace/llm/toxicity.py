@@ -48,8 +48,10 @@ NEIGHBOURS = 15
 OFFSET, PRIOR = 0.05, 1.0
 EVIDENCE = 3
 THRESHOLD = 0.3
+#: Share of the examples from which on a term has rows instead of postings.
+DENSE = 0.1
 #: Blocks scored before any is skipped.
-FIRST_BLOCKS = 3
+FIRST_BLOCKS = 6
 CACHED_QUERIES = 1 << 14
 #: Similarities closer than this are equal; rounding must not lose a tie.
 ROUNDING = 1e-9
@@ -77,11 +79,21 @@ class Index:
 
     def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, labels: np.ndarray, factors: np.ndarray):
         """Postings sorted by term and example; ``factors`` are the weights of terms apart from their counts."""
-        self.factors, self.labels, self.example, self.weight = factors, labels, example, weight
+        self.factors, self.labels = factors, labels
         self.bare = np.bincount(example, minlength=len(labels)) == 0
         self.base = float(labels.mean()) if len(labels) else 0.0
         self.bare_rate = (float(labels[self.bare].sum()) + self.base) / (int(self.bare.sum()) + 1)
         self.n_blocks = -(-len(labels) // BLOCK)
+        # Terms of many examples have a row of weights per block, all others lists of postings.
+        many = np.bincount(term, minlength=len(factors)) >= max(DENSE * len(labels), 1)
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.rows = np.zeros((int(many.sum()), self.n_blocks, BLOCK))
+        dense = many[term]
+        at = example[dense]
+        self.rows[self.row[term[dense]], at // BLOCK, at % BLOCK] = weight[dense]
+        self.row_most = self.rows.max(axis=2, initial=0.0)
+        term, example, weight = term[~dense], example[~dense], weight[~dense]
+        self.example, self.weight = example.astype(np.int32), weight
         group = term.astype(np.int64) * max(self.n_blocks, 1) + example // BLOCK
         self.begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
         self.end = np.append(self.begin[1:], len(group)).astype(np.int64)
@@ -104,19 +116,25 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` most similar examples with a common term, nearest first, and their similarities."""
+        row = self.row[terms]
+        common, own = row[row >= 0], weights[row >= 0]
+        terms, weights = terms[row < 0], weights[row < 0]
         first = self.first[terms]
         lengths = self.first[terms + 1] - first
         ends = np.cumsum(lengths)
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
         weights, block = np.repeat(weights, lengths), self.block[places]
-        bound = np.bincount(block, weights * self.most[places], self.n_blocks)
-        scores, todo = np.zeros(len(self.labels)), bound > 0
+        bound = np.bincount(block, weights * self.most[places], self.n_blocks) + own @ self.row_most[common]
+        scores, todo, best = np.zeros(self.n_blocks * BLOCK), bound > 0, 0.0
         now = np.zeros(self.n_blocks, bool)
         now[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         now &= todo
         while now.any():
             chosen = now[block]
             self._add(places[chosen], weights[chosen], scores)
+            blocks = np.flatnonzero(now)
+            rows = self.rows[common[:, None], blocks]
+            scores.reshape(-1, BLOCK)[blocks] += (own @ rows.reshape(len(common), len(blocks) * BLOCK)).reshape(-1, BLOCK)
             if skip >= 0:
                 scores[skip] = 0.0
             todo &= ~now
@@ -124,7 +142,7 @@ class Index:
             best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
             now = todo & (bound >= best - ROUNDING)
         self.skipped += int(todo.sum())
-        found = np.flatnonzero((scores > 0) & (scores >= best - ROUNDING)) if len(terms) and bound.any() else np.empty(0, int)
+        found = np.flatnonzero((scores > 0) & (scores >= best - ROUNDING))
         found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
         return found, scores[found]
 
@@ -170,14 +188,19 @@ def _vectors(docs: DataFrame, terms_path: str) -> DataFrame:
         table = read_shared(terms_path)
         number = dict(zip(table["word"].to_pylist(), table["term"].to_pylist(), strict=True))
         del table
+        look = number.get
         for batch in batches:
-            terms, counts = [], []
+            terms, counts, offsets = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [0]
             for text in batch.column(1):
-                found = sorted((number[word], n) for word, n in words_of(text.as_py()).items() if word in number)
-                terms.append([t for t, _ in found])
-                counts.append([n for _, n in found])
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, kind), pa.array(counts, kind)], schema.names)
+                found = {look(word): n for word, n in words_of(text.as_py()).items()}
+                found.pop(None, None)
+                own = np.fromiter(found.keys(), np.int32, len(found))
+                order = np.argsort(own)
+                terms.append(own[order])
+                counts.append(np.fromiter(found.values(), np.int32, len(found))[order])
+                offsets.append(offsets[-1] + len(found))
+            lists = [pa.ListArray.from_arrays(np.array(offsets, np.int32), np.concatenate(flat)) for flat in (terms, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], schema.names)
 
     schema = T.StructType([docs.schema.fields[0], T.StructField("terms", ints), T.StructField("counts", ints)])
     return docs.mapInArrow(run, schema)
