@@ -17,9 +17,15 @@ STARTED, LANDED, FINISHED = 0, 1, 2
 
 
 def ledger_events(
-    rows: DataFrame, event_seq: int, run_id: str, status: Column, started_at: dt.datetime, **values
+    rows: DataFrame,
+    event_seq: int,
+    run_id: str,
+    status: Column,
+    started_at: dt.datetime,
+    more: Sequence[str] = (),
+    **values,
 ) -> DataFrame:
-    """Ledger rows of one event for the sources in ``rows``; ``values`` are further columns."""
+    """Ledger rows of one event for the sources in ``rows``; ``values`` are further columns, ``more`` are kept."""
     given = {
         "run_id": F.lit(run_id),
         "event_seq": F.lit(event_seq),
@@ -33,7 +39,8 @@ def ledger_events(
         *[
             given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in LEDGER.fields
-        ]
+        ],
+        *more,
     )
 
 

@@ -97,7 +97,7 @@ def accepted(validated: DataFrame) -> DataFrame:
     )
 
 
-def rejected(validated: DataFrame, as_of: dt.datetime) -> DataFrame:
+def rejected(validated: DataFrame, as_of: dt.datetime | Column) -> DataFrame:
     """Rejected rows as structured error records."""
     values = {
         "phase": F.lit("normalization"),
@@ -108,7 +108,7 @@ def rejected(validated: DataFrame, as_of: dt.datetime) -> DataFrame:
             F.lit("source_name"), F.col("source_name"),
             F.lit("external_id"), F.col("external_id"),
         ),
-        "at": F.lit(as_of),
+        "at": as_of if isinstance(as_of, Column) else F.lit(as_of),
         "cause": F.lit(None),
     }
     return keep_where(validated, F.size("errors") > 0).select(
