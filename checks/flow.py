@@ -286,22 +286,21 @@ def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events read page by page through the paged source, a hundred to a page."""
+    """Events read page by page through the paged source, a hundred to a page, until a page is not full."""
     from millrace.sources.pages import unwrap_pages
     from millrace.sources.paged import PagedSource
 
-    last_id = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
     spark.dataSource.register(PagedSource)
     spark.sparkContext.addPyFile(__file__.replace("flow.py", "transport.py"))
     pages = (
         spark.read.format("paged")
         .options(
             transport="transport:event_page", path=f"{sf_dir}/events.parquet",
-            first_page=1, last_page=last_id // 100 + 2, pages_per_task=25, fetch="events",
+            first_page=1, fetch="events",
         )
         .load()
     )
-    return unwrap_pages(pages, ["fetch"]).select(
+    return unwrap_pages(pages, ["fetch"], stopped=True).select(
         "page", "pos", F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"),
         F.get_json_object("payload", "$.type").alias("event_type"),
     )

@@ -31,12 +31,14 @@ def unwrap_pages(
     page_col: str = "page",
     body_col: str = "body",
     page_size: int = PAGE_SIZE,
+    stopped: bool = False,
 ) -> DataFrame:
     """One row per record: the fetch keys, the page, the position in it and the JSON ``payload``.
 
     Pages after the first terminal one of a fetch are not part of it. A page is terminal when it
     has no records, when it is an object without a true ``has_next``, or when it is a list shorter
-    than ``page_size``. Text that is not JSON is an empty page.
+    than ``page_size``. Text that is not JSON is an empty page. ``stopped`` tells that whoever fetched the pages
+    stopped at the terminal one, so each is parsed once and nothing is compared; it works on streams too.
     """
     fetch_keys = list(fetch_keys)
     parsed = pages.select(
@@ -51,6 +53,8 @@ def unwrap_pages(
             is_truthy(F.col("_body").try_cast("map<string,variant>")["has_next"]), F.lit(False)
         ).alias("_has_next"),
     )
+    if stopped:
+        return _records_of(parsed, fetch_keys, page_col)
     size = F.size("_records")
     terminal = (size == 0) | F.when(F.col("_is_list"), size < page_size).otherwise(
         ~F.col("_has_next")
@@ -59,9 +63,14 @@ def unwrap_pages(
         parsed.groupBy(*fetch_keys).agg(F.min(F.when(terminal, F.col(page_col))).alias("_last"))
     )
     joined = join_lookup(parsed, last_pages, fetch_keys)
+    return _records_of(
+        joined.filter(F.col("_last").isNull() | (F.col(page_col) <= F.col("_last"))), fetch_keys, page_col
+    )
+
+
+def _records_of(parsed: DataFrame, fetch_keys: list[str], page_col: str) -> DataFrame:
     return (
-        joined.filter(F.col("_last").isNull() | (F.col(page_col) <= F.col("_last")))
-        .select(*fetch_keys, page_col, F.posexplode("_records").alias("pos", "_record"))
+        parsed.select(*fetch_keys, page_col, F.posexplode("_records").alias("pos", "_record"))
         .select(
             *fetch_keys,
             page_col,

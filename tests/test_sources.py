@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.csv import csv_records, csv_rejects, read_csv_source
 from millrace.sources.feed import entry_record, feed_records, feed_rejects, parse_entries, read_feed
-from millrace.sources.paged import PagedSource, page_ranges
+from millrace.sources.paged import PagedSinceSource, PagedSource, page_ranges
 from millrace.sources.pages import page_records, unwrap_pages
 from millrace.sources.spec import SourceSpec
 
@@ -169,6 +169,81 @@ def test_paged_source_reads_every_page_once(spark, tmp_path):
     assert unwrap_pages(pages, ["fetch"], page_size=2).count() == 14
 
 
+@pytest.fixture
+def counting_service(spark, tmp_path):
+    """A service of two fetches, 5 and 3 pages of two records, that notes what it is asked for."""
+    (tmp_path / "counting_service.py").write_text(
+        "import json\n\ndef page(n, options):\n"
+        "    with open(options['log'], 'a') as log:\n"
+        "        log.write(f\"{options['fetch']} {n} {options.get('since')}\\n\")\n"
+        "    last = {'shop': 5, 'stock': 3}[options['fetch']]\n"
+        "    if options['fetch'] == 'shop':\n"
+        "        return json.dumps([{'id': n}] * (2 if n < last else 1))\n"
+        "    return json.dumps({'data': [{'id': n}] * 2, 'has_next': n < last})\n",
+        encoding="utf-8",
+    )
+    sys.path.insert(0, str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "counting_service.py"))
+    spark.dataSource.register(PagedSource)
+    log = tmp_path / "asked"
+    log.touch()
+    options = {"transport": "counting_service:page", "fetch": "shop,stock", "page_size": "2", "log": str(log)}
+    yield options, lambda: sorted(log.read_text().splitlines())
+    sys.path.remove(str(tmp_path))
+    sys.modules.pop("counting_service", None)
+
+
+EVERY_PAGE = [("shop", n) for n in range(1, 6)] + [("stock", n) for n in range(1, 4)]
+
+
+def test_paged_source_stops_at_the_terminal_page(spark, counting_service):
+    options, asked = counting_service
+    pages = spark.read.format("paged").options(**options).load()
+    records = unwrap_pages(pages, ["fetch"], page_size=2, stopped=True).collect()
+    assert asked() == [f"{fetch} {n} None" for fetch, n in EVERY_PAGE]
+    assert len(records) == 9 + 6 and {(r.fetch, r.page) for r in records} == set(EVERY_PAGE)
+    compared = unwrap_pages(pages, ["fetch"], page_size=2)
+    assert sorted(map(str, compared.collect())) == sorted(map(str, records))
+
+
+def test_a_filter_on_since_reaches_the_transport(spark, counting_service):
+    options, asked = counting_service
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        spark.dataSource.register(PagedSinceSource)
+        pages = spark.read.format("paged_since").options(**options).load()
+        wanted = pages.filter("since >= TIMESTAMP '2024-01-05' AND since > TIMESTAMP '2024-01-06 01:00:00' AND fetch = 'shop'")
+        assert sorted(r.page for r in wanted.select("page").collect()) == [1, 2, 3, 4, 5]
+        assert asked() == [f"shop {n} 2024-01-06T01:00:00" for n in range(1, 6)]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    # Without pushdown the option does the same.
+    same = spark.read.format("paged").options(**options, since="2024-01-06T01:00:00").load()
+    assert same.filter("fetch = 'shop'").count() == 5
+    assert asked().count("shop 1 2024-01-06T01:00:00") == 2
+
+
+def test_paged_stream_reads_every_page_once_and_goes_on_where_it_stopped(spark, counting_service, tmp_path):
+    options, asked = counting_service
+
+    def drain():
+        stream = {**options, "transport": f"{tmp_path}/counting_service.py:page", "pages_per_batch": "2"}
+        pages = spark.readStream.format("paged").options(**stream).load()
+        query = (
+            unwrap_pages(pages, ["fetch"], page_size=2, stopped=True)
+            .writeStream.format("parquet").option("path", str(tmp_path / "records"))
+            .option("checkpointLocation", str(tmp_path / "position")).trigger(processingTime="0 seconds").start()
+        )
+        query.processAllAvailable()
+        query.stop()
+
+    drain()
+    drain()
+    assert asked() == [f"{fetch} {n} None" for fetch, n in EVERY_PAGE]
+    got = spark.read.parquet(str(tmp_path / "records"))
+    assert got.count() == 15 and {(r.fetch, r.page) for r in got.collect()} == set(EVERY_PAGE)
+
+
 def test_page_ranges_cover_without_overlap():
     pages = [p for r in page_ranges(1, 10, 4) for p in range(r.first, r.last + 1)]
     assert pages == list(range(1, 11))
