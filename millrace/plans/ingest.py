@@ -24,6 +24,7 @@ from millrace.operators.upsert import upsert
 from millrace.operators.validate import accepted, keep_where, validate
 from millrace.plans.store import SLICE, UNKNOWN, SourceState, Store
 from millrace.schemas import RAW
+from millrace.session import local_rows
 from millrace.sources.spec import SourceSpec
 
 
@@ -70,11 +71,12 @@ def _observed(rows: DataFrame, seen: Observation) -> DataFrame:
 def _with_marks(seen: DataFrame, specs: Sequence[SourceSpec], as_of: dt.datetime) -> DataFrame:
     """``checkpoint_after`` of the sources, from what was observed of them; a mark never goes back."""
     now, before = F.lit(as_of.isoformat()), F.col("checkpoint_before")
+    reached = F.coalesce(F.timestamp_micros("_micros"), F.lit(as_of).cast("timestamp"))
+    in_time = iso_text(F.greatest(reached, parse_ts(before).cast("timestamp")))
 
     def mark(spec: SourceSpec) -> Column:
         if spec.mark_kind == "timestamp":
-            reached = F.coalesce(F.timestamp_micros("_micros"), F.lit(as_of).cast("timestamp"))
-            return iso_text(F.greatest(reached, parse_ts(before).cast("timestamp")))
+            return in_time
         if spec.mark_kind != "id" or spec.id_order == "numeric":
             number = F.greatest(F.col("_number").cast("decimal(38,0)"), before.try_cast("decimal(38,0)"))
             return F.coalesce(number.cast("string"), now)
@@ -85,7 +87,7 @@ def _with_marks(seen: DataFrame, specs: Sequence[SourceSpec], as_of: dt.datetime
 
 
 def _source_rows(spark: SparkSession, rows: Sequence[tuple], more: str = "") -> DataFrame:
-    return spark.createDataFrame(list(rows), f"source_type string, source_name string{more}")
+    return local_rows(spark, rows, f"source_type string, source_name string{more}")
 
 
 _LOADED = ", records_loaded bigint, records_failed bigint, seq bigint, versions map<int,string>, open_run string, taken array<string>"
@@ -176,13 +178,13 @@ def _land(
     together = reduce(
         DataFrame.unionByName,
         [_observed(rows, watch) for (_, rows), watch in zip(landed, watches, strict=True)],
-        spark.createDataFrame([], RAW),
+        local_rows(spark, [], RAW),
     )
     try:
         store.write_run(together, "raw", run_id, partition_by=["source_type"])
         seen = {(spec.kind, spec.name): watch.get for (spec, _), watch in zip(landed, watches, strict=True)}
     except Exception:
-        store.write_run(spark.createDataFrame([], RAW), "raw", run_id, partition_by=["source_type"])
+        store.write_run(local_rows(spark, [], RAW), "raw", run_id, partition_by=["source_type"])
         for spec, rows in landed:
             watch = Observation()
             try:

@@ -24,6 +24,7 @@ from millrace.operators.ledger import FINISHED, LANDED, SOURCE, current_runs, fo
 from millrace.operators.normalize import normalize
 from millrace.operators.validate import rejected, validate
 from millrace.schemas import ITEMS, LEDGER, PROCESSED, RAW, REJECTS
+from millrace.session import local_rows
 
 EVENTS = T.StructType(
     [
@@ -84,12 +85,12 @@ class Store:
         root = f"{self.root}/{table}"
         paths = [root] if folders is None else [f"{root}/{one}" for one in folders]
         if not paths:
-            return spark.createDataFrame([], schema)
+            return local_rows(spark, [], schema)
         try:
             return spark.read.schema(schema).option("basePath", root).parquet(*paths)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
-                return spark.createDataFrame([], schema)
+                return local_rows(spark, [], schema)
             raise
 
     def check_layout(self, spark: SparkSession) -> None:
@@ -97,7 +98,7 @@ class Store:
         known = self._read(spark, "layout", T.StructType([T.StructField("buckets", T.IntegerType())]))
         found = {row.buckets for row in known.collect()}
         if not found:
-            one = spark.createDataFrame([(self.buckets,)], "buckets int").coalesce(1)
+            one = local_rows(spark, [(self.buckets,)], "buckets int").coalesce(1)
             one.write.mode("overwrite").parquet(f"{self.root}/layout")
         elif found != {self.buckets}:
             raise ValueError(f"the items are cut into {found.pop()} buckets, not {self.buckets}")
@@ -113,14 +114,14 @@ class Store:
         rows = self._read(spark, "raw", RAW, [folder("etl_run_id", run) for run in runs])
         if not pending:
             return rows
-        named = spark.createDataFrame(list(pending), "etl_run_id string, source_type string, source_name string")
+        named = local_rows(spark, pending, "etl_run_id string, source_type string, source_name string")
         return rows.join(F.broadcast(named), ["etl_run_id", *SOURCE], "left_semi").select(*RAW.names)
 
     def _checked(self, spark: SparkSession, refused: bool) -> DataFrame:
         """The checked rows of all runs and sources that finished."""
-        checked = validate(normalize(spark.createDataFrame([], RAW))).schema
+        checked = validate(normalize(local_rows(spark, [], RAW))).schema
         more = "refused boolean, checked_at timestamp, run_id string"
-        schema = T.StructType([*checked.fields, *T._parse_datatype_string(more).fields])
+        schema = T.StructType([*checked.fields, *local_rows(spark, [], more).schema.fields])
         rows = self._read(spark, "checked", schema).filter(F.col("refused") == refused)
         return rows.join(self.committed(spark), ["run_id", *SOURCE], "left_semi")
 
@@ -223,7 +224,7 @@ class Store:
         """Runs (``etl_run_id``) and sources that landed rows which no finished run has taken over."""
         states = self.states(spark)
         rows = [(run, *row) for row in sources.select(*SOURCE).collect() for run in states.get(tuple(row), UNKNOWN).pending]
-        return spark.createDataFrame(rows, "etl_run_id string, source_type string, source_name string")
+        return local_rows(spark, rows, "etl_run_id string, source_type string, source_name string")
 
     def write_run(
         self, rows: DataFrame, table: str, run_id: str, partition_by: Sequence[str] = (), mode: str = "overwrite"

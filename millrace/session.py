@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +33,21 @@ def spread(scan: DataFrame, tasks: int, *by: str) -> DataFrame:
     return scan.repartition(tasks, *by)
 
 
+def local_rows(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
+    """A handful of rows that the driver has, as a local relation: reading or joining them starts no job.
+
+    Dates and times are not taken.
+    """
+    kind = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    fields = to_arrow_schema(kind)
+    cells = zip(*rows, strict=True) if rows else [()] * len(fields)
+    columns = [
+        pa.array([list(v.items()) if isinstance(v, dict) else v for v in column], field.type)
+        for column, field in zip(cells, fields, strict=True)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=fields), kind)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that ``spark.checkpoint.dir`` or ``SparkContext.setCheckpointDir`` names.
 
