@@ -127,6 +127,14 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
 
 
+def _event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in at least four files, one to a micro-batch, in any order."""
+    events = table(spark, sf_dir, "events")
+    path = fresh_path(spark, "event-files")
+    events.repartitionByRange(4, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed through landing, mapping, checking and upsert; a user's last event stays."""
     payload = json_of(
@@ -160,8 +168,9 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event arrives twice and stays once."""
-    twice = _event_stream(spark, sf_dir).union(_event_stream(spark, sf_dir))
+    """Every event arrives twice, in the same or another micro-batch, and stays once."""
+    once = _event_batches(spark, sf_dir)
+    twice = once.union(_event_batches(spark, sf_dir))
     path = fresh_path(spark, "dedup")
     (
         drop_repeats(twice, "ts", ["event_id"], "40 days")
