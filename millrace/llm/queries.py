@@ -110,10 +110,9 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files ``/source/lang/doc_id``."""
-    path = F.concat_ws("/", F.lit(""), F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), "doc_id")
-    docs = table(spark, sf_dir, "documents")
-    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",))
+    """Documents by their own headers and texts: the table has no paths, so none inherits from another."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("string").alias("path"), "text")
+    return licenses.scan_licenses(docs, keep=("doc_id",))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
