@@ -23,7 +23,7 @@ from millrace.session import fresh_path
 from millrace.sources.spec import SourceSpec
 from millrace.streaming.circuit import stream_circuit
 from millrace.streaming.ingest import ALL_THERE_IS, start_ingest
-from millrace.streaming.late import drop_repeats, start_late_split
+from millrace.streaming.late import drop_repeats, mark_late, start_late_split
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -167,6 +167,27 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on_time.unionByName(late).select("event_id", "ts", "is_late")
 
 
+def stream_late_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five deliveries of eight days each, every fifth event in the delivery after its own; late by the stream's watermark."""
+    spark.conf.set(STATE_STORE, ROCKS)
+    events = table(spark, sf_dir, "events")
+    delivery = F.floor((F.dayofmonth("ts") - 1) / 8) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    path = fresh_path(spark, "late-marked")
+    for k in range(5):
+        events.filter(F.coalesce(delivery, F.lit(0)) == k).write.mode("append").parquet(f"{path}/landing")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/landing")
+        (
+            mark_late(stream, "ts", "1 day")
+            .writeStream.format("parquet")
+            .option("path", f"{path}/marked")
+            .option("checkpointLocation", f"{path}/position")
+            .trigger(**ALL_THERE_IS)
+            .start()
+            .awaitTermination()
+        )
+    return spark.read.parquet(f"{path}/marked").select("event_id", naive("ts"), "is_late")
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event arrives twice, in the same or another micro-batch, and stays once."""
     once = _event_batches(spark, sf_dir)
@@ -387,6 +408,17 @@ QUERIES = {
         FROM events GROUP BY event_type, user_id"""),
     "stream_late": (stream_late, """
         SELECT event_id, ts, ts <= TIMESTAMP '2024-01-15' AS is_late FROM events"""),
+    "stream_late_watermark": (stream_late_watermark, """
+        WITH landed AS (
+            SELECT event_id, ts, coalesce((day(ts) - 1) // 8 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END, 0) AS delivery
+            FROM events),
+        marks AS (
+            SELECT delivery, max(max(ts)) OVER (
+                ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest
+            FROM landed GROUP BY delivery)
+        SELECT event_id, ts,
+               coalesce(ts <= date_trunc('milliseconds', latest) - INTERVAL 1 DAY, false) AS is_late
+        FROM landed JOIN marks USING (delivery)"""),
     "stream_dedup": (stream_dedup, "SELECT event_id, ts, event_type FROM events"),
     "ingest_items": (ingest_items, """
         SELECT 'csv' AS source_type, 'parts' AS source_name,

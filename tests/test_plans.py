@@ -14,7 +14,7 @@ PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow
 OTHERS = {
     "stream_upsert", "stream_late", "stream_dedup", "stream_circuit", "ingest_items", "ingest_runs", "paged_source",
     "circuit_state", "csv_scan", "feed_scan", "feed_reject", "csv_mixed_headers", "feed_mixed", "ingest_resume",
-    "ingest_isolated",
+    "ingest_isolated", "stream_late_watermark",
 }
 LIBRARY = {"flagship", *mapping.QUERIES, *state.QUERIES, *reports.QUERIES, *flow.QUERIES}
 

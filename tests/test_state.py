@@ -11,6 +11,7 @@ from millrace.operators.lookup import join_lookup
 from millrace.operators.slots import number_rows
 from millrace.operators.upsert import duplicate_keys, mark_deleted, upsert
 from millrace.schemas import LEDGER
+from millrace.streaming.late import mark_late
 
 UTC = dt.timezone.utc
 ARGS = {"keys": ["k"], "mutable": ["v"], "immutable": ["born"], "seq": ["s"]}
@@ -254,3 +255,32 @@ def test_anomalies_do_not_depend_on_block_size(spark):
         assert previous == (before[-1] if before else None)
         assert mean == (sum(before[-4:]) / len(before[-4:]) if before else None)
         before.append(value)
+
+
+def test_late_rows_are_marked_by_the_watermark_and_none_is_lost(spark, tmp_path):
+    schema = "id long, ts timestamp, _late_note string"
+    deliveries = [
+        [(1, "2024-01-10 00:00:00", "x"), (2, "2024-01-01 00:00:00", "x"), (3, None, None)],
+        [(4, "2024-01-09 00:00:00", "x"), (5, "2024-01-09 00:00:00.000001", "x"), (6, None, "x"), (2, "2024-01-01 00:00:00", "x")],
+        [],
+        [(7, "2024-01-20 00:00:00", "x"), (8, "2024-01-09 12:00:00", "x")],
+        [(9, "2024-01-18 23:59:59", "x"), (9, "2024-01-18 23:59:59", "x"), (10, "2024-01-19 00:00:01", "x")],
+    ]
+    for rows in deliveries:
+        frame = spark.createDataFrame([(i, at and dt.datetime.fromisoformat(at), note) for i, at, note in rows], schema)
+        frame.repartition(2).write.mode("append").parquet(f"{tmp_path}/landing")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/landing")
+        (
+            mark_late(stream, "ts", "1 day", slots=3)
+            .writeStream.format("parquet")
+            .option("path", f"{tmp_path}/marked")
+            .option("checkpointLocation", f"{tmp_path}/position")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    got = spark.read.parquet(f"{tmp_path}/marked")
+    assert got.columns == ["id", "ts", "_late_note", "is_late"]
+    late = {2: [False, True], 4: [True], 9: [True, True]}
+    marked = {i: late.get(i, [False]) for i in range(1, 11)}
+    assert {i: sorted(r["is_late"] for r in got.filter(F.col("id") == i).collect()) for i in marked} == marked
