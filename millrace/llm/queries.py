@@ -40,10 +40,12 @@ def url_rules(spark: SparkSession) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that were just written have no gaps: one would be a lost page, so the query stops at it."""
     path = fresh_path(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     warc.write_archives(pages, path)
-    records = warc.read_archives(spark, path).filter(F.col("status") == "record")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("unreadable:"), "archive", F.col("offset").cast("string"), "reason"))
+    records = warc.read_archives(spark, path).filter(F.when(F.col("status") == "record", True).otherwise(lost.cast("boolean")))
     header, kind = F.col("headers"), pages.schema["page_id"].dataType
     return records.select(
         F.try_element_at(header, F.lit(warc.PAGE_ID)).cast(kind).alias("page_id"),

@@ -222,6 +222,35 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(here, len(data)) - len(unpacker.unused_data)
 
 
+def _before_damage(data: bytes, at: int) -> bytes:
+    """What the member at ``at`` gives up to the byte at which it breaks off."""
+    unpacker, out, size = zlib.decompressobj(wbits=31), [], 1024
+    while at < len(data) and not unpacker.eof:
+        before = unpacker.copy()
+        try:
+            out.append(unpacker.decompress(data[at : at + size]))
+            at += size
+        except zlib.error:
+            if size == 1:
+                break
+            unpacker, size = before, 1
+    return b"".join(out)
+
+
+def _from_broken(data: bytes, at: int) -> list[Found]:
+    """Records of a broken member that agree with their own block digest and end before the damage."""
+    content = _before_damage(data, at)
+    if not content.startswith(b"WARC/"):
+        return []
+    return [
+        one
+        for one in salvage(content, members=False)
+        if not one.reason
+        and one.offset + one.length < len(content)
+        and one.headers.get("WARC-Block-Digest", "").lower().startswith("sha1:")
+    ]
+
+
 class _Starts:
     """Next possible start of a member or record; every byte is searched once."""
 
@@ -238,7 +267,11 @@ class _Starts:
 
 
 def salvage(data: bytes, members: bool = True) -> Iterator[Found]:
-    """All records that pass the checks, and the byte ranges between them that do not."""
+    """All records that pass the checks, and the byte ranges between them that do not.
+
+    Records of a member have its range. Those from the sound part of a broken member, taken only by their block digest,
+    have its offset and the length 0, as its bytes belong to the gap that is reported.
+    """
     starts, at, gap, reason = _Starts(data, members), 0, None, ""
     while at < len(data):
         try:
@@ -253,6 +286,10 @@ def salvage(data: bytes, members: bool = True) -> Iterator[Found]:
         except Damaged as damage:
             if gap is None:
                 gap, reason = at, damage.reason
+            if members and damage.end is None and data.startswith(MAGIC, at):
+                for one in _from_broken(data, at):
+                    one.offset, one.length = at, 0
+                    yield one
             at = damage.end if damage.end is not None else starts.after(at + 1)
             continue
         if gap is not None:

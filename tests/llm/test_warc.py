@@ -6,6 +6,7 @@ import random
 import pytest
 
 from millrace.llm import warc
+from millrace.llm.queries import op1_warc
 from millrace.llm.warc import member, read_archives, record, salvage, write_archives
 
 DATE = "2024-02-01T00:00:00Z"
@@ -109,3 +110,34 @@ def test_a_header_without_end_stops_at_the_next_version_line():
     good = records(2)
     data = b"WARC/1.1\r\nX: " + b"y" * 100_000 + b"\r\n" + good[0] + good[1]
     assert [(t[0], t[3]) for t in told(data)] == [(None, False), ("0", True), ("1", True)]
+
+
+def test_records_before_the_damage_of_a_member_are_saved():
+    whole = records(40)
+    one = member(b"".join(whole))
+    rest = member(records(41)[40])
+    cut = len(one) * 2 // 3
+    for broken in (one[:cut], one[:cut] + b"\xff\xff\xff\xff" + one[cut + 4 :], one[:-6] + b"\0\0" + one[-4:]):
+        found = list(warc.salvage(broken + rest))
+        saved = [f.headers[warc.PAGE_ID] for f in found if not f.reason]
+        assert saved[:-1] == [str(k) for k in range(len(saved) - 1)] and saved[-1] == "40" and len(saved) > 10
+        assert all(f.length == 0 and f.offset == 0 for f in found if not f.reason and f.headers[warc.PAGE_ID] != "40")
+        (gap,) = [f for f in found if f.reason]
+        assert (gap.offset, gap.length) == (0, len(broken))
+
+
+def test_a_broken_member_gives_nothing_that_no_digest_confirms():
+    plain = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [bool(f.reason) for f in warc.salvage(member(plain * 3)[:-6])] == [True]
+
+
+def test_query_stops_at_a_lost_page(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "v", "b")], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert op1_warc(spark, str(tmp_path)).count() == 2
+    gaps = spark.createDataFrame([("a", 0, 9, "quarantined", "Block differs")], "archive string, offset long, length long, status string, reason string")
+    filled = [f for f in warc.RECORDS.fields if f.name not in gaps.columns]
+    gaps = gaps.selectExpr("*", *(f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in filled))
+    monkeypatch.setattr(warc, "read_archives", lambda *_: gaps)
+    with pytest.raises(Exception, match="unreadable: a 0 Block differs"):
+        op1_warc(spark, str(tmp_path)).collect()
