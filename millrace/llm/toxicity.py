@@ -6,9 +6,10 @@ term of a document weighs ``(1 + ln tf) * ln(1 + N / df)`` with the document fre
 threshold. Vectors have length 1. Words of no example are no terms.
 
 The index is built by Spark as one sorted table of postings and opened by the tasks; the driver never holds it.
-Examples lie in blocks of ``BLOCK`` neighbours, alike ones together, and each term has its largest weight per block.
-A text adds these up to a bound for each block, scores the most promising blocks, and then only those whose bound
-reaches the k-th best score so far, so what is skipped can't hold a neighbour. Votes weigh
+Examples lie in blocks of ``BLOCK`` neighbours, alike ones together. Of rare terms a text adds up all postings. Terms of
+many examples have their largest weight per block; these, on top of the best sum in a block, bound it. A text
+scores the most promising blocks, and then only those whose bound reaches the k-th best score so far, so what is
+skipped can't hold a neighbour. Texts are scored in groups, block by block. Similarities have 9 digits. Votes weigh
 ``1 / (1 + OFFSET - similarity)``, the label's base rate votes once with ``PRIOR``, and an isotonic fit on the
 examples' own votes, each without itself, turns the result into a probability. Ties of similarity go to the example
 that comes first by label, heaviest term and id. Texts without any term, empty ones too, get the rate of the examples without one. The nearest
@@ -48,16 +49,21 @@ NEIGHBOURS = 15
 OFFSET, PRIOR = 0.05, 1.0
 EVIDENCE = 3
 THRESHOLD = 0.3
-#: Share of the examples from which on a term has rows instead of postings.
-DENSE = 0.1
+#: Share of the examples from which on a term has rows instead of postings, and the most terms that have.
+DENSE, ROWS = 1 / 15, 1_024
 #: Blocks scored before any is skipped.
 FIRST_BLOCKS = 6
+#: Texts scored at once, and their postings if there is more than one.
+TOGETHER, AT_ONCE = 64, 1 << 20
 CACHED_QUERIES = 1 << 14
 #: Similarities closer than this are equal; rounding must not lose a tie.
 ROUNDING = 1e-9
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
+#: Terms and their weights or counts.
+Query = tuple[np.ndarray, np.ndarray]
+
 
 def words_of(text: str | None) -> Counter:
     return Counter(_LETTERS.findall((text or "").lower()))
@@ -75,7 +81,7 @@ def read_shared(path: str) -> pa.Table:
 
 
 class Index:
-    """Unit vectors of examples, by term and example, with the largest weight of each term and block."""
+    """Unit vectors of examples by term: rows of weights per block for frequent terms, postings for all others."""
 
     def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, labels: np.ndarray, factors: np.ndarray):
         """Postings sorted by term and example; ``factors`` are the weights of terms apart from their counts."""
@@ -84,72 +90,99 @@ class Index:
         self.base = float(labels.mean()) if len(labels) else 0.0
         self.bare_rate = (float(labels[self.bare].sum()) + self.base) / (int(self.bare.sum()) + 1)
         self.n_blocks = -(-len(labels) // BLOCK)
-        # Terms of many examples have a row of weights per block, all others lists of postings.
-        many = np.bincount(term, minlength=len(factors)) >= max(DENSE * len(labels), 1)
+        seen = np.bincount(term, minlength=len(factors))
+        many = np.zeros(len(factors), bool)
+        many[np.argsort(-seen, kind="stable")[:ROWS]] = True
+        many &= seen >= max(DENSE * len(labels), 1)
         self.row = np.where(many, np.cumsum(many) - 1, -1)
-        self.rows = np.zeros((int(many.sum()), self.n_blocks, BLOCK))
+        self.rows = np.zeros((self.n_blocks, int(many.sum()), BLOCK))
         dense = many[term]
         at = example[dense]
-        self.rows[self.row[term[dense]], at // BLOCK, at % BLOCK] = weight[dense]
-        self.row_most = self.rows.max(axis=2, initial=0.0)
-        term, example, weight = term[~dense], example[~dense], weight[~dense]
-        self.example, self.weight = example.astype(np.int32), weight
-        group = term.astype(np.int64) * max(self.n_blocks, 1) + example // BLOCK
-        self.begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.empty(0, np.int64)
-        self.end = np.append(self.begin[1:], len(group)).astype(np.int64)
-        self.block = example[self.begin] // BLOCK
-        self.most = np.maximum.reduceat(weight, self.begin) if len(group) else np.empty(0)
-        # Blocks of term t: from first[t] up to first[t + 1].
-        self.first = np.searchsorted(term[self.begin], np.arange(len(factors) + 1))
+        self.rows[at // BLOCK, self.row[term[dense]], at % BLOCK] = weight[dense]
+        self.row_most = np.ascontiguousarray(self.rows.max(axis=2, initial=0.0).T)
+        term, self.example, self.weight = term[~dense], example[~dense].astype(np.int32), weight[~dense]
+        # Postings of term t: from first[t] up to first[t + 1].
+        self.first = np.searchsorted(term, np.arange(len(factors) + 1))
         self.scored = self.skipped = 0
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weights = (1 + np.log(counts)) * self.factors[terms]
         return weights / np.sqrt(weights @ weights)
 
-    def _add(self, places: np.ndarray, weights: np.ndarray, scores: np.ndarray) -> None:
-        """The postings of these blocks of terms."""
-        lengths = self.end[places] - self.begin[places]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[places] - ends + lengths, lengths)
-        scores += np.bincount(self.example[at], np.repeat(weights, lengths) * self.weight[at], len(scores))
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` most similar examples with a common term, nearest first, and their similarities."""
+    def _add(self, now: np.ndarray, own: np.ndarray, scores: np.ndarray) -> None:
+        """What the frequent terms add to these blocks (by query and block)."""
+        for block in np.flatnonzero(now.any(axis=0)):
+            asking = np.flatnonzero(now[:, block])
+            scores[asking, block] += own[asking] @ self.rows[block]
+        self.scored += int(now.sum())
+
+    def _together(self, queries: list[Query], k: int, skip: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, width = len(queries), self.n_blocks * BLOCK
+        owner = np.repeat(np.arange(n), [len(terms) for terms, _ in queries])
+        terms, weights = (np.concatenate(part) for part in zip(*queries, strict=True))
         row = self.row[terms]
-        common, own = row[row >= 0], weights[row >= 0]
-        terms, weights = terms[row < 0], weights[row < 0]
-        first = self.first[terms]
-        lengths = self.first[terms + 1] - first
+        frequent = row >= 0
+        own = np.zeros((n, self.rows.shape[1]))
+        own[owner[frequent], row[frequent]] = weights[frequent]
+        owner, terms, weights = owner[~frequent], terms[~frequent], weights[~frequent]
+        lengths = self.first[terms + 1] - self.first[terms]
         ends = np.cumsum(lengths)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + lengths, lengths)
-        weights, block = np.repeat(weights, lengths), self.block[places]
-        bound = np.bincount(block, weights * self.most[places], self.n_blocks) + own @ self.row_most[common]
-        scores, todo, best = np.zeros(self.n_blocks * BLOCK), bound > 0, 0.0
-        now = np.zeros(self.n_blocks, bool)
-        now[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[terms] - ends + lengths, lengths)
+        scores = np.zeros(n * width)
+        if len(at):
+            place = self.example[at] + np.repeat(owner * width, lengths)
+            scores = np.bincount(place, np.repeat(weights, lengths) * self.weight[at], n * width)
+        scores.reshape(n, width)[skip >= 0, skip[skip >= 0]] = -np.inf
+        scores = scores.reshape(n, self.n_blocks, BLOCK)
+        bound = scores.max(axis=2) + own @ self.row_most
+        most = min(FIRST_BLOCKS, self.n_blocks)
+        chosen = np.argpartition(-bound, most - 1, axis=1)[:, :most]
+        todo, now = bound > 0, np.zeros(bound.shape, bool)
+        np.put_along_axis(now, chosen, True, axis=1)
         now &= todo
-        while now.any():
-            chosen = now[block]
-            self._add(places[chosen], weights[chosen], scores)
-            blocks = np.flatnonzero(now)
-            rows = self.rows[common[:, None], blocks]
-            scores.reshape(-1, BLOCK)[blocks] += (own @ rows.reshape(len(common), len(blocks) * BLOCK)).reshape(-1, BLOCK)
-            if skip >= 0:
-                scores[skip] = 0.0
-            todo &= ~now
-            self.scored += int(now.sum())
-            best = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-            now = todo & (bound >= best - ROUNDING)
-        self.skipped += int(todo.sum())
-        found = np.flatnonzero((scores > 0) & (scores >= best - ROUNDING))
-        found = found[np.lexsort((found, -np.round(scores[found], 9)))][:k]
-        return found, scores[found]
-
-    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray]:
-        found, similarity = self.nearest(terms, self.unit(terms, counts), NEIGHBOURS, skip)
-        votes = 1 / (1 + OFFSET - np.minimum(similarity, 1.0))
-        return (float(votes @ self.labels[found]) + PRIOR * self.base) / (float(votes.sum()) + PRIOR), found
+        self._add(now, own, scores)
+        best = np.zeros(n)
+        if most * BLOCK > k:
+            best = np.partition(scores[np.arange(n)[:, None], chosen].reshape(n, -1), -k, axis=1)[:, -k].clip(0)
+        todo &= ~now
+        now = todo & (bound >= best[:, None] - ROUNDING)
+        self._add(now, own, scores)
+        self.skipped += int((todo & ~now).sum())
+        # What a skipped block holds of a score is below its bound, so it drops out here.
+        scores = scores.reshape(n, width)
+        query, found = np.nonzero((scores > 0) & (scores >= best[:, None] - ROUNDING))
+        similarity = np.round(scores[query, found], 9)
+        order = np.lexsort((found, -similarity, query))
+        edges = np.searchsorted(query, np.arange(n + 1))
+        for begin, end in zip(edges[:-1], edges[1:], strict=True):
+            own_order = order[begin : min(begin + k, end)]
+            yield found[own_order], similarity[own_order]
+
+    def search(self, queries: list[Query], k: int, skip: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ``k`` most similar examples with a common term, nearest first, and their similarities.
+
+        ``TOGETHER`` queries are scored at once, or fewer as their postings reach ``AT_ONCE``.
+        """
+        skip = np.full(len(queries), -1) if skip is None else skip
+        rare = [int((self.first[terms + 1] - self.first[terms]).sum()) for terms, _ in queries]
+        begin = 0
+        while begin < len(queries):
+            end, held = begin + 1, rare[begin]
+            while end < min(begin + TOGETHER, len(queries)) and held + rare[end] <= AT_ONCE:
+                held += rare[end]
+                end += 1
+            yield from self._together(queries[begin:end], k, skip[begin:end])
+            begin = end
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        return next(self.search([(terms, weights)], k, np.array([skip])))
+
+    def votes(self, counted: list[Query], skip: np.ndarray | None = None) -> Iterator[tuple[float, np.ndarray]]:
+        """For each text's terms and counts the vote of its neighbours, and these."""
+        queries = [(terms, self.unit(terms, counts)) for terms, counts in counted]
+        for found, similarity in self.search(queries, NEIGHBOURS, skip):
+            votes = 1 / (1 + OFFSET - np.minimum(similarity, 1.0))
+            yield (float(votes @ self.labels[found]) + PRIOR * self.base) / (float(votes.sum()) + PRIOR), found
 
 
 def pooled(votes: list[tuple[float, int]], base: float) -> tuple[np.ndarray, np.ndarray]:
@@ -312,11 +345,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, _ = fitted.open()
         for batch in batches:
-            votes = [
-                (index.vote(np.array(terms), np.array(counts), skip=number)[0], int(index.labels[number]))
-                for number, terms, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True)
-            ]
-            yield pa.RecordBatch.from_pylist([{"raw": raw, "label": label} for raw, label in votes], _VOTES)
+            numbers, *counted = (column.to_pylist() for column in batch.columns)
+            counted = [(np.array(terms), np.array(counts)) for terms, counts in zip(*counted, strict=True)]
+            votes = [raw for raw, _ in index.votes(counted, np.array(numbers))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(votes, pa.float64()), pa.array(index.labels[numbers].astype(np.int32))], ["raw", "label"]
+            )
 
     own = weighted.join(F.broadcast(numbered.select("example", "number")), "example").groupBy("number").agg(
         F.array_sort(F.collect_list(F.struct("term", "n"))).alias("own")
@@ -327,9 +361,6 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str, text
     return fitted, rows
 
 
-_VOTES = pa.schema([("raw", pa.float64()), ("label", pa.int32())])
-
-
 def score_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -361,27 +392,28 @@ def score_toxicity(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (index, ids), known = fitted.open(), {}
 
-        def score(terms: np.ndarray, counts: np.ndarray) -> tuple[float, list]:
-            if not len(terms):
-                return index.bare_rate if index.base else 0.0, []
-            raw, found = index.vote(terms, counts)
-            # A little of the vote itself orders the documents within a pool.
-            return 0.999 * float(np.interp(raw, *fitted.curve)) + 0.001 * raw, [ids[i] for i in found[:EVIDENCE]]
+        bare = index.bare_rate if index.base else 0.0, []
+
+        def scored(counted: list[Query]) -> Iterator[tuple[float, list]]:
+            for raw, found in index.votes(counted):
+                # A little of the vote itself orders the documents within a pool.
+                yield 0.999 * float(np.interp(raw, *fitted.curve)) + 0.001 * raw, [ids[i] for i in found[:EVIDENCE]]
 
         for batch in batches:
-            scores, evidence = [], []
             columns = [batch.column(k) for k in (1, 2)]
             values = [column.values.to_numpy(zero_copy_only=False) for column in columns]
             edges = [column.offsets.to_numpy() for column in columns]
+            keys, fresh = [], {}
             for k in range(batch.num_rows):
                 terms, counts = (value[edge[k] : edge[k + 1]] for value, edge in zip(values, edges, strict=True))
-                key = hashlib.sha256(terms.tobytes() + counts.tobytes()).digest()
-                if key not in known:
-                    if len(known) >= CACHED_QUERIES:
-                        known.clear()
-                    known[key] = score(terms, counts)
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+                key = hashlib.sha256(terms.tobytes() + counts.tobytes()).digest() if len(terms) else None
+                keys.append(key)
+                if key is not None and key not in known:
+                    fresh[key] = terms, counts
+            if len(known) + len(fresh) > CACHED_QUERIES:
+                known = {key: known[key] for key in known.keys() & set(keys)}
+            known.update(zip(fresh, scored(list(fresh.values())), strict=True))
+            scores, evidence = zip(*(bare if key is None else known[key] for key in keys), strict=True) if keys else ((), ())
             flags = [int(s >= THRESHOLD) for s in scores]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array(flags, pa.int32()), pa.array(evidence, arrow_type)],

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import toxicity
 from millrace.llm.queries import op4_toxicity
 from millrace.llm.toxicity import ASSOCIATION, NEIGHBOURS, Index, pooled, score_toxicity, words_of
 
@@ -96,6 +97,33 @@ def test_blocks_are_skipped_and_neighbours_exact():
     assert index.skipped > 0.5 * index.scored
 
 
+def test_texts_scored_together_have_the_neighbours_of_each_alone(monkeypatch):
+    draw = np.random.default_rng(5)
+    n, terms = 700, 400
+    dense = draw.uniform(0.1, 3, (n, terms)) * (draw.random((n, terms)) < 0.5 / np.arange(1, terms + 1) ** 0.5)
+    dense[draw.choice(n, 40)] = dense[3]
+    dense[9] = 0
+    dense /= np.maximum(np.sqrt((dense * dense).sum(axis=1, keepdims=True)), 1e-9)
+    term, example = np.nonzero(dense.T)
+    own = [np.sort(draw.choice(terms, size, replace=False)) for size in draw.integers(1, 60, 150)]
+    skip = draw.integers(-1, n, len(own))
+    for rows, at_once, together in ((1_024, 1 << 20, 64), (5, 300, 64), (0, 1, 7)):
+        monkeypatch.setattr(toxicity, "ROWS", rows)
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+        monkeypatch.setattr(toxicity, "TOGETHER", together)
+        index = Index(term, example, dense.T[term, example], np.ones(n), np.ones(terms))
+        assert index.rows.shape[1] <= rows
+        queries = [(t, index.unit(t, draw.integers(1, 9, len(t)))) for t in own]
+        got = list(index.search(queries, NEIGHBOURS, skip))
+        assert len(got) == len(queries)
+        for (t, weights), left, (found, scores) in zip(queries, skip, got, strict=True):
+            expected = np.round(dense[:, t] @ weights, 9)
+            expected[left if left >= 0 else []] = 0
+            best = np.lexsort((np.arange(n), -expected))[:NEIGHBOURS]
+            best = best[expected[best] > 0]
+            assert np.array_equal(found, best) and np.allclose(scores, expected[best])
+
+
 def test_scores_and_evidence_equal_a_plain_version(spark):
     draw = random.Random(4)
     rows = [(i, " ".join(f"w{chr(97 + int(draw.paretovariate(1)) % 26)}{draw.choice('abc')}" for _ in range(draw.randrange(12)))
