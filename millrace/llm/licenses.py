@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let, written
+from .url_filters import url_host, url_path
 
 HEADER_SCORE, FILE_SCORE = 0.7, 0.8
 #: Lines of a run; a wrapped notice has to fit.
@@ -38,6 +39,9 @@ HEADER_LINES = 5
 FILE_SIZE = (0.5, 2.0)
 #: Signs that a comment line begins with, behind spaces.
 COMMENT = r"^\s*(#|//|/\*|\*|--|;|<!--|%|'{3}|\x22{3})"
+#: Markup of pages: tags inside a line, all tags and declarations (addresses in angle brackets are none), and character references.
+INLINE_TAG = r"(?i)</?(a|abbr|b|code|em|font|i|small|span|strong|tt|u)(\s[^<>]*)?>"
+TAG, REFERENCE = r"<[/!]?[A-Za-z][\w:-]*(\s[^<>]*|/)?>", r"&#?[A-Za-z0-9]{1,10};"
 #: Full licence texts, a file each, named by licence.
 FULL_TEXTS = Path(__file__).with_name("license_texts")
 
@@ -221,6 +225,17 @@ def body(lines: Column) -> Column:
     return F.flatten(F.slice(held, leading_comment(lines) + 1, F.greatest(F.size(lines), F.lit(1))))
 
 
+def page_text(html: Column) -> Column:
+    """The lines of a page: tags inside a line fall away, others end it, character references are spaces; comments stay."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, INLINE_TAG, ""), TAG, "\n"), REFERENCE, " ")
+
+
+def page_path(url: Column) -> Column:
+    """Host and path of a url, ``/`` for an empty path; null without ``://``."""
+    path = url_path(url)
+    return F.when(F.instr(url, "://") > 0, F.concat(url_host(url), F.when(path == "", "/").otherwise(path)))
+
+
 def parent(path: Column) -> Column:
     """The directory of a path; null at the top."""
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", ""))

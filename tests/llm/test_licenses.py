@@ -120,3 +120,35 @@ def test_query_judges_documents_without_paths(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["origin"], r["license"], r["inherited_from"]) for r in op7_license_scan(spark, str(tmp_path)).collect()}
     assert got == {1: ("header", "MIT", None), None: ("file", "Apache-2.0", None), 2: (None,) * 3, 3: (None,) * 3}
+
+
+def test_query_lets_pages_inherit_by_their_urls(spark, tmp_path):
+    full = dict(full_texts())
+    owned = full["MIT"].replace("(c)", "(c) 2021 Some Holder of Rights")
+    prose = "some ordinary words about nothing in particular"
+    docs = [(1, MIT), (2, prose), (None, full["ISC"])]
+    # page_id, url, html, path, text
+    pages = [
+        (1, "https://H.example.org/lib/LICENSE", f"<!DOCTYPE html><html><pre class='x'>{owned}</pre></html>", "h.example.org/lib/LICENSE", owned),
+        (2, "http://h.example.org/lib/src/deep/x.html?a=/b#c/d", f"<p>{prose}</p>", "h.example.org/lib/src/deep/x.html", prose),
+        (3, "https://h.example.org/other/x", f"<p>{prose}</p>", "h.example.org/other/x", prose),
+        (4, "https://h.example.org/lib/y", "<div>This work is <b>licensed under</b> the GNU&nbsp;General <A href='/x'>Public License</A>, version 3.</div><p>a",
+         "h.example.org/lib/y", GPL + "\na"),
+        (5, "https://k.example.org", full["Unlicense"], "k.example.org/", full["Unlicense"]),
+        (6, "https://k.example.org/a/b", f"<p>{prose}<br>{prose}", "k.example.org/a/b", f"{prose}\n{prose}"),
+        (7, "https://x.k.example.org/a", f"<p>{prose}", "x.k.example.org/a", prose),
+        (8, None, owned, None, owned), (9, "h.example.org/lib/z", prose, None, prose),
+        (None, "https://h.example.org/lib/n/", None, "h.example.org/lib/n/", None),
+        (10, "https://h.example.org/lib/LICENSE/", prose, "h.example.org/lib/LICENSE/", prose),
+        (11, "http://c.example.org/z", "<!-- " + MIT + " --><p>" + prose, "c.example.org/z", "<!-- " + MIT + " -->\n" + prose),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op7_license_scan(spark, str(tmp_path)).collect()
+    rows = [(f"document {i}", None, text) for i, text in docs] + [(f"page {p[0]}", p[3], p[4]) for p in pages]
+    named = [(f"{r.kind} {r.doc_id if r.kind == 'document' else r.page_id}", r.path, r.license, r.origin, r.score, r.inherited_from) for r in got]
+    assert sorted(map(str, named)) == brute(rows)
+    by_page = {r.page_id: (r.origin, r.license, r.inherited_from) for r in got if r.kind == "page"}
+    assert by_page[2] == by_page[10] == by_page[None] == ("inherited", "MIT", "h.example.org/lib")
+    assert by_page[6] == ("inherited", "Unlicense", "k.example.org") and by_page[4] == ("header", "GPL-3.0", None)
+    assert by_page[3] == by_page[7] == by_page[9] == (None,) * 3
