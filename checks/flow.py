@@ -19,7 +19,7 @@ from millrace.operators.resilience import (
 )
 from millrace.plans.ingest import run_ingest
 from millrace.plans.store import Store
-from millrace.session import fresh_path
+from millrace.session import fresh_path, spread
 from millrace.sources.spec import SourceSpec
 from millrace.streaming.circuit import stream_circuit
 from millrace.streaming.ingest import ALL_THERE_IS, start_ingest
@@ -315,6 +315,14 @@ def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _event_store(spark: SparkSession, sf_dir: str) -> str:
+    """The service's own events, in the order of their ids and in row groups of a few thousand pages."""
+    path = fresh_path(spark, "service")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type").filter(F.col("event_id").isNotNull())
+    events.sort("event_id").write.option("parquet.block.size", 4 << 20).parquet(path)
+    return path
+
+
 def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read page by page through the paged source, a hundred to a page, until a page is not full."""
     from millrace.sources.pages import unwrap_pages
@@ -325,15 +333,17 @@ def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = (
         spark.read.format("paged")
         .options(
-            transport="transport:event_page", path=f"{sf_dir}/events.parquet",
+            transport="transport:event_page", path=_event_store(spark, sf_dir),
             first_page=1, fetch="events",
         )
         .load()
     )
-    return unwrap_pages(pages, ["fetch"], stopped=True).select(
-        "page", "pos", F.get_json_object("payload", "$.id").cast("bigint").alias("event_id"),
-        F.get_json_object("payload", "$.type").alias("event_type"),
+    # One task asks for all pages of a fetch; they are parsed by all.
+    landed = spread(pages, spark.sparkContext.defaultParallelism, "page")
+    records = unwrap_pages(landed, ["fetch"], stopped=True).select(
+        "page", "pos", F.from_json("payload", "id bigint, type string").alias("record")
     )
+    return records.select("page", "pos", F.col("record.id").alias("event_id"), F.col("record.type").alias("event_type"))
 
 
 _ATTEMPTS = """

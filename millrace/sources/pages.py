@@ -41,10 +41,14 @@ def unwrap_pages(
     stopped at the terminal one, so each is parsed once and nothing is compared; it works on streams too.
     """
     fetch_keys = list(fetch_keys)
-    parsed = pages.select(
+    bodies = pages.select(
         *fetch_keys, F.col(page_col).cast("bigint").alias(page_col),
         F.try_parse_json(F.col(body_col)).alias("_body"),
-    ).select(
+    )
+    if stopped:
+        # Exploded as an expression: from a column Spark infers a filter on its size, and parses each body for that too.
+        return _records_of(bodies, _page_records(F.col("_body")), fetch_keys, page_col)
+    parsed = bodies.select(
         *fetch_keys,
         page_col,
         _page_records(F.col("_body")).alias("_records"),
@@ -53,8 +57,6 @@ def unwrap_pages(
             is_truthy(F.col("_body").try_cast("map<string,variant>")["has_next"]), F.lit(False)
         ).alias("_has_next"),
     )
-    if stopped:
-        return _records_of(parsed, fetch_keys, page_col)
     size = F.size("_records")
     terminal = (size == 0) | F.when(F.col("_is_list"), size < page_size).otherwise(
         ~F.col("_has_next")
@@ -64,13 +66,14 @@ def unwrap_pages(
     )
     joined = join_lookup(parsed, last_pages, fetch_keys)
     return _records_of(
-        joined.filter(F.col("_last").isNull() | (F.col(page_col) <= F.col("_last"))), fetch_keys, page_col
+        joined.filter(F.col("_last").isNull() | (F.col(page_col) <= F.col("_last"))), F.col("_records"), fetch_keys,
+        page_col,
     )
 
 
-def _records_of(parsed: DataFrame, fetch_keys: list[str], page_col: str) -> DataFrame:
+def _records_of(parsed: DataFrame, records: Column, fetch_keys: list[str], page_col: str) -> DataFrame:
     return (
-        parsed.select(*fetch_keys, page_col, F.posexplode("_records").alias("pos", "_record"))
+        parsed.select(*fetch_keys, page_col, F.posexplode(records).alias("pos", "_record"))
         .select(
             *fetch_keys,
             page_col,

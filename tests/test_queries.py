@@ -3,6 +3,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from checks import flow, mapping, reports, state
@@ -68,3 +69,16 @@ def test_a_long_conversation_is_spread(spark, tmp_path):
     turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     rows = mapping.custom_mapping(spark, str(tmp_path))
     assert rows.selectExpr("spark_partition_id() AS p").distinct().count() > 2
+
+
+def test_events_are_paged_up_to_a_gap_and_their_pages_parsed_by_several_tasks(spark, tmp_path):
+    kept = "id < 950 OR id >= 1000"
+    rows = spark.range(2_000).filter(kept).selectExpr("id AS event_id", "concat('t', id % 7) AS event_type")
+    odd = spark.sql("SELECT CAST(NULL AS BIGINT) AS event_id, 'x' AS event_type UNION ALL SELECT -5, 'y' UNION ALL SELECT 120, 't1'")
+    rows.union(odd).orderBy(F.xxhash64("event_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    result = flow.paged_source(spark, str(tmp_path))
+    ids = sorted([*range(950), 120])
+    first = {page: ids.index(100 * page - 100) for page in range(1, 11)}
+    expected = [(i // 100 + 1, k - first[i // 100 + 1], i, f"t{i % 7}") for k, i in enumerate(ids)]
+    assert sorted(tuple(r) for r in result.select("page", "pos", "event_id", "event_type").collect()) == expected
+    assert result.selectExpr("spark_partition_id() AS p").distinct().count() > 2

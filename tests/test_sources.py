@@ -1,9 +1,12 @@
 import json
 import sys
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from checks import transport
 from millrace.sources.csv import csv_records, csv_rejects, read_csv_source
 from millrace.sources.feed import entry_record, feed_records, feed_rejects, parse_entries, read_feed
 from millrace.sources.paged import PagedSinceSource, PagedSource, page_ranges
@@ -223,6 +226,32 @@ def test_a_filter_on_since_reaches_the_transport(spark, counting_service):
     assert asked().count("shop 1 2024-01-06T01:00:00") == 2
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_the_service_opens_its_store_once_for_all_pages(tmp_path, monkeypatch, shuffled):
+    ids = [None, -1, *range(1_000), 150, 950]
+    ids = ids[::7] + [i for k, i in enumerate(ids) if k % 7] if shuffled else ids
+    rows = pa.table({"event_id": pa.array(ids, pa.int64()), "event_type": [f"é{i}" if i != 999 else None for i in ids]})
+    (tmp_path / "store").mkdir()
+    for k in (0, 1):
+        pq.write_table(rows.slice(k * 500, 500 if k == 0 else None), tmp_path / f"store/{k}.parquet", row_group_size=130)
+    opened, dataset = [], transport.ds.dataset
+    monkeypatch.setattr(transport.ds, "dataset", lambda *a, **b: opened.append(a) or dataset(*a, **b))
+    options = {"path": str(tmp_path / "store")}
+    pages = [json.loads(transport.event_page(n, options)) for n in range(12)]
+    assert len(opened) == 1
+    assert [[r["id"] for r in page] for page in pages] == [
+        sorted(i for i in ids if i is not None and i // 100 == n - 1) for n in range(12)
+    ]
+    assert pages[10][-1] == {"id": 999, "type": None} and pages[2][50:52] == [{"id": 150, "type": "é150"}] * 2
+
+
+def test_stopped_pages_are_parsed_once(spark):
+    bodies = spark.range(3).selectExpr("'f' AS fetch", "id + 1 AS page", "concat('[', id, ']') AS body").repartition(2)
+    records = unwrap_pages(bodies, ["fetch"], page_size=1, stopped=True)
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    assert records.count() == 3
+
+
 def test_paged_stream_reads_every_page_once_and_goes_on_where_it_stopped(spark, counting_service, tmp_path):
     options, asked = counting_service
 
